@@ -1,7 +1,5 @@
 """Descriptive statistics of the master table."""
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.bounds import distinct_counts, only_row, small_side
@@ -72,11 +70,16 @@ def boxplot(df: DataFrame, by: str, c: str = TARGET, digits: int = 4, **options)
 
 def correlation(df: DataFrame, columns=CORRELATED, digits: int = 4) -> DataFrame:
     """Pearson correlation of every pair (lower triangle), pairwise complete rows."""
-    pairs = list(combinations(columns, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"),
-                 F.round(F.col(f"`{a}~{b}`"), digits).alias("corr")) for a, b in pairs])))
+    # one line per row and left metric keeps the aggregate small enough to compile
+    lefts, rights = columns[:-1], columns[1:]
+    left = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name"), F.col(c).alias("x"))
+                               for i, c in enumerate(lefts)]))
+    lines = df.select(left.alias("l"), *rights).groupBy("l.i", "l.name").agg(
+        *[F.corr("l.x", c).alias(c) for c in rights])
+    cells = F.inline(F.array(*[
+        F.struct(F.lit(j + 1).alias("j"), F.lit(c).alias("right_metric"), F.round(c, digits).alias("corr"))
+        for j, c in enumerate(rights)]))
+    return lines.select("i", F.col("name").alias("left_metric"), cells).where("i < j").drop("i", "j")
 
 
 def label_counts(df: DataFrame, source: str = "source_dataset", target: str = TARGET) -> DataFrame:

@@ -79,11 +79,12 @@ def fit_preprocessor(df: DataFrame, numeric=MODEL_NUMERIC, categorical=MODEL_CAT
     stages: list = [sql]
     prepared = [f"t_{c}" for c in categorical]
     if categorical:
-        index = StringIndexerModel.from_arrays_of_labels(
-            labels, inputCols=prepared, outputCols=[f"i_{c}" for c in categorical], handleInvalid="keep")
+        # one model per column: label lists differ in length
+        index = [StringIndexerModel.from_labels(known, inputCol=t, outputCol=f"i_{c}", handleInvalid="keep")
+                 for known, t, c in zip(labels, prepared, categorical)]
         encode = OneHotEncoder(inputCols=[f"i_{c}" for c in categorical],
                                outputCols=[f"c_{c}" for c in categorical], dropLast=True)
-        stages += [index, encode]
+        stages += [*index, encode]
     stages.append(VectorAssembler(inputCols=names + [f"c_{c}" for c in categorical], outputCol=output))
     # the encoder only reads the label lists from the column metadata
     return Pipeline(stages=stages).fit(df.limit(1))

@@ -81,7 +81,8 @@ def role_drivers(scored: DataFrame, by: str = "job_role", drivers=DRIVERS, top:
                  F.concat(F.lit("+"), F.format_string("%.1f", F.round(F.col(m) - cohort[m], 1)), F.lit(unit)).alias("delta"),
                  ((F.col(m) - cohort[m]) > least).alias("counts"))
         for i, (m, label, least, full, unit) in enumerate(metrics)])
-    best = F.slice(F.array_sort(F.filter(found, lambda d: d["counts"])), 1, top)
+    roles = roles.select("name", found.alias("found"))
+    best = F.slice(F.array_sort(F.filter("found", lambda d: d["counts"])), 1, top)
     told = F.transform(best, lambda d: F.struct(d["name"].alias("name"), d["delta"].alias("delta")))
     none = F.array(F.struct(F.lit(NO_DRIVER[0]).alias("name"), F.lit(NO_DRIVER[1]).alias("delta")))
     return roles.select("name", F.when(F.size(told) > 0, told).otherwise(none).alias("drivers"))

@@ -13,8 +13,11 @@ MAX_DISTINCT = 100_000
 
 
 def distinct_counts(df: DataFrame, columns) -> dict:
-    """Upper estimates of the distinct values per column, in one small aggregate."""
-    row = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in columns]).first()
+    """Upper estimates of the distinct values per column, in one small aggregate.
+
+    One binary sketch per column (1.6 % standard error); 10 % is added.
+    """
+    row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(c))).alias(c) for c in columns]).first()
     return {c: int(row[c] * 1.1) + 1 for c in columns}
 
 

@@ -1,6 +1,6 @@
 """Named queries over the sales tables, and the SQL that checks them."""
 
 from .oracle import oracle_sql
-from .queries import queries
+from .catalog import queries
 
 __all__ = ["queries", "oracle_sql"]

@@ -102,8 +102,8 @@ def scored(spark, d) -> DataFrame:
 
 
 def judged(spark, d) -> DataFrame:
-    """Labelled people: recorded score, label, and the strain index as prediction."""
-    df = scoring.linear_strain(master(spark, d)).where("burnout_score is not null")
+    """Labelled people whose index exists: recorded score, label, and the strain index as prediction."""
+    df = scoring.linear_strain(master(spark, d)).where("burnout_score is not null and strain_index is not null")
     p = F.round(F.col("strain_index"), 4)
     return df.select("source_dataset", "employee_id", F.col("burnout_score").alias("y"), p.alias("p"),
                      bands.elevated("burnout_score").alias("label"), F.round(p / 10.0, 5).alias("probability"),
@@ -229,7 +229,7 @@ def coerce_numeric(spark, d):
              .when(way == 2, F.concat(whole, F.lit("e2"))).when(way == 3, F.concat(whole, F.lit("d")))
              .when(way == 4, F.concat(F.lit("0x"), whole)).when(way == 5, F.concat(whole, F.lit("_000")))
              .when(way == 6, F.lit("inf")).otherwise(F.concat(F.lit("-."), whole)))
-    return o.select("o_orderkey", typed.alias("typed")).withColumn("value", F.round(as_number("typed"), 4))
+    return o.select("o_orderkey", typed.alias("typed")).withColumn("value", as_number("typed"))
 
 
 @query("risk_band")

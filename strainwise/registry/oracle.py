@@ -150,7 +150,7 @@ def _base() -> str:
     ctes.append(f"scored AS (SELECT r.*, f.score, f.score / 10.0 AS probability, {band('f.score')} AS band "
                 "FROM roster r JOIN filled_scored f USING (employee_id))")
     ctes.append(f"judged AS (SELECT source_dataset, employee_id, burnout_score AS y, round(({strain()} - low) / (high - low) * 10.0, 4) AS p, "
-                "CAST(burnout_score >= 4.5 AS INTEGER) AS label FROM master CROSS JOIN ends WHERE burnout_score IS NOT NULL)")
+                "CAST(burnout_score >= 4.5 AS INTEGER) AS label FROM master CROSS JOIN ends WHERE burnout_score IS NOT NULL AND stress_level IS NOT NULL)")
     ctes.append("points AS (SELECT p, sum(label) AS pos, sum(1 - label) AS neg, sum(sum(label)) OVER (ORDER BY p DESC) AS tp, "
                 "sum(sum(1 - label)) OVER (ORDER BY p DESC) AS fp, sum(sum(label)) OVER () AS np, sum(sum(1 - label)) OVER () AS nn, "
                 "lead(sum(label)) OVER (ORDER BY p DESC) AS next_pos, lead(sum(1 - label)) OVER (ORDER BY p DESC) AS next_neg "
@@ -236,7 +236,7 @@ def _whatif() -> str:
 def _permutation() -> str:
     names = [c for c, _, _ in STRAIN_WEIGHTS]
     order = "OVER (PARTITION BY h // {} ORDER BY h, row_id)".format(SPAN // 16)
-    moved = ", ".join(f"coalesce(lead({c}) {order}, first_value({c}) {order}) AS o_{c}" for c in names)
+    moved = ", ".join(f"CASE WHEN lead(row_id) {order} IS NULL THEN first_value({c}) {order} ELSE lead({c}) {order} END AS o_{c}" for c in names)
 
     def rmse(swap):
         value = lambda c: f"o_{c}" if c == swap else c
@@ -317,7 +317,7 @@ def oracle_sql() -> dict:
         "select_model_features": f"SELECT {', '.join(selected)} FROM master",
         "select_deployment_features": f"SELECT {', '.join(staff_kept)} FROM staff",
         "labeled_rows": "SELECT source_dataset, employee_id, burnout_score FROM canonical WHERE burnout_score IS NOT NULL",
-        "coerce_numeric": f"SELECT o_orderkey, typed, round(CASE WHEN regexp_matches(typed, {number}) THEN TRY_CAST(trim(typed, ' ' || chr(9)) AS DOUBLE) END, 4) AS value "
+        "coerce_numeric": f"SELECT o_orderkey, typed, CASE WHEN regexp_matches(typed, {number}) THEN TRY_CAST(trim(typed, ' ' || chr(9)) AS DOUBLE) END AS value "
             f"FROM (SELECT o_orderkey, {typed} AS typed FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS w FROM orders))",
         "risk_band": f"SELECT employee_id, {band('burnout_score')} AS band FROM staff",
         "risk_band5": "SELECT employee_id, CASE WHEN burnout_score IS NULL THEN NULL " + " ".join(
