@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import as_number
-from ..plans.bounds import only_row
+from ..plans.bounds import one_row
 from ..plans.quantiles import exact_medians
 from ..schema import MODEL_CATEGORICAL, MODEL_FEATURES, MODEL_NUMERIC
 
@@ -25,19 +25,23 @@ def modes(df: DataFrame, columns, fallback: str = "Unknown") -> DataFrame:
 def default_features(master: DataFrame, numeric=MODEL_NUMERIC, categorical=MODEL_CATEGORICAL, **options) -> DataFrame:
     """One row: exact medians of the numeric and modes of the text features."""
     medians = exact_medians(master, numeric, **options)
-    texts = only_row(modes(master, categorical))
-    return medians.select(*numeric, *[texts[c].alias(c) for c in categorical])
+    texts = one_row(modes(master, categorical))
+    return medians.select(*numeric, *[F.lit(texts[c]).alias(c) for c in categorical])
 
 
-def align(roster: DataFrame, defaults: DataFrame, keep=()) -> DataFrame:
+def fit_defaults(master: DataFrame, **options) -> dict:
+    """The row of :func:`default_features`, fitted once and passed around."""
+    return one_row(default_features(master, **options))
+
+
+def align(roster: DataFrame, defaults: dict, keep=()) -> DataFrame:
     """Model features of every roster row, gaps and absent columns from ``defaults``.
 
-    Numeric text is read strictly; anything else counts as missing. ``defaults`` is
-    the one-row frame of :func:`default_features`. ``keep`` names extra columns to
-    carry along unchanged.
+    Numeric text is read strictly; anything else counts as missing. ``keep`` names
+    extra columns to carry along unchanged.
     """
-    values = only_row(defaults)
-    numeric = {f.name for f in defaults.schema if isinstance(f.dataType, T.DoubleType)}
+    numeric = [c for c in defaults if c not in MODEL_CATEGORICAL]
+    values = {c: F.lit(v).cast("double" if c in numeric else "string") for c, v in defaults.items()}
     types = {f.name: f.dataType for f in roster.schema}
 
     def filled(c):
@@ -49,10 +53,10 @@ def align(roster: DataFrame, defaults: DataFrame, keep=()) -> DataFrame:
         return F.coalesce(F.col(c).cast("string"), values[c]).alias(c)
 
     carried = [c for c in keep if c in types and c not in MODEL_FEATURES]
-    return roster.select(*carried, *[filled(c) for c in defaults.columns])
+    return roster.select(*carried, *[filled(c) for c in defaults])
 
 
-def fill_scenarios(scenarios: DataFrame, defaults: DataFrame, keep=()) -> DataFrame:
+def fill_scenarios(scenarios: DataFrame, defaults: dict, keep=()) -> DataFrame:
     """Like :func:`align`, with empty text also counting as not given."""
     blank = {c: F.when(F.col(c).cast("string") != "", F.col(c)) for c in MODEL_FEATURES
              if c in scenarios.columns}

@@ -2,15 +2,15 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.bounds import only_row
+from ..plans.bounds import one_row
 from .sampling import SPAN, hash_key
 from .scoring import Scorer
 
 
 def linear_attribution(df: DataFrame, weights: dict) -> DataFrame:
     """Per row and feature ``weight * (x - mean x)``, added as ``attr_<feature>`` columns."""
-    mean = only_row(df.agg(*[F.avg(c).alias(c) for c in weights]))
-    return df.withColumns({f"attr_{c}": F.lit(float(w)) * (F.col(c) - mean[c]) for c, w in weights.items()})
+    mean = one_row(df.agg(*[F.avg(c).alias(c) for c in weights]))
+    return df.withColumns({f"attr_{c}": F.lit(float(w)) * (F.col(c) - F.lit(mean[c])) for c, w in weights.items()})
 
 
 def mean_attribution(df: DataFrame, weights: dict, digits: int = 4) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import clip
 from ..functions.text import capitalize, recode, strip, title
-from ..plans.bounds import MAX_DISTINCT, distinct_counts, only_row, small_side
+from ..plans.bounds import MAX_DISTINCT, distinct_counts, materialize, small_side
 from ..plans.quantiles import TOTAL, exact_medians
 from ..schema import TARGET, TRACKED, WORK_MODES
 
@@ -41,18 +41,19 @@ def flag_missing(df: DataFrame) -> DataFrame:
 def impute_role_median(df: DataFrame, by: str = "job_role", max_distinct: int = MAX_DISTINCT) -> DataFrame:
     """Fill gaps with the role's median, else the overall median, else 0.
 
-    One checked profile pass decides both the median strategy and whether the
-    per-role table is small enough to broadcast.
+    Three reads of ``df``: one profile pass (it decides the median strategy and
+    whether the per-role table may be broadcast), one for all medians, one to fill.
     """
     columns = tracked(df)
     sizes = distinct_counts(df, [by, *columns])
-    medians = exact_medians(df, columns, by=by, with_total=True, max_distinct=max_distinct, distinct=sizes)
+    medians = materialize(
+        exact_medians(df, columns, by=by, with_total=True, max_distinct=max_distinct, distinct=sizes))
+    total = medians.where(TOTAL).first()
+    overall = {c: (total[c] if total else None) for c in columns}
     names = {c: f"_m_{c}" for c in columns}
     per_role = medians.where(~F.col(TOTAL)).select(by, *[F.col(c).alias(n) for c, n in names.items()])
-    # `max` only serves to prove that there is one row
-    overall = only_row(medians.where(TOTAL).agg(*[F.max(c).alias(c) for c in columns]))
     joined = df.join(small_side(per_role, sizes[by]), by, "left")
-    filled = {c: F.coalesce(c, n, overall[c], F.lit(0.0)) for c, n in names.items()}
+    filled = {c: F.coalesce(c, n, F.lit(0.0 if overall[c] is None else overall[c])) for c, n in names.items()}
     return joined.withColumns(filled).select(*df.columns)
 
 

@@ -37,18 +37,24 @@ def _thresholds(df: DataFrame, label: str, score: str) -> DataFrame:
     return running_totals(marked, score, ["pos", "neg"])
 
 
+def _area():
+    wins = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2.0))
+    return F.round(F.try_divide(wins, F.max("all_pos").cast("double") * F.max("all_neg")), 4)
+
+
+def _average_precision():
+    step = F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    return F.round(F.try_divide(F.sum(step), F.max("all_pos")), 4)
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve; tied scores count half."""
-    t = _thresholds(df, label, score)
-    wins = F.sum(F.col("neg").cast("double") * (F.col("cum_pos") - F.col("pos") / 2.0))
-    return t.agg(F.round(F.try_divide(wins, F.max("all_pos").cast("double") * F.max("all_neg")), 4).alias("roc_auc"))
+    return _thresholds(df, label, score).agg(_area().alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Sum over thresholds of recall step times precision."""
-    t = _thresholds(df, label, score)
-    step = F.col("pos") * (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
-    return t.agg(F.round(F.try_divide(F.sum(step), F.max("all_pos")), 4).alias("average_precision"))
+    return _thresholds(df, label, score).agg(_average_precision().alias("average_precision"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score", drop_intermediate: bool = True) -> DataFrame:
@@ -112,13 +118,14 @@ def f1_at(df: DataFrame, label: str = "label", probability: str = "probability",
 
 def classification_metrics(df: DataFrame, label: str = "label", probability: str = "probability") -> DataFrame:
     """ROC-AUC, average precision, F1 at 0.5 and positive rate in one row."""
-    from ..plans.bounds import only_row
-
-    auc = only_row(roc_auc(df, label, probability))
-    ap = only_row(average_precision(df, label, probability))
-    return f1_at(df, label, probability).select(
-        auc["roc_auc"].alias("roc_auc"), ap["average_precision"].alias("pr_auc"),
-        F.col("f1").alias("f1_at_0_5"), "positive_rate")
+    t = _thresholds(df, label, probability)
+    p = F.col(probability)
+    tp, fp, fn = (F.coalesce(F.sum(x), F.lit(0)) for x in (
+        F.when(p >= 0.5, F.col("pos")), F.when(p >= 0.5, F.col("neg")), F.when(p < 0.5, F.col("pos"))))
+    return t.agg(
+        _area().alias("roc_auc"), _average_precision().alias("pr_auc"),
+        F.round(_f1(tp, fp, fn), 4).alias("f1_at_0_5"),
+        F.round(F.try_divide(F.sum("pos").cast("double"), F.sum(F.col("pos") + F.col("neg"))), 4).alias("positive_rate"))
 
 
 def classification_report(df: DataFrame, label: str = "label", predicted: str = "predicted",

@@ -2,25 +2,28 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.bounds import distinct_counts, only_row, small_side
+from ..plans.bounds import distinct_counts, one_row, small_side
 from ..plans.quantiles import exact_quantiles
 from ..schema import CORRELATED, DEFAULT_THRESHOLD, TARGET
 
 
 def describe(df: DataFrame, columns, digits: int = 4, **options) -> DataFrame:
     """Count, mean, std, min, quartiles and max per column, one row each."""
-    q = only_row(exact_quantiles(df, columns, [0.25, 0.5, 0.75], **options))
+    q = one_row(exact_quantiles(df, columns, [0.25, 0.5, 0.75], **options))
     stats = df.agg(*[F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                               F.min(c).alias("min"), F.max(c).alias("max")).alias(c) for c in columns])
 
     def r(x):
         return F.round(x.cast("double"), digits)
 
+    def quartile(c, i):
+        return r(F.lit(q[c][i] if q[c] else None))
+
     lines = F.array(*[
         F.struct(F.lit(c).alias("metric"), F.col(c)["count"].alias("count"), r(F.col(c)["mean"]).alias("mean"),
                  r(F.col(c)["std"]).alias("std"), r(F.col(c)["min"]).alias("min"),
-                 r(F.element_at(q[c], 1)).alias("q25"), r(F.element_at(q[c], 2)).alias("median"),
-                 r(F.element_at(q[c], 3)).alias("q75"), r(F.col(c)["max"]).alias("max"))
+                 quartile(c, 0).alias("q25"), quartile(c, 1).alias("median"), quartile(c, 2).alias("q75"),
+                 r(F.col(c)["max"]).alias("max"))
         for c in columns])
     return stats.select(F.inline(lines))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numbers import cap
-from ..plans.bounds import only_row
+from ..plans.bounds import materialize, one_row
 from ..schema import DEFAULT_THRESHOLD, DRIVERS, MODERATE_FROM, NO_DRIVER, POLICIES
 from .scoring import Scorer
 
@@ -68,21 +68,33 @@ def role_drivers(scored: DataFrame, by: str = "job_role", drivers=DRIVERS, top:
 
     The cohort is the rows scoring below the moderate band, or all rows when there
     is none. Output: ``name, drivers`` (array of ``name, delta``).
+
+    The scored rows are read once: sums per role, written out, give both the role
+    means and the cohort means.
     """
     metrics = [d for d in drivers if d[0] in scored.columns]
     low = F.col("score") < MODERATE_FROM
-    cohort = only_row(scored.agg(*[
-        F.when(F.count(F.when(low, 1)) > 0, F.avg(F.when(low, F.col(m[0])))).otherwise(F.avg(m[0])).alias(m[0])
-        for m in metrics]))
-    roles = scored.where(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("name")).agg(
-        *[F.avg(m[0]).alias(m[0]) for m in metrics])
+    sums = [F.count(F.when(low, 1)).alias("low_rows")]
+    for m, *_ in metrics:
+        of_low = F.when(low, F.col(m))
+        sums += [F.sum(m).alias(f"s_{m}"), F.count(m).alias(f"n_{m}"),
+                 F.sum(of_low).alias(f"ls_{m}"), F.count(of_low).alias(f"ln_{m}")]
+    per_role = materialize(scored.groupBy(F.col(by).cast("string").alias("name")).agg(*sums))
+    in_low = F.sum("low_rows") > 0
+    cohort = one_row(per_role.agg(*[
+        F.when(in_low, F.try_divide(F.sum(f"ls_{m}"), F.sum(f"ln_{m}")))
+        .otherwise(F.try_divide(F.sum(f"s_{m}"), F.sum(f"n_{m}"))).alias(m) for m, *_ in metrics]))
+
+    def gap(m):
+        return F.try_divide(F.col(f"s_{m}"), F.col(f"n_{m}")) - F.lit(cohort[m]).cast("double")
+
     found = F.array(*[
-        F.struct((-(F.col(m) - cohort[m]) / full).alias("weak"), F.lit(i).alias("place"), F.lit(label).alias("name"),
-                 F.concat(F.lit("+"), F.format_string("%.1f", F.round(F.col(m) - cohort[m], 1)), F.lit(unit)).alias("delta"),
-                 ((F.col(m) - cohort[m]) > least).alias("counts"))
+        F.struct((-gap(m) / full).alias("weak"), F.lit(i).alias("place"), F.lit(label).alias("name"),
+                 F.concat(F.lit("+"), F.format_string("%.1f", F.round(gap(m), 1)), F.lit(unit)).alias("delta"),
+                 (gap(m) > least).alias("counts"))
         for i, (m, label, least, full, unit) in enumerate(metrics)])
-    roles = roles.select("name", found.alias("found"))
-    best = F.slice(F.array_sort(F.filter("found", lambda d: d["counts"])), 1, top)
+    roles = per_role.where(F.col("name").isNotNull())
+    best = F.slice(F.array_sort(F.filter(found, lambda d: d["counts"])), 1, top)
     told = F.transform(best, lambda d: F.struct(d["name"].alias("name"), d["delta"].alias("delta")))
     none = F.array(F.struct(F.lit(NO_DRIVER[0]).alias("name"), F.lit(NO_DRIVER[1]).alias("delta")))
     return roles.select("name", F.when(F.size(told) > 0, told).otherwise(none).alias("drivers"))

@@ -158,7 +158,7 @@ def metadata(df: DataFrame, fields=METADATA_FIELDS) -> Column:
     return F.map_filter(entries, lambda k, v: v.isNotNull() & ~v.isin("nan", "None", ""))
 
 
-def employee_report(found: DataFrame, defaults: DataFrame, scorer: Scorer,
+def employee_report(found: DataFrame, defaults: dict, scorer: Scorer,
                     threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Features, metadata, score and band of looked-up rows; misses are dropped."""
     hits = found.where(F.col("found_in").isNotNull())

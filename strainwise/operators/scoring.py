@@ -11,19 +11,26 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.bands import risk_band
 from ..functions.indices import raw_strain
 from ..functions.numbers import clip
-from ..plans.bounds import only_row
+from ..plans.bounds import one_row
 from ..schema import DEFAULT_THRESHOLD
 from .align import align
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def linear_strain(df: DataFrame, scale: float = 100.0, reference: DataFrame | None = None) -> DataFrame:
-    """Append the linear strain index: fixed weights, then min-max over ``reference`` to 0-10."""
-    ends = (reference if reference is not None else df).select(raw_strain(scale).alias("s")).agg(
-        F.min("s").alias("low"), F.max("s").alias("high"))
-    end = only_row(ends)
-    return df.withColumn("strain_index", F.try_divide(raw_strain(scale) - end["low"], end["high"] - end["low"]) * 10.0)
+def strain_bounds(reference: DataFrame, scale: float = 100.0) -> tuple:
+    """Lowest and highest raw strain of a table."""
+    ends = one_row(reference.select(raw_strain(scale).alias("s")).agg(F.min("s").alias("low"), F.max("s").alias("high")))
+    return ends["low"], ends["high"]
+
+
+def linear_strain(df: DataFrame, scale: float = 100.0, bounds: tuple | None = None) -> DataFrame:
+    """Append the linear strain index: fixed weights, then min-max to 0-10.
+
+    The bounds are those of ``df`` unless given.
+    """
+    low, high = (F.lit(x).cast("double") for x in bounds or strain_bounds(df, scale))
+    return df.withColumn("strain_index", F.try_divide(raw_strain(scale) - low, high - low) * 10.0)
 
 
 def linear_scorer(reference: DataFrame, scale: float = 100.0) -> Scorer:
@@ -33,8 +40,10 @@ def linear_scorer(reference: DataFrame, scale: float = 100.0) -> Scorer:
     The index carries no probability of its own; score / 10 stands in.
     """
 
+    bounds = strain_bounds(reference, scale)
+
     def score(df: DataFrame) -> DataFrame:
-        out = linear_strain(df, scale, reference).withColumn("score", clip("strain_index", 0.0, 10.0))
+        out = linear_strain(df, scale, bounds).withColumn("score", clip("strain_index", 0.0, 10.0))
         return out.withColumn("probability", F.col("score") / 10.0).drop("strain_index")
 
     return score
@@ -45,7 +54,7 @@ def score_features(filled: DataFrame, scorer: Scorer, threshold: float = DEFAULT
     return scorer(filled).withColumn("band", risk_band("score", threshold))
 
 
-def score_roster(roster: DataFrame, defaults: DataFrame, scorer: Scorer,
+def score_roster(roster: DataFrame, defaults: dict, scorer: Scorer,
                  threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """The roster's own columns as given, plus score, probability and band.
 

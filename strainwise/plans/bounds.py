@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # At most this many narrow rows are sent to every executor.
 MAX_BROADCAST_ROWS = 200_000
@@ -26,13 +26,13 @@ def small_side(df: DataFrame, rows: int, max_rows: int = MAX_BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= max_rows else df
 
 
-def only_row(df: DataFrame) -> Column:
-    """The single row of an ungrouped aggregate, as a struct usable in expressions.
+def one_row(df: DataFrame) -> dict:
+    """The single row of an ungrouped aggregate, fetched once as a plain dict.
 
-    A scalar subquery is evaluated once and folded into the projection, so no
-    join is planned and code generation is not interrupted.
+    Statistics fitted this way enter later plans as literals: no join, no repeated
+    scan of the reference table.
     """
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns])).scalar()
+    return df.first().asDict()
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -46,7 +46,14 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later passes reuse the work."""
+    """Write ``df`` to the shared folder and read it back, so later passes reuse the work.
+
+    The files outlive lost executors; the folder is the cluster's to clean.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(write_scratch(df))
+
+
+def write_scratch(df: DataFrame) -> str:
     path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path

@@ -3,6 +3,7 @@
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .bounds import materialize
 from .quantiles import value_buckets
 
 
@@ -11,11 +12,13 @@ def running_totals(df: DataFrame, order: str, sums, splits: int = 512) -> DataFr
     including it (``cum_*``), the grand totals (``all_*``) and the next value's
     sums (``next_*``, NULL at the end).
 
-    Rows are first aggregated per value, so one very common value costs one row.
-    Values are then cut into buckets; bucket totals (at most ``splits`` rows) give
-    the offsets and each bucket is accumulated on its own.
+    Rows are first aggregated per value and written out, so the input is read once
+    and one very common value costs one row. Values are then cut into buckets; bucket
+    totals (at most ``splits`` rows) give the offsets and each bucket is accumulated
+    on its own.
     """
-    per_value = df.where(F.col(order).isNotNull()).groupBy(order).agg(*[F.sum(s).alias(s) for s in sums])
+    per_value = materialize(
+        df.where(F.col(order).isNotNull()).groupBy(order).agg(*[F.sum(s).alias(s) for s in sums]))
     edges = value_buckets(per_value, [order], splits)[order]
     if len(edges) > 2:
         cut = Bucketizer(splits=edges, inputCol=order, outputCol="_bucket").transform(per_value)

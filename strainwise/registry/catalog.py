@@ -11,8 +11,8 @@ from ..functions.numbers import clip
 from ..functions.text import as_number
 from ..operators import attribution, breakdown as bd, clean, evaluate as ev, explore, models, policy
 from ..operators import roster as ro, sampling, scoring, validate
-from ..operators.align import align, default_features, fill_scenarios
-from ..plans.bounds import materialize, scratch_folder
+from ..operators.align import align, default_features, fill_scenarios, fit_defaults
+from ..plans.bounds import scratch_folder, write_scratch
 from ..schema import MODEL_NUMERIC, STRAIN_WEIGHTS, TRACKED
 from ..sources import headers, layouts
 from ..streaming import roster_stream
@@ -73,10 +73,8 @@ def canonical(spark, d) -> DataFrame:
 
 def _stored(spark, d, name, build) -> DataFrame:
     """Write a shared table once per application, like the master table it stands for."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _TABLES:
-        _TABLES[key] = materialize(build())
-    return _TABLES[key]
+    path = _fitted(spark, d, name, lambda: write_scratch(build()))
+    return spark.read.parquet(path)
 
 
 def master(spark, d) -> DataFrame:
@@ -84,12 +82,19 @@ def master(spark, d) -> DataFrame:
     return _stored(spark, d, "master", lambda: indices.with_indices(clean.preprocess(canonical(spark, d))))
 
 
-def defaults(spark, d) -> DataFrame:
-    return _stored(spark, d, "defaults", lambda: default_features(master(spark, d)))
+def _fitted(spark, d, name, fit):
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _TABLES:
+        _TABLES[key] = fit()
+    return _TABLES[key]
+
+
+def defaults(spark, d) -> dict:
+    return _fitted(spark, d, "defaults", lambda: fit_defaults(master(spark, d)))
 
 
 def scorer(spark, d):
-    return scoring.linear_scorer(master(spark, d))
+    return _fitted(spark, d, "scorer", lambda: scoring.linear_scorer(master(spark, d)))
 
 
 def filled(spark, d, keep=("employee_id", "city", "gender")) -> DataFrame:
@@ -790,9 +795,9 @@ _STREAMED = ("employee_id", "work_hours_per_week", "overtime_hours", "meetings_p
 
 def _stream(spark, d):
     """The roster as a file stream: its rows are written out once, in several files."""
-    folder = _stored(spark, d, "roster_files", lambda: roster(spark, d).select(*_STREAMED).repartition(6))
-    path = folder.inputFiles()[0].rsplit("/", 1)[0]
-    stream = roster_stream.read_roster_stream(spark, path, folder.schema, fmt="parquet", files_per_trigger=2)
+    rows = roster(spark, d).select(*_STREAMED)
+    path = _fitted(spark, d, "roster_files", lambda: write_scratch(rows.repartition(6)))
+    stream = roster_stream.read_roster_stream(spark, path, rows.schema, fmt="parquet", files_per_trigger=2)
     return roster_stream.score_stream(stream, defaults(spark, d), scorer(spark, d))
 
 

@@ -25,7 +25,7 @@ def read_roster_stream(spark: SparkSession, folder: str, schema: T.StructType, f
     return require_fields(reader.load(folder))
 
 
-def score_stream(stream: DataFrame, defaults: DataFrame, scorer: Scorer,
+def score_stream(stream: DataFrame, defaults: dict, scorer: Scorer,
                  threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """Same projection as in batch."""
     return score_roster(stream, defaults, scorer, threshold)
