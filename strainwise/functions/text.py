@@ -47,7 +47,5 @@ def normal_id(c) -> Column:
 def recode(c, mapping: dict, keep_others: bool = False) -> Column:
     """Dictionary lookup; unmapped values become NULL unless ``keep_others``."""
     x = col(c)
-    out = None
-    for key, value in mapping.items():
-        out = F.when(x == key, F.lit(value)) if out is None else out.when(x == key, F.lit(value))
-    return out.otherwise(x) if keep_others else out
+    found = F.element_at(F.create_map(*[F.lit(y) for pair in mapping.items() for y in pair]), x)
+    return F.coalesce(found, x) if keep_others else found

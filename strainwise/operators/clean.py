@@ -69,12 +69,13 @@ def clip_score(df: DataFrame, c: str = TARGET) -> DataFrame:
 def keep_first(df: DataFrame, keys=("employee_id", "source_dataset"), order_by=()) -> DataFrame:
     """First row per key (NULL keys equal each other).
 
-    "First" is by ``order_by``, then by the remaining columns, so the outcome does
-    not depend on how the input is split. ``row_number() = 1`` lets Spark keep one
-    candidate per key and task before the shuffle, so a hot key stays cheap.
+    "First" is by ``order_by``, then by a hash of the remaining columns, so the
+    outcome does not depend on how the input is split. ``row_number() = 1`` lets Spark
+    keep one candidate per key and task before the shuffle, so a hot key stays cheap.
     """
     rest = [c for c in df.columns if c not in keys and c not in order_by]
-    window = Window.partitionBy(*keys).orderBy(*order_by, *rest)
+    ties = [F.xxhash64(*rest)] if rest else []
+    window = Window.partitionBy(*keys).orderBy(*(order_by or ()), *(ties or [F.lit(0)]))
     return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 

@@ -8,7 +8,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numbers import clip
 from ..plans.quantiles import exact_medians
@@ -35,17 +35,20 @@ def numeric_statistics(df: DataFrame, numeric=MODEL_NUMERIC) -> DataFrame:
                  F.col(c)["std"].alias("std")) for c in numeric])))
 
 
-def frequent_values(df: DataFrame, c: str, limit: int | None) -> tuple:
-    """Values that get their own indicator, and whether others are folded together.
+def frequent_values(df: DataFrame, columns, limit: int | None) -> dict:
+    """Most frequent values per column, best first (smallest on ties), from one pass.
 
-    Over ``limit`` values, the ``limit - 1`` most frequent stay. At most
-    ``limit + 1`` rows are fetched.
+    With a ``limit`` at most ``limit + 1`` values per column are fetched; without one
+    all of them, which an indicator column per value needs anyway.
     """
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c)
-    rows = [r[c] for r in (counts if limit is None else counts.limit(limit + 1)).collect()]
-    if limit is not None and len(rows) > limit:
-        return sorted(rows[: limit - 1]), True
-    return sorted(rows), False
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in columns]))
+    counts = df.select(pairs.alias("p")).where("p.v is not null").groupBy("p.k", "p.v").count()
+    order = Window.partitionBy("k").orderBy(F.desc("count"), "v")
+    ranked = counts.withColumn("place", F.row_number().over(order))
+    if limit is not None:
+        ranked = ranked.where(F.col("place") <= limit + 1)
+    rows = sorted(ranked.collect(), key=lambda r: r["place"])
+    return {c: [r["v"] for r in rows if r["k"] == c] for c in columns}
 
 
 def _text(value: str) -> str:
@@ -53,23 +56,25 @@ def _text(value: str) -> str:
 
 
 def fit_preprocessor(df: DataFrame, numeric=MODEL_NUMERIC, categorical=MODEL_CATEGORICAL,
-                     max_categories: int | None = 20, output: str = "features") -> PipelineModel:
+                     max_categories: int | None = 20, output: str = "features", stats=None) -> PipelineModel:
     """Median fill + standardise, mode fill + indicators (unknown values: all zeros).
 
+    Over ``max_categories`` values, all but the most frequent share one indicator.
     Every stage is a stock, saveable transformer; the numeric part is plain SQL.
     """
-    stats = numeric_statistics(df, numeric).collect()  # one row per feature
+    stats = stats or numeric_statistics(df, numeric).collect()  # one row per feature
+    values = frequent_values(df, categorical, max_categories) if categorical else {}
     parts, names, labels = [], [], []
     for r in stats:
         std = r["std"] if r["std"] else 1.0
         parts.append(f"(coalesce(`{r['feature']}`, {r['fill']!r}D) - {r['mean']!r}D) / {std!r}D AS `n_{r['feature']}`")
         names.append(f"n_{r['feature']}")
     for c in categorical:
-        known, folded = frequent_values(df, c, max_categories)
-        mode = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-        filled = f"coalesce(`{c}`, {_text(mode[0])})" if mode else f"`{c}`"
-        if folded:
-            # values seen in training but rare share one indicator
+        ranked = values[c]
+        filled = f"coalesce(`{c}`, {_text(ranked[0])})" if ranked else f"`{c}`"
+        known = sorted(ranked)
+        if max_categories is not None and len(ranked) > max_categories:
+            known = sorted(ranked[: max_categories - 1])
             listed = ", ".join(_text(v) for v in known)
             filled = f"CASE WHEN {filled} IN ({listed}) THEN {filled} ELSE {_text(OTHER)} END"
             known = known + [OTHER]
@@ -254,13 +259,14 @@ def segment(df: DataFrame, k: int = 4, restarts: int = 10, features=SEGMENT_FEAT
     Two clusters may get the same name, so the id is kept. The best of ``restarts``
     runs by within-cluster cost is used.
     """
-    prepare = fit_preprocessor(df, numeric=features, categorical=(), output="_cluster_features")
+    rows = numeric_statistics(df, features).collect()  # one row per feature
+    prepare = fit_preprocessor(df, numeric=features, categorical=(), output="_cluster_features", stats=rows)
     scaled = [f"n_{c}" for c in features]
     ready = prepare.transform(df)
     runs = [KMeans(k=k, seed=seed + i, featuresCol="_cluster_features", predictionCol="cluster_id").fit(
         ready.select("_cluster_features")) for i in range(restarts)]
     best = min(runs, key=lambda m: m.summary.trainingCost)
-    stats = {r["feature"]: (r["mean"], r["std"] or 1.0) for r in numeric_statistics(df, features).collect()}
+    stats = {r["feature"]: (r["mean"], r["std"] or 1.0) for r in rows}
     schema = T.StructType([T.StructField("cluster_id", T.IntegerType())]
                           + [T.StructField(c, T.DoubleType()) for c in features])
     centers = [(i, *[float(v) * stats[c][1] + stats[c][0] for c, v in zip(features, center)])

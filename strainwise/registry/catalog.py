@@ -34,12 +34,31 @@ def queries() -> dict:
 
 
 # ----------------------------------------------------------------- shared tables
+def _fitted(spark, d, name, fit):
+    """Build a shared table or statistic once per application and folder."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _TABLES:
+        _TABLES[key] = fit()
+    return _TABLES[key]
+
+
+def _staff_path(spark, d) -> str:
+    # stands for the uploaded files: written once, in several parts
+    return _fitted(spark, d, "staff", lambda: write_scratch(spark_view(spark, d, "staff").repartition("employee_id")))
+
+
 def staff(spark, d) -> DataFrame:
-    return spark_view(spark, d, "staff")
+    return spark.read.parquet(_staff_path(spark, d))
 
 
 def roster(spark, d) -> DataFrame:
-    return spark_view(spark, d, "roster")
+    return spark_view(spark, d, "roster", _staff_path(spark, d))
+
+
+def revisions(spark, d) -> DataFrame:
+    path = _fitted(spark, d, "revisions", lambda: write_scratch(
+        spark_view(spark, d, "revisions", _staff_path(spark, d)).repartition("employee_id")))
+    return spark.read.parquet(path)
 
 
 def tech(spark, d) -> DataFrame:
@@ -71,22 +90,11 @@ def canonical(spark, d) -> DataFrame:
     return layouts.unify([tech(spark, d), employees(spark, d), survey(spark, d), ordinal(spark, d)])
 
 
-def _stored(spark, d, name, build) -> DataFrame:
-    """Write a shared table once per application, like the master table it stands for."""
-    path = _fitted(spark, d, name, lambda: write_scratch(build()))
-    return spark.read.parquet(path)
-
-
 def master(spark, d) -> DataFrame:
     """Cleaned, imputed, de-duplicated table of all four sources with its indices."""
-    return _stored(spark, d, "master", lambda: indices.with_indices(clean.preprocess(canonical(spark, d))))
-
-
-def _fitted(spark, d, name, fit):
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _TABLES:
-        _TABLES[key] = fit()
-    return _TABLES[key]
+    path = _fitted(spark, d, "master", lambda: write_scratch(
+        indices.with_indices(clean.preprocess(canonical(spark, d)))))
+    return spark.read.parquet(path)
 
 
 def defaults(spark, d) -> dict:
@@ -174,7 +182,7 @@ def align_with_defaults(spark, d):
 
 @query("validate_training")
 def validate_training(spark, d):
-    weekly = spark_view(spark, d, "revisions").drop("revision", "stamp", "stamp_part", "work_hours_per_week")
+    weekly = revisions(spark, d).drop("revision", "stamp", "stamp_part", "work_hours_per_week")
     return validate.violations(weekly)
 
 
@@ -391,14 +399,14 @@ def impute_group_median(spark, d):
 
 @query("dedup_keep_first")
 def dedup_keep_first(spark, d):
-    weekly = spark_view(spark, d, "revisions").select(
+    weekly = revisions(spark, d).select(
         "source_dataset", "employee_id", "revision", "stamp", "stamp_part", "work_hours_per_week")
     return clean.keep_first(weekly, order_by=["revision", "stamp", "stamp_part"])
 
 
 @query("preprocess")
 def preprocess(spark, d):
-    df = clean.preprocess(spark_view(spark, d, "revisions"), order_by=["revision", "stamp", "stamp_part"])
+    df = clean.preprocess(revisions(spark, d), order_by=["revision", "stamp", "stamp_part"])
     return df.select("source_dataset", "employee_id", "job_role", "work_mode", "company_size", "revision",
                      F.round("burnout_score", 4).alias("burnout_score"), *[F.round(c, 4).alias(c) for c in TRACKED],
                      *[f"{c}_is_missing" for c in TRACKED])

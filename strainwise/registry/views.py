@@ -121,11 +121,14 @@ VIEWS = {
 }
 
 
-def spark_view(spark, sf_dir: str, name: str):
-    """The view as a DataFrame over the parquet files below ``sf_dir``."""
+def spark_view(spark, sf_dir: str, name: str, staff_path: str | None = None):
+    """The view as a DataFrame over the parquet files below ``sf_dir``.
+
+    ``staff_path`` is a stored copy of ``staff`` to build on.
+    """
     tables = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in BASE}
     if "{staff}" in VIEWS[name]:
-        tables["staff"] = "(" + STAFF.format(**tables) + ")"
+        tables["staff"] = f"parquet.`{staff_path}`" if staff_path else "(" + STAFF.format(**tables) + ")"
     return spark.sql(VIEWS[name].format(**tables))
 
 
