@@ -51,7 +51,8 @@ def model_columns(columns, pipeline: bool = False) -> list:
     """
     out = set(columns) - {TARGET} - set(LEAKING) - set(SENSITIVE)
     if pipeline:
-        out -= set(PIPELINE_EXCLUDED) | set(ENGINEERED)
+        # the cluster is computed from the target, like the segment it names
+        out -= set(PIPELINE_EXCLUDED) | set(ENGINEERED) | {"cluster_id"}
         out = {c for c in out if not c.endswith("_is_missing")}
     return sorted(out)
 

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..schema import LIMITATIONS
 
 
+# padding blanks are data: Spark would drop them on the way out
+CSV = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_master(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """Master table as parquet (default) or CSV with a header."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV).csv(path)
     else:
         writer.format(fmt).save(path)
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Filtered roster or importance table as CSV part files."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
 
 
 def metrics_document(facts: DataFrame, comparison: DataFrame, features, threshold: float,
