@@ -1,8 +1,11 @@
 """Which features move the score: exact linear shares and permutation importance."""
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.bounds import one_row
+from ..schema import SEED
 from .sampling import SPAN, hash_key
 from .scoring import Scorer
 
@@ -21,13 +24,18 @@ def mean_attribution(df: DataFrame, weights: dict, digits: int = 4) -> DataFrame
     ).orderBy(F.desc("mean_abs"), "feature")
 
 
-def shuffled_features(df: DataFrame, features, id_col: str = "employee_id", blocks: int = 64, seed: int = 42) -> DataFrame:
+BLOCK_ROWS = 100_000
+
+
+def shuffled_features(df: DataFrame, features, id_col: str = "employee_id", blocks: int | None = None,
+                      seed: int = SEED) -> DataFrame:
     """Append ``other_<feature>``: the values of another row, drawn by hash order.
 
-    Rows fall into random blocks by id hash; inside a block each row takes the
-    values of the next row in hash order, the last those of the first. Give enough
-    blocks for a block to fit a task.
+    Rows fall into random blocks by the hash of their unique id; inside a block each
+    row takes the values of the next row in hash order, the last those of the first.
+    Without ``blocks`` their number follows the row count.
     """
+    blocks = blocks or max(1, math.ceil(df.count() / BLOCK_ROWS))
     h = hash_key(id_col, seed)
     keyed = df.withColumn("_h", h).withColumn("_block", F.floor(F.col("_h") / (SPAN / blocks)).cast("int"))
     order = Window.partitionBy("_block").orderBy("_h", id_col)
@@ -38,7 +46,7 @@ def shuffled_features(df: DataFrame, features, id_col: str = "employee_id", bloc
 
 
 def permutation_importance(df: DataFrame, scorer: Scorer, features, target: str, id_col: str = "employee_id",
-                           blocks: int = 64, digits: int = 4) -> DataFrame:
+                           blocks: int | None = None, digits: int = 4) -> DataFrame:
     """Rise of the RMSE when one feature is taken from another row, largest first.
 
     One shuffle draws the replacements; every row is then scored once untouched and

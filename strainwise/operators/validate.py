@@ -1,31 +1,48 @@
 """Training-data checks and feature selection."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..plans.bounds import materialize, small_side
 from ..schema import ENGINEERED, LEAKING, PIPELINE_EXCLUDED, REQUIRED_TRAINING, SENSITIVE, TARGET
 
 
+def count_duplicates(df: DataFrame) -> int:
+    """Rows beyond the first of every set of exactly equal rows.
+
+    Only row hashes are shuffled at first. Rows whose hash occurs twice are then
+    compared in full; when there are few such hashes, only those rows move.
+    """
+    doubles = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    # adding zero makes -0.0 and 0.0 hash alike, as they compare
+    parts = [F.col(f"`{c}`") + F.lit(0.0) if c in doubles else F.col(f"`{c}`") for c in df.columns]
+    hashed = df.withColumn("_row_hash", F.xxhash64(*parts))
+    repeated = materialize(hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row_hash"))
+    found = repeated.count()
+    if found == 0:
+        return 0
+    suspects = hashed.join(small_side(repeated, found), "_row_hash", "left_semi")
+    copies = suspects.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    return copies.agg(F.sum(F.col("_copies") - 1).alias("n")).first()["n"]
+
+
 def violations(df: DataFrame, required=REQUIRED_TRAINING, target: str = TARGET) -> DataFrame:
     """One row per rule: ``check, violations``. Zero everywhere means fit for training."""
     absent = sorted(set(required) - set(df.columns))
     if target not in df.columns:
         return df.sparkSession.createDataFrame(
             [("required_columns", len(absent))], "check string, violations bigint")
-    # equal rows collapse before the shuffle, so many copies of one row are no hot spot
-    copies = df.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    n, y = F.col("_copies"), F.col(f"`{target}`")
-    counted = copies.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(F.when(y.isNull(), n)), F.lit(0)).alias("missing_target"),
-        F.coalesce(F.sum(F.when((y < 0) | (y > 10), n)), F.lit(0)).alias("target_out_of_range"),
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("duplicate_rows"),
+    y = F.col(f"`{target}`")
+    counted = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(y.isNull(), 1)).alias("missing_target"),
+        F.count(F.when((y < 0) | (y > 10), 1)).alias("target_out_of_range"),
     )
     found = {
         "required_columns": F.lit(len(absent)).cast("bigint"),
         "empty": (F.col("rows") == 0).cast("bigint"),
         "missing_target": F.col("missing_target"),
         "target_out_of_range": F.col("target_out_of_range"),
-        "duplicate_rows": F.col("duplicate_rows"),
+        "duplicate_rows": F.lit(count_duplicates(df)).cast("bigint"),
     }
     return counted.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("check"), v.alias("violations")) for name, v in found.items()])))

@@ -703,10 +703,15 @@ def employee_report(spark, d):
 # ------------------------------------------------------------------- fitted models
 # Small settings: boosting is sequential, and these runs check the path.
 def _prepared(spark, d):
-    rows = sampling.with_split(validate.labeled(master(spark, d)))
-    train = rows.where("split = 'train'")
-    prepare = models.fit_preprocessor(train, [c for c in MODEL_NUMERIC if c != "stress_level"])
-    return prepare, prepare.transform(rows)
+    """Fitted preparation, and the vectors of all labelled rows, written once."""
+    def fit():
+        rows = sampling.with_split(validate.labeled(master(spark, d)))
+        prepare = models.fit_preprocessor(rows.where("split = 'train'"), [c for c in MODEL_NUMERIC if c != "stress_level"])
+        kept = prepare.transform(rows).select("source_dataset", "employee_id", "burnout_score", "split", "features")
+        return prepare, write_scratch(kept)
+
+    prepare, path = _fitted(spark, d, "prepared", fit)
+    return prepare, spark.read.parquet(path)
 
 
 def _one_model(spark, d, name, **settings):
@@ -750,10 +755,13 @@ def reg_gbt_subsample(spark, d):
 
 @query("model_comparison")
 def model_comparison(spark, d):
-    _, rows = _prepared(spark, d)
-    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    small = models.regressors(train, trees=8, forest_depth=6, boost_rounds=5, sampled_rounds=5, sampled_depth=4)
-    return models.compare(train, test, small)[0]
+    def fit():
+        _, rows = _prepared(spark, d)
+        train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+        small = models.regressors(train, trees=8, forest_depth=6, boost_rounds=5, sampled_rounds=5, sampled_depth=4)
+        return write_scratch(models.compare(train, test, small)[0])
+
+    return spark.read.parquet(_fitted(spark, d, "comparison", fit))
 
 
 @query("best_model")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import nan_to_null
 from ..functions.text import recode
+from ..plans.bounds import small_side
 from ..schema import CANONICAL, CANONICAL_TYPE
 
 # Source names and the ordinal scales of the answer words.
@@ -42,7 +43,7 @@ def row_numbers(df: DataFrame, name: str = "row_no") -> DataFrame:
     counted = local.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counted.select("_task", F.expr("sum(_n) over (order by _task) - _n").alias("_from"))
     # one row per scan task
-    joined = local.withColumn("_task", task).join(F.broadcast(offsets), "_task")
+    joined = local.withColumn("_task", task).join(small_side(offsets, df.rdd.getNumPartitions()), "_task")
     return joined.withColumn(name, F.col("_from") + position).drop("_id", "_task", "_from")
 
 

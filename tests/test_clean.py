@@ -81,6 +81,14 @@ def test_violations(spark):
         raise AssertionError("accepted")
 
 
+def test_duplicates_are_exact(spark, monkeypatch):
+    df = spark.sql("select * from values (1, 0.0d, null), (1, -0.0d, null), (1, 0.0d, 'a'), (2, 1d, 'a'), (2, 1d, 'a'), (2, 1d, 'a') t(a, b, c)")
+    assert validate.count_duplicates(df) == 3
+    monkeypatch.setattr(validate, "small_side", lambda d, n: d)
+    assert validate.count_duplicates(df.repartition(5)) == 3
+    assert validate.count_duplicates(df.distinct()) == 0
+
+
 def test_model_columns():
     cols = ["employee_id", "age", "gender", "burnout_level", "burnout_score", "sleep_hours", "stress_level",
             "workload_index", "sleep_hours_is_missing", "anxiety_score"]
