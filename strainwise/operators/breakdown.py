@@ -53,7 +53,8 @@ def breakdown_all(scored: DataFrame, keys, limit: int = 20, score: str = "score"
 
 def city_states(spark) -> DataFrame:
     """The fixed city table (under a hundred rows)."""
-    return spark.createDataFrame(list(CITY_STATES.items()), "city_key string, state_name string")
+    pairs = F.create_map(*[F.lit(x) for pair in CITY_STATES.items() for x in pair])
+    return spark.range(1).select(F.explode(pairs).alias("city_key", "state_name"))
 
 
 def with_city_state(df: DataFrame, city: str = "city", name: str = "state") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -263,9 +264,12 @@ def segment(df: DataFrame, k: int = 4, restarts: int = 10, features=SEGMENT_FEAT
     prepare = fit_preprocessor(df, numeric=features, categorical=(), output="_cluster_features", stats=rows)
     scaled = [f"n_{c}" for c in features]
     ready = prepare.transform(df)
-    runs = [KMeans(k=k, seed=seed + i, featuresCol="_cluster_features", predictionCol="cluster_id").fit(
-        ready.select("_cluster_features")) for i in range(restarts)]
+    # kept once for all restarts; lost blocks are read again from the table
+    vectors = ready.select("_cluster_features").persist(StorageLevel.MEMORY_AND_DISK)
+    runs = [KMeans(k=k, seed=seed + i, featuresCol="_cluster_features", predictionCol="cluster_id").fit(vectors)
+            for i in range(restarts)]
     best = min(runs, key=lambda m: m.summary.trainingCost)
+    vectors.unpersist()
     stats = {r["feature"]: (r["mean"], r["std"] or 1.0) for r in rows}
     schema = T.StructType([T.StructField("cluster_id", T.IntegerType())]
                           + [T.StructField(c, T.DoubleType()) for c in features])
