@@ -4,7 +4,7 @@ Two physical strategies give the same numbers:
 
 * few distinct values (checked): one aggregate with ``percentile``, whose
   buffer is a value -> count map;
-* many distinct values: counts per value are pre-aggregated, spread over
+* many distinct values (only the columns that have them): counts per value are pre-aggregated, spread over
   buckets of about equal size, and only the buckets holding a wanted rank are
   sorted. No task ever holds a whole group.
 """
@@ -12,7 +12,7 @@ Two physical strategies give the same numbers:
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bounds import MAX_DISTINCT, distinct_counts
+from .bounds import MAX_DISTINCT, distinct_counts, one_row
 
 SPLITS = 512
 # Marks the all-rows line of a grouped result.
@@ -28,9 +28,28 @@ def exact_quantiles(df: DataFrame, columns, probs, by=None, with_total=False,
     """
     columns, probs = list(columns), [float(p) for p in probs]
     known = distinct or distinct_counts(df, columns)
-    if max(known[c] for c in columns) <= max_distinct:
-        return _by_percentile(df, columns, probs, by, with_total)
-    return _by_buckets(df, columns, probs, by, with_total)
+    many = [c for c in columns if known[c] > max_distinct]
+    few = [c for c in columns if c not in many]
+    if not many:
+        return _by_percentile(df, few, probs, by, with_total)
+    bucketed = _by_buckets(df, many, probs, by, with_total)
+    if not few:
+        return bucketed
+    plain = _by_percentile(df, few, probs, by, with_total)
+    if by is None:
+        values = one_row(bucketed)
+        return plain.withColumns({c: _numbers(values[c]) for c in many}).select(*columns)
+    # one row per group on both sides
+    keys = [by, TOTAL] if with_total else [by]
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return plain.alias("a").join(bucketed.alias("b"), same, "left").select(
+        *[f"a.{k}" for k in keys], *[F.col(f"{'b' if c in many else 'a'}.{c}").alias(c) for c in columns])
+
+
+def _numbers(values):
+    if not values:
+        return F.lit(None).cast("array<double>")
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
 def exact_medians(df: DataFrame, columns, by=None, **options) -> DataFrame:

@@ -28,11 +28,16 @@ def skewed(spark):
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("limit", [10 ** 6, 0])  # one aggregate / buckets
-def test_quantiles(skewed, limit):
+# one aggregate, buckets, and one column each way
+SIZES = [{"x": 10, "y": 10}, {"x": 10 ** 9, "y": 10 ** 9}, {"x": 10 ** 9, "y": 10}, {"x": 10, "y": 10 ** 9}]
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_quantiles(skewed, sizes):
     pdf, df = skewed
-    rows = exact_quantiles(df, ["x", "y"], PROBS, by="g", with_total=True, max_distinct=limit).collect()
-    assert len(rows) == (5 if limit else 5)
+    out = exact_quantiles(df, ["x", "y"], PROBS, by="g", with_total=True, distinct=sizes)
+    rows = out.collect()
+    assert len(rows) == 5
     for r in rows:
         part = pdf if r["is_total"] else pdf[pdf.g == r["g"]]
         for c in ("x", "y"):
@@ -43,11 +48,11 @@ def test_quantiles(skewed, limit):
                 assert np.allclose(r[c], np.quantile(values, PROBS)), (r["g"], c)
 
 
-@pytest.mark.parametrize("limit", [10 ** 6, 0])
-def test_quantiles_ungrouped(skewed, limit):
+@pytest.mark.parametrize("sizes", SIZES)
+def test_quantiles_ungrouped(skewed, sizes):
     pdf, df = skewed
-    r = exact_quantiles(df, ["x"], PROBS, max_distinct=limit).first()
-    assert np.allclose(r["x"], np.quantile(pdf.x, PROBS))
+    r = exact_quantiles(df, ["x", "y"], PROBS, distinct=sizes).first()
+    assert np.allclose(r["x"], np.quantile(pdf.x, PROBS)) and np.allclose(r["y"], np.quantile(pdf.y.dropna(), PROBS))
 
 
 @pytest.mark.parametrize("limit", [10 ** 6, 0])
