@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 # sign and exponent, no unit suffix, no hex, no digit separators, no inf/nan.
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
+BLANKS = " \t\n\x0b\x0c\r"
+
 
 def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -13,7 +15,7 @@ def col(c) -> Column:
 
 def strip(c) -> Column:
     """Remove any leading and trailing white space, tabs and newlines included."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def capitalize(c) -> Column:
@@ -25,11 +27,13 @@ def capitalize(c) -> Column:
 def title(c) -> Column:
     """Upper-case after *every* non-letter.
 
-    ``initcap`` only restarts after a space, so a space is inserted behind each
-    non-letter first and taken out again afterwards.
+    ``initcap`` only restarts after a space. Where other non-letters occur, a space
+    is inserted behind each non-letter first and taken out again afterwards.
     """
-    spaced = F.regexp_replace(col(c), r"([^\p{L}])", "$1 ")
-    return F.regexp_replace(F.initcap(spaced), r"([^\p{L}]) ", "$1")
+    x = col(c)
+    spaced = F.regexp_replace(x, r"([^\p{L}])", "$1 ")
+    restarted = F.regexp_replace(F.initcap(spaced), r"([^\p{L}]) ", "$1")
+    return F.when(x.rlike(r"^[\p{L} ]*$"), F.initcap(x)).otherwise(restarted)
 
 
 def as_number(c) -> Column:
