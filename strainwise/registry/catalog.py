@@ -15,6 +15,7 @@ from ..operators.align import align, default_features, fill_scenarios, fit_defau
 from ..plans.bounds import scratch_folder, write_scratch
 from ..schema import MODEL_NUMERIC, STRAIN_WEIGHTS, TRACKED
 from ..sources import headers, layouts
+from ..sources.readers import path_exists
 from ..streaming import roster_stream
 from .views import spark_view
 
@@ -35,11 +36,16 @@ def queries() -> dict:
 
 # ----------------------------------------------------------------- shared tables
 def _fitted(spark, d, name, fit):
-    """Build a shared table or statistic once per application and folder."""
+    """Build a shared table or statistic once per application and folder.
+
+    A table whose files are gone is built again.
+    """
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _TABLES:
-        _TABLES[key] = fit()
-    return _TABLES[key]
+    known = _TABLES.get(key)
+    paths = [x for x in (known if isinstance(known, tuple) else (known,)) if isinstance(x, str)]
+    if known is None or not all(path_exists(spark, p) for p in paths):
+        _TABLES[key] = known = fit()
+    return known
 
 
 def _staff_path(spark, d) -> str:
