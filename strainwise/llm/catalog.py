@@ -1,8 +1,10 @@
 """One query per operator over its whole table, and DuckDB SQL where SQL can express it."""
 
+import os
+
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, ngram_join, packing, pii, reshard, toxicity, warc
+from . import chat, exact_dedup, ngram_join, packing, pii, reshard, rp_forest, sentencepiece_viterbi, toxicity, warc
 from .common import table
 
 
@@ -10,6 +12,11 @@ def op1_exact_dedup(spark, d):
     return exact_dedup.exact_dedup(table(spark, d, "documents"))
 
 
+def op2_sentencepiece(spark, d, model_file=None):
+    model_file = model_file or os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+    return sentencepiece_viterbi.encode_digest(table(spark, d, "documents"), model_file)
+
+
 def op3_chat_format(spark, d):
     return chat.chat_format(table(spark, d, "conversations"))
 
@@ -33,6 +40,10 @@ def op6_reshard(spark, d):
                          F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op7_embedding_forest(spark, d):
+    return rp_forest.near_vectors(table(spark, d, "embeddings"))
+
+
 def op8_best_fit(spark, d):
     return packing.best_fit_pack(packing.items_of(table(spark, d, "documents"))).withColumnRenamed("id", "doc_id")
 
@@ -47,8 +58,8 @@ def op10_ngram_join(spark, d):
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_exact_dedup, op3_chat_format, op4_warc, op5_toxicity, op6_reshard, op8_best_fit, op9_pii,
-        op10_ngram_join)}
+        op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_warc, op5_toxicity, op6_reshard, op7_embedding_forest,
+        op8_best_fit, op9_pii, op10_ngram_join)}
 
 
 ORACLE = {
@@ -81,6 +92,17 @@ ORACLE = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM b""",
+    "op7_embedding_forest": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM c LEFT JOIN n USING (vec_id)""",
     "op10_ngram_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
