@@ -128,8 +128,9 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float]
     each = Window.partitionBy("old", "block", "shard").orderBy("position")
     numbered = placed.withColumn("local", F.row_number().over(each).cast("long") - 1)
     folder = folder or scratch_folder(docs.sparkSession)
-    numbered.select("id", "text", "size", "old", "block", "position", "local", "shard").write.partitionBy("shard").parquet(folder)
-    written = docs.sparkSession.read.parquet(folder)
+    numbered = numbered.select("id", "text", "size", "old", "block", "position", "local", "shard")
+    numbered.write.partitionBy("shard").parquet(folder)
+    written = docs.sparkSession.read.schema(numbered.schema).parquet(folder)
     counts = written.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "old", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -103,7 +103,7 @@ def _contexts(wanted: frozenset):
                 if toxic == 1:
                     words = WORD.findall(fold(text.as_py() or ""))
                     for k, word in enumerate(words):
-                        around = f"{words[k - 1] if k else ''} {words[k + 1] if k + 1 < len(words) else ''}"
+                        around = " ".join([*words[max(0, k - 3):k], "-", *words[k + 1:k + 4]])
                         rows.update((f"{number}.{i}", p, around) for p in patterns(word) if p in wanted)
             yield records(sorted(rows), pa.schema([("doc", pa.string()), ("pattern", pa.string()), ("around", pa.string())]))
 
