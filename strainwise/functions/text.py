@@ -6,7 +6,9 @@ from pyspark.sql import Column, functions as F
 # sign and exponent, no unit suffix, no hex, no digit separators, no inf/nan.
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
-BLANKS = " \t\n\x0b\x0c\r"
+# The white space of Unicode, as text methods strip it.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                           0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def col(c) -> Column:

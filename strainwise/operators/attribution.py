@@ -1,12 +1,11 @@
 """Which features move the score: exact linear shares and permutation importance."""
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.bounds import one_row
+from ..plans.quantiles import PART, PART_ROWS, ranged
 from ..schema import SEED
-from .sampling import SPAN, hash_key
+from .sampling import hash_key
 from .scoring import Scorer
 
 
@@ -24,36 +23,33 @@ def mean_attribution(df: DataFrame, weights: dict, digits: int = 4) -> DataFrame
     ).orderBy(F.desc("mean_abs"), "feature")
 
 
-BLOCK_ROWS = 100_000
-
-
-def shuffled_features(df: DataFrame, features, id_col: str = "employee_id", blocks: int | None = None,
-                      seed: int = SEED) -> DataFrame:
-    """Append ``other_<feature>``: the values of another row, drawn by hash order.
+def shuffled_features(df: DataFrame, features, id_col: str = "employee_id", seed: int = SEED,
+                      part_rows: int = PART_ROWS) -> DataFrame:
+    """Append ``other_<feature>``: the values of the next row in the order of the ids' hashes.
 
-    Rows fall into random blocks by the hash of their unique id; inside a block each
-    row takes the values of the next row in hash order, the last those of the first.
-    Without ``blocks`` their number follows the row count.
+    The last row takes those of the first. The order is one over all rows, whatever
+    their number: rows lie in range partitions, and the last row of a partition takes
+    the first one of the next partition that has any. Ids must be unique.
     """
-    blocks = blocks or max(1, math.ceil(df.count() / BLOCK_ROWS))
-    h = hash_key(id_col, seed)
-    keyed = df.withColumn("_h", h).withColumn("_block", F.floor(F.col("_h") / (SPAN / blocks)).cast("int"))
-    order = Window.partitionBy("_block").orderBy("_h", id_col)
+    keyed = ranged(df.withColumn("_h", hash_key(id_col, seed)), ["_h", id_col], part_rows)
     row = F.struct(*features)
-    after = F.coalesce(F.lead(row).over(order), F.first(row).over(order))
-    moved = keyed.withColumn("_next", after)
-    return moved.withColumns({f"other_{c}": F.col(f"_next.{c}") for c in features}).drop("_h", "_block", "_next")
+    heads = keyed.groupBy(PART).agg(F.min_by(row, F.struct("_h", id_col)).alias("_head"))
+    line = Window.orderBy(PART)  # one row per partition
+    after = heads.select(PART, F.coalesce(F.lead("_head").over(line), F.first("_head").over(line)).alias("_after"))
+    order = Window.partitionBy(PART).orderBy("_h", id_col)
+    moved = keyed.join(F.broadcast(after), PART).withColumn("_next", F.coalesce(F.lead(row).over(order), F.col("_after")))
+    return moved.withColumns({f"other_{c}": F.col(f"_next.{c}") for c in features}).drop("_h", PART, "_after", "_next")
 
 
 def permutation_importance(df: DataFrame, scorer: Scorer, features, target: str, id_col: str = "employee_id",
-                           blocks: int | None = None, digits: int = 4) -> DataFrame:
+                           digits: int = 4, **options) -> DataFrame:
     """Rise of the RMSE when one feature is taken from another row, largest first.
 
     One shuffle draws the replacements; every row is then scored once untouched and
     once per feature in the same pass.
     """
     features = list(features)
-    drawn = shuffled_features(df, features, id_col, blocks)
+    drawn = shuffled_features(df, features, id_col, **options)
     rows = drawn.withColumn("_f", F.explode(F.array(*[F.lit(c) for c in ["", *features]])))
     swapped = rows.withColumns({
         c: F.when(F.col("_f") == c, F.col(f"other_{c}")).otherwise(F.col(c)) for c in features})

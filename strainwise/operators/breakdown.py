@@ -23,9 +23,12 @@ def top_groups(groups: DataFrame, limit: int = 20) -> DataFrame:
     return groups.orderBy(F.desc("mean_score"), F.desc("employees"), "name").limit(limit)
 
 
-def breakdown(scored: DataFrame, key, limit: int | None = 20, score: str = "score",
+def breakdown(scored: DataFrame, key, limit: int | None = None, score: str = "score",
               threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """``name, mean_score, elevated_rate, employees`` per key; NULL counts as Unknown."""
+    """``name, mean_score, elevated_rate, employees`` per key, all of them unless ``limit`` is given.
+
+    NULL counts as Unknown.
+    """
     name = key if isinstance(key, Column) else F.col(key)
     groups = scored.groupBy(F.coalesce(name.cast("string"), F.lit(UNKNOWN)).alias("name")).agg(
         *_measures(score, threshold))
@@ -39,16 +42,17 @@ def breakdown_hours(scored: DataFrame, hours: str = "work_hours_per_week", **opt
     return breakdown(banded, "_hours_band", **options)
 
 
-def breakdown_all(scored: DataFrame, keys, limit: int = 20, score: str = "score",
+def breakdown_all(scored: DataFrame, keys, limit: int | None = None, score: str = "score",
                   threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Several breakdowns from one scan: ``dimension, name, ...``, best ``limit`` groups each."""
+    """Several breakdowns from one scan: ``dimension, name, ..., place``; with ``limit`` the best ones of each."""
     pairs = F.explode(F.array(*[
         F.struct(F.lit(k).alias("dimension"), F.coalesce(F.col(k).cast("string"), F.lit(UNKNOWN)).alias("name"))
         for k in keys]))
     groups = (scored.select(score, pairs.alias("p")).groupBy("p.dimension", "p.name")
               .agg(*_measures(score, threshold)))
     rank = Window.partitionBy("dimension").orderBy(F.desc("mean_score"), F.desc("employees"), "name")
-    return groups.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= limit)
+    placed = groups.withColumn("place", F.row_number().over(rank))
+    return placed if limit is None else placed.where(F.col("place") <= limit)
 
 
 def city_states(spark) -> DataFrame:
@@ -77,8 +81,8 @@ def known_state(df: DataFrame, state: str = "state") -> DataFrame:
     return df.where(F.col(state).isNotNull() & ~F.col(state).isin("None", "nan"))
 
 
-def breakdown_state(scored: DataFrame, state: str = "state", limit: int = 30, **options) -> DataFrame:
-    return breakdown(known_state(scored, state), state, limit=limit, **options)
+def breakdown_state(scored: DataFrame, state: str = "state", **options) -> DataFrame:
+    return breakdown(known_state(scored, state), state, **options)
 
 
 def _band_counts(score: Column, threshold: float) -> list:
@@ -91,19 +95,19 @@ def fleet_summary(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> Da
     s = F.col("score")
     return scored.agg(
         F.count(F.lit(1)).alias("employees"),
-        F.round(F.avg(s), 2).alias("mean_burnout_score"),
+        F.round(F.avg(s), 2).alias("mean_strain_score"),
         share(s >= threshold).alias("elevated_review_rate"),
         F.round(F.avg("probability") * 100.0, 1).alias("mean_elevated_probability"),
         *_band_counts(s, threshold),
     )
 
 
-def org_summary(master: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "burnout_score") -> DataFrame:
+def org_summary(master: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "strain_score") -> DataFrame:
     """One row over the master table; NULL scores are in no band but in the rate's denominator."""
     s = F.col(score)
     return master.agg(
         F.count(F.lit(1)).alias("employees"),
-        F.round(F.avg(s), 2).alias("mean_burnout"),
+        F.round(F.avg(s), 2).alias("mean_strain"),
         share(s >= threshold).alias("elevated_rate"),
         F.round(F.avg("stress_level"), 2).alias("mean_stress"),
         F.lit(float(threshold)).alias("threshold"),
@@ -111,13 +115,13 @@ def org_summary(master: DataFrame, threshold: float = DEFAULT_THRESHOLD, score:
     )
 
 
-def mean_by(master: DataFrame, key: str, score: str = "burnout_score") -> DataFrame:
+def mean_by(master: DataFrame, key: str, score: str = "strain_score") -> DataFrame:
     """Mean score per non-NULL key, highest first."""
     return (master.where(F.col(key).isNotNull()).groupBy(key)
             .agg(F.round(F.avg(score), 2).alias("mean_score")).orderBy(F.desc_nulls_last("mean_score"), key))
 
 
-def elevated_by(df: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD, score: str = "burnout_score") -> DataFrame:
+def elevated_by(df: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD, score: str = "strain_score") -> DataFrame:
     """Elevated percentage per non-NULL key, highest first."""
     return (df.where(F.col(key).isNotNull()).groupBy(key)
             .agg(share(F.col(score) >= threshold).alias("elevated_rate"))

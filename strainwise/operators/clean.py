@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import clip
 from ..functions.text import capitalize, recode, strip, title
-from ..plans.bounds import MAX_DISTINCT, distinct_counts, materialize, small_side
+from ..plans.bounds import materialize, small_side
 from ..plans.quantiles import TOTAL, exact_medians
 from ..schema import TARGET, TRACKED, WORK_MODES
 
@@ -38,21 +38,18 @@ def flag_missing(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{c}_is_missing": F.col(c).isNull().cast("int") for c in tracked(df)})
 
 
-def impute_role_median(df: DataFrame, by: str = "job_role", max_distinct: int = MAX_DISTINCT) -> DataFrame:
+def impute_role_median(df: DataFrame, by: str = "job_role", **options) -> DataFrame:
     """Fill gaps with the role's median, else the overall median, else 0.
 
-    Three reads of ``df``: one profile pass (it decides the median strategy and
-    whether the per-role table may be broadcast), one for all medians, one to fill.
+    Two reads of ``df``: one counts values for all medians, one fills.
     """
     columns = tracked(df)
-    sizes = distinct_counts(df, [by, *columns])
-    medians = materialize(
-        exact_medians(df, columns, by=by, with_total=True, max_distinct=max_distinct, distinct=sizes))
+    medians = materialize(exact_medians(df, columns, by=by, with_total=True, **options))
     total = medians.where(TOTAL).first()
     overall = {c: (total[c] if total else None) for c in columns}
     names = {c: f"_m_{c}" for c in columns}
     per_role = medians.where(~F.col(TOTAL)).select(by, *[F.col(c).alias(n) for c, n in names.items()])
-    joined = df.join(small_side(per_role, sizes[by]), by, "left")
+    joined = df.join(small_side(per_role, medians.count()), by, "left")
     filled = {c: F.coalesce(c, n, F.lit(0.0 if overall[c] is None else overall[c])) for c, n in names.items()}
     return joined.withColumns(filled).select(*df.columns)
 
@@ -95,8 +92,7 @@ def median_per_role_window(df: DataFrame, c: str, by: str = "job_role", **option
     Same result as ``median(c) over (partition by role)`` without putting a whole
     role into one task: the medians are aggregated and joined back.
     """
-    sizes = distinct_counts(df, [by, c])
-    medians = exact_medians(df, [c], by=by, distinct=sizes, **options).withColumnRenamed(c, f"{c}_{by}_median")
+    medians = materialize(exact_medians(df, [c], by=by, **options).withColumnRenamed(c, f"{c}_{by}_median"))
     right = medians.withColumnRenamed(by, "_by")
     match = F.col(by).eqNullSafe(F.col("_by"))
-    return df.join(small_side(right, sizes[by]), match, "left").drop("_by")
+    return df.join(small_side(right, medians.count()), match, "left").drop("_by")

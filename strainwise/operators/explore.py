@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.bounds import distinct_counts, one_row, small_side
+from ..plans.bounds import materialize, one_row, small_side
 from ..plans.quantiles import exact_quantiles
 from ..schema import CORRELATED, DEFAULT_THRESHOLD, TARGET
 
@@ -39,29 +39,32 @@ def column_profile(df: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, c: str, low: float, high: float, bins: int) -> DataFrame:
-    """Rows per equal-width bin; bins are closed on the left, the last one on both sides."""
+    """Rows per equal-width bin; bins are closed on the left, the last one on both sides.
+
+    Bin -1 counts values below ``low``, bin ``bins`` those above ``high``.
+    """
     width = (high - low) / bins
-    inside = df.where((F.col(c) >= low) & (F.col(c) <= high))
-    place = F.least(F.lit(bins - 1), F.floor((F.col(c) - low) / width)).cast("int")
-    counts = inside.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    empty = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    # both sides hold at most `bins` rows
+    x = F.col(c)
+    place = F.when(x < low, -1).when(x > high, bins).otherwise(
+        F.least(F.lit(bins - 1), F.floor((x - low) / width)).cast("int"))
+    counts = df.where(x.isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    empty = df.sparkSession.range(-1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    # both sides hold a row per bin
     return empty.join(F.broadcast(counts), "bin", "left").select(
-        "bin", F.round(low + F.col("bin") * width, 6).alias("low"),
-        F.round(low + (F.col("bin") + 1) * width, 6).alias("high"),
+        "bin", F.when(F.col("bin") >= 0, F.round(low + F.col("bin") * width, 6)).alias("low"),
+        F.when(F.col("bin") < bins, F.round(low + (F.col("bin") + 1) * width, 6)).alias("high"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("rows"))
 
 
 def boxplot(df: DataFrame, by: str, c: str = TARGET, digits: int = 4, **options) -> DataFrame:
     """Quartiles, whiskers (1.5 IQR) and outlier count per group."""
     rows = df.where(F.col(c).isNotNull() & F.col(by).isNotNull()).select(by, F.col(c).alias("_v"))
-    sizes = distinct_counts(rows, [by, "_v"])
-    q = exact_quantiles(rows, ["_v"], [0.25, 0.5, 0.75], by=by, distinct=sizes, **options).select(
+    q = materialize(exact_quantiles(rows, ["_v"], [0.25, 0.5, 0.75], by=by, **options)).select(
         by, F.element_at("_v", 1).alias("q1"), F.element_at("_v", 2).alias("med"), F.element_at("_v", 3).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     low, high = F.col("q1") - reach, F.col("q3") + reach
     v = F.col("_v")
-    return (rows.join(small_side(q, sizes[by]), by)
+    return (rows.join(small_side(q, q.count()), by)
             .groupBy(by)
             .agg(F.count(F.lit(1)).alias("rows"),
                  F.round(F.max("q1"), digits).alias("q1"), F.round(F.max("med"), digits).alias("median"),
@@ -72,17 +75,15 @@ def boxplot(df: DataFrame, by: str, c: str = TARGET, digits: int = 4, **options)
 
 
 def correlation(df: DataFrame, columns=CORRELATED, digits: int = 4) -> DataFrame:
-    """Pearson correlation of every pair (lower triangle), pairwise complete rows."""
-    # one line per row and left metric keeps the aggregate small enough to compile
-    lefts, rights = columns[:-1], columns[1:]
-    left = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name"), F.col(c).alias("x"))
-                               for i, c in enumerate(lefts)]))
-    lines = df.select(left.alias("l"), *rights).groupBy("l.i", "l.name").agg(
-        *[F.corr("l.x", c).alias(c) for c in rights])
-    cells = F.inline(F.array(*[
-        F.struct(F.lit(j + 1).alias("j"), F.lit(c).alias("right_metric"), F.round(c, digits).alias("corr"))
-        for j, c in enumerate(rights)]))
-    return lines.select("i", F.col("name").alias("left_metric"), cells).where("i < j").drop("i", "j")
+    """Pearson correlation of every pair (lower triangle), pairwise complete rows.
+
+    One aggregate over one scan; a row is read once, not once per metric.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    found = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"), F.round(f"c{k}", digits).alias("corr"))
+        for k, (a, b) in enumerate(pairs)])))
 
 
 def label_counts(df: DataFrame, source: str = "source_dataset", target: str = TARGET) -> DataFrame:

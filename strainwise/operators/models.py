@@ -1,5 +1,6 @@
 """Model preparation, regressors, calibrated risk classifier and segmentation on MLlib."""
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -12,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numbers import clip
+from ..plans.bounds import materialize
 from ..plans.quantiles import exact_medians
 from ..schema import MODEL_CATEGORICAL, MODEL_NUMERIC, SEED, SEGMENTS, TARGET
 from .evaluate import regression_metrics_by
@@ -19,7 +21,7 @@ from .sampling import with_fold
 from .scoring import Scorer
 
 OTHER = "(other)"
-SEGMENT_FEATURES = ("workload_index", "wellness_score", "burnout_score")
+SEGMENT_FEATURES = ("workload_index", "wellness_score", "strain_score")
 
 
 # ------------------------------------------------------------------ preparation
@@ -57,7 +59,7 @@ def _text(value: str) -> str:
 
 
 def fit_preprocessor(df: DataFrame, numeric=MODEL_NUMERIC, categorical=MODEL_CATEGORICAL,
-                     max_categories: int | None = 20, output: str = "features", stats=None) -> PipelineModel:
+                     max_categories: int | None = None, output: str = "features", stats=None) -> PipelineModel:
     """Median fill + standardise, mode fill + indicators (unknown values: all zeros).
 
     Over ``max_categories`` values, all but the most frequent share one indicator.
@@ -138,12 +140,17 @@ def compare(train: DataFrame, test: DataFrame, estimators: dict, label: str = TA
     pass over the test rows. ``features`` must exist already.
     """
     fitted = {name: e.fit(train) for name, e in estimators.items()}
+    return measure(test, fitted, label), fitted
+
+
+def measure(test: DataFrame, fitted: dict, label: str = TARGET) -> DataFrame:
+    """``model, mae, rmse, r2`` of fitted models, from one pass over the test rows."""
     scored = test.select("features", F.col(label).alias("y"))
     for name, model in fitted.items():
         scored = model.copy({model.predictionCol: f"p_{name}"}).transform(scored)
     long = scored.select("y", F.explode(F.array(*[
         F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p")) for n in fitted])).alias("m"))
-    return regression_metrics_by(long.select("y", "m.*"), "model"), fitted
+    return regression_metrics_by(long.select("y", "m.*"), "model")
 
 
 def best_model(comparison: DataFrame) -> DataFrame:
@@ -214,7 +221,8 @@ def fit_risk(train: DataFrame, label: str, id_col: str = "employee_id", folds: i
              depth: int = 6, calibrate: bool = True, weighted: bool = True):
     """Class-weighted boosted classifier; with ``calibrate``, sigmoid-calibrated over folds.
 
-    ``train`` holds prepared ``features`` and a 0/1 ``label``. Folds are by id hash.
+    ``train`` holds prepared ``features`` and a 0/1 ``label``. Folds hold equal shares of
+    both labels; the classifiers of the folds are fitted at the same time.
     """
     n = train.agg(F.sum(label).alias("pos"), F.count(label).alias("n")).first()
     ratio = (n["n"] - n["pos"]) / max(n["pos"], 1) if weighted else 1.0
@@ -223,13 +231,15 @@ def fit_risk(train: DataFrame, label: str, id_col: str = "employee_id", folds: i
                          subsamplingRate=0.85, featureSubsetStrategy="0.9", seed=SEED)
     if not calibrate:
         return base.fit(rows)
-    folded = with_fold(rows, id_col, folds)
-    members = []
-    for i in range(folds):
+    folded = materialize(with_fold(rows, id_col, folds, stratify=label))
+
+    def member(i):
         margin = base.fit(folded.where(F.col("fold") != i))
         held_out = _with_margin(margin, folded.where(F.col("fold") == i))
-        members.append((margin, _sigmoid(held_out.select("_margin", label), label)))
-    return CalibratedRisk(members)
+        return margin, _sigmoid(held_out.select("_margin", label), label)
+
+    with ThreadPoolExecutor(folds) as pool:
+        return CalibratedRisk(list(pool.map(member, range(folds))))
 
 
 def model_scorer(prepare: PipelineModel, regressor, risk: CalibratedRisk) -> Scorer:
@@ -266,8 +276,12 @@ def segment(df: DataFrame, k: int = 4, restarts: int = 10, features=SEGMENT_FEAT
     ready = prepare.transform(df)
     # kept once for all restarts; lost blocks are read again from the table
     vectors = ready.select("_cluster_features").persist(StorageLevel.MEMORY_AND_DISK)
-    runs = [KMeans(k=k, seed=seed + i, featuresCol="_cluster_features", predictionCol="cluster_id").fit(vectors)
-            for i in range(restarts)]
+
+    def run(i):
+        return KMeans(k=k, seed=seed + i, featuresCol="_cluster_features", predictionCol="cluster_id").fit(vectors)
+
+    with ThreadPoolExecutor(restarts) as pool:
+        runs = list(pool.map(run, range(restarts)))
     best = min(runs, key=lambda m: m.summary.trainingCost)
     vectors.unpersist()
     stats = {r["feature"]: (r["mean"], r["std"] or 1.0) for r in rows}

@@ -4,16 +4,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import as_number, normal_id
 from ..plans.bounds import MAX_BROADCAST_ROWS, small_side
-from ..schema import BANDS, DEFAULT_THRESHOLD, METADATA_FIELDS, MODEL_FEATURES, ROSTER
+from ..schema import BANDS, DEFAULT_THRESHOLD, ID_COLUMNS, METADATA_FIELDS, MODEL_FEATURES, ROSTER
 from ..sources.headers import alias_of
 from .align import align
 from .breakdown import with_state
 from .clean import keep_first
 from .scoring import Scorer, score_features
 
-ID_COLUMNS = ("employee_id", "employeeid", "emp_id", "empid", "EmployeeID")
-
-
 def roster_table(scored: DataFrame) -> DataFrame:
     """The 13 roster columns of a scored roster. Missing text is '', a missing id NULL."""
     have = dict(scored.dtypes)
@@ -119,14 +116,11 @@ def distinct_sorted(table: DataFrame, c: str) -> DataFrame:
     return table.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c)
 
 
-def id_column(columns) -> str | None:
-    return next((c for c in ID_COLUMNS if c in columns), None)
-
-
 def lookup(ids: DataFrame, roster: DataFrame, master: DataFrame, order_by=(), many_ids: int | None = None) -> DataFrame:
     """Rows of the asked ids (column ``id``): roster before master, first row wins.
 
-    Ids match stripped and case-insensitively. Every asked id comes back;
+    Every id column present is searched, in the listed order: a match in an earlier one
+    wins. Ids match stripped and case-insensitively. Every asked id comes back;
     ``found_in`` is 'roster', 'master' or NULL. ``many_ids`` is a known bound of the
     number of ids; the ids are broadcast only when it is small.
     """
@@ -139,14 +133,17 @@ def lookup(ids: DataFrame, roster: DataFrame, master: DataFrame, order_by=(), ma
     extra = [c for c in roster.columns if c not in shared]
     parts = []
     for place, (df, name) in enumerate(sides):
-        ident = id_column(df.columns)
-        if ident is None:
+        idents = [c for c in ID_COLUMNS if c in df.columns]
+        if not idents:
             continue
         kept = [c for c in shared + extra if c in df.columns]
-        parts.append(df.select(normal_id(ident).alias("_key"), F.lit(place).alias("_place"),
-                               F.lit(name).alias("found_in"), *kept).join(keys, "_key", "left_semi"))
+        each = F.explode(F.array(*[F.struct(normal_id(c).alias("key"), F.lit(i).alias("rank"))
+                                   for i, c in enumerate(idents)])).alias("_id")
+        rows = df.select(each, *kept).select(F.col("_id.key").alias("_key"), F.col("_id.rank").alias("_turn"),
+                                             F.lit(place).alias("_place"), F.lit(name).alias("found_in"), *kept)
+        parts.append(rows.where("_key is not null").join(keys, "_key", "left_semi"))
     rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    first = keep_first(rows, keys=["_key"], order_by=["_place", *order_by]).drop("_place")
+    first = keep_first(rows, keys=["_key"], order_by=["_place", "_turn", *order_by]).drop("_place", "_turn")
     return asked.join(first, "_key", "left").drop("_key")
 
 
@@ -167,7 +164,7 @@ def employee_report(found: DataFrame, defaults: dict, scorer: Scorer,
     scored = score_features(filled, scorer, threshold)
     return scored.select(
         "id", "found_in", F.struct(*[c for c in MODEL_FEATURES]).alias("features"), "metadata",
-        F.round("score", 2).alias("burnout_score"),
+        F.round("score", 2).alias("strain_score"),
         F.round(F.col("probability") * 100.0, 1).alias("elevated_risk_probability"),
         F.col("band").alias("risk_band"),
         F.lit(float(threshold)).alias("threshold"),

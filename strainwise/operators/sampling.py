@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.bounds import distinct_counts, small_side
+from ..plans.bounds import materialize, small_side
 from ..plans.quantiles import exact_quantiles
 from ..schema import SEED
 
@@ -29,15 +29,23 @@ def with_split(df: DataFrame, id_col: str = "employee_id", test: float = 0.20, s
     if stratify is None:
         return df.withColumn("split", F.when(key < F.lit(int(test * SPAN)), "test").otherwise("train"))
     keyed = df.withColumn("_h", key.cast("double"))
-    sizes = distinct_counts(keyed, [stratify, "_h"])
-    cuts = exact_quantiles(keyed, ["_h"], [test], by=stratify, distinct=sizes).select(
-        F.col(stratify).alias("_s"), F.element_at("_h", 1).alias("_cut"))
-    joined = keyed.join(small_side(cuts, sizes[stratify]), F.col(stratify).eqNullSafe(F.col("_s")), "left")
+    cuts = materialize(exact_quantiles(keyed, ["_h"], [test], by=stratify).select(
+        F.col(stratify).alias("_s"), F.element_at("_h", 1).alias("_cut")))
+    joined = keyed.join(small_side(cuts, cuts.count()), F.col(stratify).eqNullSafe(F.col("_s")), "left")
     return joined.withColumn("split", F.when(F.col("_h") <= F.col("_cut"), "test").otherwise("train")).drop("_h", "_s", "_cut")
 
 
-def with_fold(df: DataFrame, id_col: str = "employee_id", folds: int = 3, seed: int = SEED) -> DataFrame:
-    return df.withColumn("fold", F.pmod(hash_key(id_col, seed), F.lit(folds)).cast("int"))
+def with_fold(df: DataFrame, id_col: str = "employee_id", folds: int = 3, seed: int = SEED,
+              stratify: str | None = None) -> DataFrame:
+    """Append ``fold`` (0 to ``folds - 1``): by hash of the id, or equal shares of every stratum."""
+    if stratify is None:
+        return df.withColumn("fold", F.pmod(hash_key(id_col, seed), F.lit(folds)).cast("int"))
+    keyed = df.withColumn("_h", hash_key(id_col, seed).cast("double"))
+    cuts = materialize(exact_quantiles(keyed, ["_h"], [i / folds for i in range(1, folds)], by=stratify).select(
+        F.col(stratify).alias("_s"), F.col("_h").alias("_cuts")))
+    joined = keyed.join(small_side(cuts, cuts.count()), F.col(stratify).eqNullSafe(F.col("_s")), "left")
+    above = F.size(F.filter("_cuts", lambda cut: F.col("_h") > cut))
+    return joined.withColumn("fold", above.cast("int")).drop("_h", "_s", "_cuts")
 
 
 def hash_sample(df: DataFrame, n: int, id_col: str = "employee_id", seed: int = SEED) -> DataFrame:

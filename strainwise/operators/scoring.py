@@ -69,7 +69,7 @@ def score_scenarios(filled: DataFrame, scorer: Scorer, threshold: float = DEFAUL
     """Answer table for scenario profiles."""
     return score_features(filled, scorer, threshold).select(
         *keep,
-        F.round("score", 2).alias("burnout_score"),
+        F.round("score", 2).alias("strain_score"),
         F.round(F.col("probability") * 100.0, 1).alias("elevated_risk_probability"),
         F.col("band").alias("risk_band"),
         F.lit(float(threshold)).alias("threshold"),

@@ -78,5 +78,11 @@ def select_features(df: DataFrame, pipeline: bool = False) -> DataFrame:
     return df.select(*model_columns(df.columns, pipeline))
 
 
+def by_type(df: DataFrame, names) -> tuple[list, list]:
+    """The numeric ones of the named columns, and all others."""
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    return [c for c in names if c in numeric], [c for c in names if c not in numeric]
+
+
 def labeled(df: DataFrame, target: str = TARGET) -> DataFrame:
     return df.where(F.col(target).isNotNull())

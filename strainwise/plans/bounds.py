@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # At most this many narrow rows are sent to every executor.
 MAX_BROADCAST_ROWS = 200_000
-# Exact percentiles keep one map entry per distinct value; above this many
-# distinct values the bucketed selection in ``quantiles`` is used instead.
-MAX_DISTINCT = 100_000
 
 
 def distinct_counts(df: DataFrame, columns) -> dict:

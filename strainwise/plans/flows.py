@@ -12,7 +12,7 @@ from ..functions import bands, indices
 from ..operators import breakdown as bd, clean, evaluate, models, policy, roster as ro, sampling, scoring, validate
 from ..operators.align import align
 from ..operators.explore import quantile_threshold
-from ..schema import MODEL_CATEGORICAL, RISK_QUANTILE, TARGET
+from ..schema import RISK_QUANTILE, TARGET
 from ..sources import headers, sinks
 from ..sources.readers import read_sources
 from .bounds import materialize
@@ -45,7 +45,7 @@ class Trained:
 
 
 def train(master: DataFrame, out: str | None = None, features=None, stratify: str | None = None, id_col: str = "employee_id",
-          max_categories: int | None = 20, quantile: float = RISK_QUANTILE, risk_rounds: int = 350,
+          max_categories: int | None = None, quantile: float = RISK_QUANTILE, risk_rounds: int = 350,
           risk_depth: int = 6, folds: int = 3, **sizes) -> Trained:
     """Compare the regressors on a hold-out, keep the best, fit the calibrated risk model.
 
@@ -56,8 +56,8 @@ def train(master: DataFrame, out: str | None = None, features=None, stratify: st
     rows = sampling.with_split(validate.labeled(master), id_col, stratify=stratify)
     names = list(features or validate.model_columns(master.columns, pipeline=True))
     train_rows = rows.where("split = 'train'")
-    numeric = [c for c in names if c not in MODEL_CATEGORICAL]
-    prepare = models.fit_preprocessor(train_rows, numeric, [c for c in MODEL_CATEGORICAL if c in names], max_categories)
+    numeric, categorical = validate.by_type(rows, names)
+    prepare = models.fit_preprocessor(train_rows, numeric, categorical, max_categories)
     threshold = quantile_threshold(train_rows, quantile=quantile).first()["threshold"]
     # vectors are written once: every estimator reads them again
     ready = prepare.transform(rows).select(id_col, TARGET, "split", "features", bands.elevated(TARGET, threshold).alias("label"))
@@ -68,13 +68,16 @@ def train(master: DataFrame, out: str | None = None, features=None, stratify: st
     comparison = materialize(metrics)  # one row per model
     best = models.best_model(comparison).first()["model"]
     risk = models.fit_risk(fit_rows, "label", id_col, folds, risk_rounds, risk_depth)
-    risk_metrics = evaluate.classification_metrics(risk.transform(test_rows))
+    risk_metrics = materialize(evaluate.classification_metrics(risk.transform(test_rows)))  # one row
     forest = fitted["gradient_boosting_sampled"]
     result = Trained(prepare, fitted[best], risk, threshold, best, comparison, risk_metrics,
                      models.importances(forest, slots))
     if out:
-        facts = master.agg(F.count(F.lit(1)).alias("rows"), F.count(TARGET).alias("labeled"))
-        sinks.write_json(sinks.metrics_document(facts, comparison, names, threshold, quantile), f"{out}/metrics")
+        facts = master.agg(F.count(F.lit(1)).alias("rows"), F.count(TARGET).alias("labeled")).withColumn(
+            "test", F.lit(test_rows.count()))
+        excluded = sorted(set(master.columns) - set(names))
+        sinks.write_json(sinks.metrics_document(facts, comparison, names, threshold, quantile, risk_metrics, excluded),
+                         f"{out}/metrics")
         table = master.sparkSession.createDataFrame(result.importance, "feature string, gain_importance double")
         sinks.export_csv(table.coalesce(1), f"{out}/feature_importance")
         sinks.save_model(prepare, f"{out}/prepare")

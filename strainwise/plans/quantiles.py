@@ -1,123 +1,77 @@
 """Exact, interpolated quantiles of many columns, per group and overall.
 
-Two physical strategies give the same numbers:
-
-* few distinct values (checked): one aggregate with ``percentile``, whose
-  buffer is a value -> count map;
-* many distinct values (only the columns that have them): counts per value are pre-aggregated, spread over
-  buckets of about equal size, and only the buckets holding a wanted rank are
-  sorted. No task ever holds a whole group.
+Rows are first counted per group, column and value, so that a value held by a third of
+all rows is one row per task. The counts are dealt to range partitions, as many as
+there are counts, and ranks are located by the totals of the partitions. Only partitions
+that hold a wanted rank are accumulated; no task ever holds a whole group.
 """
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bounds import MAX_DISTINCT, distinct_counts, one_row
+from .bounds import materialize
 
-SPLITS = 512
+# Distinct values that one task accumulates.
+PART_ROWS = 500_000
 # Marks the all-rows line of a grouped result.
 TOTAL = "is_total"
+PART = "_part"
 
 
-def exact_quantiles(df: DataFrame, columns, probs, by=None, with_total=False,
-                    max_distinct: int = MAX_DISTINCT, distinct: dict | None = None) -> DataFrame:
-    """One row per group; each column holds the array of its quantiles (NULL if no value).
+def ranged(df: DataFrame, order, part_rows: int = PART_ROWS) -> DataFrame:
+    """Stored rows in range partitions by the columns ``order``, numbered in ``_part``.
 
-    ``by`` is one grouping column. ``with_total`` adds a row over all rows,
-    marked in ``is_total``. ``distinct`` passes known distinct counts.
+    The number of partitions follows the number of rows; rows must be distinct in
+    ``order``, so that no value lies in two partitions.
     """
-    columns, probs = list(columns), [float(p) for p in probs]
-    known = distinct or distinct_counts(df, columns)
-    many = [c for c in columns if known[c] > max_distinct]
-    few = [c for c in columns if c not in many]
-    if not many:
-        return _by_percentile(df, few, probs, by, with_total)
-    bucketed = _by_buckets(df, many, probs, by, with_total)
-    if not few:
-        return bucketed
-    plain = _by_percentile(df, few, probs, by, with_total)
-    if by is None:
-        values = one_row(bucketed)
-        return plain.withColumns({c: _numbers(values[c]) for c in many}).select(*columns)
-    # one row per group on both sides
-    keys = [by, TOTAL] if with_total else [by]
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    return plain.alias("a").join(bucketed.alias("b"), same, "left").select(
-        *[f"a.{k}" for k in keys], *[F.col(f"{'b' if c in many else 'a'}.{c}").alias(c) for c in columns])
-
-
-def _numbers(values):
-    if not values:
-        return F.lit(None).cast("array<double>")
-    return F.array(*[F.lit(float(v)) for v in values])
+    kept = materialize(df)
+    parts = kept.count() // part_rows + 1
+    return materialize(kept.repartitionByRange(int(parts), *order).withColumn(PART, F.spark_partition_id()))
+
+
+def value_counts(df: DataFrame, columns, by=None, with_total: bool = False) -> DataFrame:
+    """``is_total, _g, metric, value, n``: rows per group, column and value, NULL values left out."""
+    group = F.col(by) if by else F.lit(None).cast("string")
+    entries = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
+                                  for c in columns]))
+    long = df.select(group.alias("_g"), entries.alias("e")).select("_g", "e.*").where("value is not null")
+    counts = long.groupBy("_g", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.lit(by is None).alias(TOTAL), "_g", "metric", "value", "n")
+    if by and with_total:
+        counts = materialize(counts)
+        overall = counts.groupBy("metric", "value").agg(F.sum("n").alias("n"))
+        counts = counts.unionByName(overall.select(
+            F.lit(True).alias(TOTAL), F.lit(None).cast(df.schema[by].dataType).alias("_g"), "metric", "value", "n"))
+    return counts
 
 
-def exact_medians(df: DataFrame, columns, by=None, **options) -> DataFrame:
-    out = exact_quantiles(df, columns, [0.5], by=by, **options)
-    return out.withColumns({c: F.element_at(c, 1) for c in columns})
-
+def exact_quantiles(df: DataFrame, columns, probs, by=None, with_total=False, part_rows: int = PART_ROWS) -> DataFrame:
+    """One row per group; each column holds the array of its quantiles (NULL if no value).
 
-def _by_percentile(df, columns, probs, by, with_total):
-    wanted = F.array(*[F.lit(p) for p in probs])
-    aggs = [F.percentile(c, wanted).alias(c) for c in columns]
-    if by is None:
-        return df.agg(*aggs)
-    if not with_total:
-        return df.groupBy(by).agg(*aggs)
-    # rollup: the groups and the grand total from a single scan
-    return df.rollup(by).agg(F.grouping_id().cast("boolean").alias(TOTAL), *aggs)
-
-
-def value_buckets(df: DataFrame, columns, splits: int = SPLITS) -> dict:
-    """Bucket borders per column, about equally many rows apart (``splits`` numbers each)."""
-    steps = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    row = df.agg(*[F.percentile_approx(c, steps, 10_000).alias(c) for c in columns]).first()
-    return {c: [float("-inf")] + sorted(set(row[c] or [])) + [float("inf")] for c in columns}
-
-
-def _by_buckets(df, columns, probs, by, with_total):
-    edges = value_buckets(df, columns)
-    marks = [f"_b_{i}" for i in range(len(columns))]
-    if all(len(edges[c]) > 2 for c in columns):
-        cut = Bucketizer(splitsArray=[edges[c] for c in columns], inputCols=columns,
-                         outputCols=marks, handleInvalid="keep").transform(df)
-    else:  # some column holds no value at all
-        cut = df.withColumns({m: F.lit(0.0) for m in marks})
-        for c, m in zip(columns, marks):
-            if len(edges[c]) > 2:
-                cut = Bucketizer(splits=edges[c], inputCol=c, outputCol=m,
-                                 handleInvalid="keep").transform(cut.drop(m))
-    entries = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"),
-                        F.col(m).cast("int").alias("bucket")) for c, m in zip(columns, marks)]
-    group = [F.col(by).alias("_g")] if by else [F.lit(None).cast("string").alias("_g")]
-    long = cut.select(*group, F.explode(F.array(*entries)).alias("e")).select("_g", "e.*")
-    counts = (long.where(F.col("value").isNotNull())
-              .groupBy("_g", "metric", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-              .withColumn(TOTAL, F.lit(by is None)))
-    if by and with_total:
-        overall = (counts.groupBy("metric", "bucket", "value").agg(F.sum("n").alias("n"))
-                   .withColumns({"_g": F.lit(None).cast(df.schema[by].dataType), TOTAL: F.lit(True)}))
-        counts = counts.unionByName(overall)
+    ``by`` is one grouping column. ``with_total`` adds a row over all rows, marked in
+    ``is_total``. A group all of whose values are NULL has no row.
+    """
+    columns, probs = list(columns), [float(p) for p in probs]
     key = [TOTAL, "_g", "metric"]
+    counts = ranged(value_counts(df, columns, by, with_total), [*key, "value"], part_rows)
 
-    # Rank range of every bucket: at most SPLITS rows per group and metric.
+    # Rank range of every partition: one row per group, column and partition it reaches into.
     line = Window.partitionBy(*key)
-    upto = line.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slots = (counts.groupBy(*key, "bucket").agg(F.sum("n").alias("rows"))
+    upto = line.orderBy(PART).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slots = (counts.groupBy(*key, PART).agg(F.sum("n").alias("rows"))
              .withColumn("before", F.sum("rows").over(upto) - F.col("rows"))
              .withColumn("all_rows", F.sum("rows").over(line)))
     place = [F.lit(p) * (F.col("all_rows") - 1) for p in probs]
     ranks = F.array(*[F.struct(F.lit(i).alias("slot"), F.floor(pos).alias("low"), F.ceil(pos).alias("high"),
-                               (pos - F.floor(pos)).alias("part")) for i, pos in enumerate(place)])
+                               (pos - F.floor(pos)).alias("share")) for i, pos in enumerate(place)])
     slots = slots.withColumn(
         "ranks", F.filter(ranks, lambda r: (r["high"] >= F.col("before"))
                           & (r["low"] < F.col("before") + F.col("rows")))
     ).where(F.size("ranks") > 0).drop("rows", "all_rows")
 
-    # Only the hit buckets are sorted, each on its own.
-    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, "bucket"]]
+    # Only the hit partitions are accumulated, each on its own.
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, PART]]
     hit = counts.alias("c").join(slots.alias("s"), same).select("c.*", "s.before", "s.ranks")
-    inside = (Window.partitionBy(*key, "bucket").orderBy("value")
+    inside = (Window.partitionBy(*key, PART).orderBy("value")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     hit = hit.withColumn("last", F.col("before") + F.sum("n").over(inside))
     hit = hit.withColumn("first", F.col("last") - F.col("n")).select(
@@ -128,8 +82,8 @@ def _by_buckets(df, columns, probs, by, with_total):
 
     found = hit.groupBy(*key, "r.slot").agg(
         F.max(holds(F.col("r.low"))).alias("low"), F.max(holds(F.col("r.high"))).alias("high"),
-        F.max("r.part").alias("part"))
-    found = found.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
+        F.max("r.share").alias("share"))
+    found = found.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * F.col("share"))
     arrays = found.groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "q"))), lambda x: x["q"]).alias("qs"))
     wide = arrays.groupBy(TOTAL, "_g").pivot("metric", columns).agg(F.first("qs"))
@@ -137,6 +91,9 @@ def _by_buckets(df, columns, probs, by, with_total):
         # an ungrouped aggregate always has one row
         return wide.agg(*[F.first(c, True).alias(c) for c in columns])
     wide = wide.withColumnRenamed("_g", by)
-    if with_total:
-        return wide.select(by, TOTAL, *columns)
-    return wide.select(by, *columns)
+    return wide.select(by, TOTAL, *columns) if with_total else wide.select(by, *columns)
+
+
+def exact_medians(df: DataFrame, columns, by=None, **options) -> DataFrame:
+    out = exact_quantiles(df, columns, [0.5], by=by, **options)
+    return out.withColumns({c: F.element_at(c, 1) for c in columns})

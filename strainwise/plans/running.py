@@ -1,41 +1,33 @@
 """Running totals over an ordered column without a single-task window."""
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bounds import materialize
-from .quantiles import value_buckets
+from .quantiles import PART, PART_ROWS, ranged
 
 
-def running_totals(df: DataFrame, order: str, sums, splits: int = 512) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums, part_rows: int = PART_ROWS) -> DataFrame:
     """For each distinct ``order`` value, descending: its sums, the sums up to and
     including it (``cum_*``), the grand totals (``all_*``) and the next value's
     sums (``next_*``, NULL at the end).
 
-    Rows are first aggregated per value and written out, so the input is read once
-    and one very common value costs one row. Values are then cut into buckets; bucket
-    totals (at most ``splits`` rows) give the offsets and each bucket is accumulated
+    Rows are first aggregated per value, so the input is read once and one very common
+    value costs one row. Values then lie in range partitions, as many as the values need;
+    partition totals (one row each) give the offsets, and each partition is accumulated
     on its own.
     """
-    per_value = materialize(
-        df.where(F.col(order).isNotNull()).groupBy(order).agg(*[F.sum(s).alias(s) for s in sums]))
-    edges = value_buckets(per_value, [order], splits)[order]
-    if len(edges) > 2:
-        cut = Bucketizer(splits=edges, inputCol=order, outputCol="_bucket").transform(per_value)
-    else:
-        cut = per_value.withColumn("_bucket", F.lit(0.0))
-
+    per_value = df.where(F.col(order).isNotNull()).groupBy(order).agg(*[F.sum(s).alias(s) for s in sums])
+    cut = ranged(per_value, [order], part_rows)
     top = F.max_by(F.struct(*sums), F.col(order))
-    line = Window.orderBy(F.desc("_bucket"))  # at most `splits` rows
+    line = Window.orderBy(F.desc(PART))  # one row per partition
     sofar = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slots = cut.groupBy("_bucket").agg(top.alias("_top"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
+    slots = cut.groupBy(PART).agg(top.alias("_top"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
     slots = slots.select(
-        "_bucket", F.lead("_top").over(line).alias("_after"),
+        PART, F.lead("_top").over(line).alias("_after"),
         *[(F.sum(f"_t_{s}").over(sofar) - F.col(f"_t_{s}")).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(Window.partitionBy()).alias(f"all_{s}") for s in sums],
     )
-    rows = cut.join(F.broadcast(slots), "_bucket")
-    local = Window.partitionBy("_bucket").orderBy(F.desc(order))
+    rows = cut.join(F.broadcast(slots), PART)
+    local = Window.partitionBy(PART).orderBy(F.desc(order))
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select(
         order, *sums,

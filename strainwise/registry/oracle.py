@@ -2,7 +2,7 @@
 
 from ..schema import (
     ADVICE, BANDS, CANONICAL, CITY_STATES, CORRELATED, DRIVERS, FIVE_BANDS, HOURS_BANDS, MODEL_CATEGORICAL,
-    MODEL_FEATURES, MODEL_NUMERIC, POLICIES, REQUIRED_UPLOAD, STRAIN_WEIGHTS, STRINGS, TRACKED,
+    MODEL_FEATURES, MODEL_NUMERIC, POLICIES, REQUIRED_UPLOAD, SOURCE_LABELS, STRAIN_WEIGHTS, STRINGS, TRACKED,
 )
 from .views import duckdb_views
 
@@ -15,8 +15,12 @@ def num(x) -> str:
     return f"{float(x)!r}::DOUBLE"
 
 
+# the white space of Unicode, written out
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(x) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{SPACES}]+|[{SPACES}]+$', '', 'g')"
 
 
 def title(x) -> str:
@@ -89,20 +93,20 @@ def _sources() -> dict:
     levels = [("Low", 25), ("Medium", 50), ("High", 75), ("Very High", 100)]
     grades = [("Poor", 25), ("Fair", 50), ("Good", 75), ("Excellent", 100)]
     return {
-        "tech": _canonical("tech_mental_health_burnout", employee_id="'tech_' || record_no", **tech) + " FROM staff",
+        "tech": _canonical(SOURCE_LABELS["tech"], employee_id="'tech_' || record_no", **tech) + " FROM staff",
         "employees": _canonical(
-            "are_employees_burning_out", employee_id="emp_id", work_hours_per_week="allocation * 8",
+            SOURCE_LABELS["employees"], employee_id="emp_id", work_hours_per_week="allocation * 8",
             experience_years="designation * 2", job_role="'Unknown'", company_size="'Unknown'",
-            work_mode=recode("wfh", answers), mental_fatigue_score="fatigue * 10", burnout_score="burn_rate * 10",
+            work_mode=recode("wfh", answers), mental_fatigue_score="fatigue * 10", strain_score="burn_rate * 10",
         ) + " FROM raw_employees",
         "survey": _canonical(
-            "mental_health_workplace_survey", employee_id="emp_id", work_hours_per_week="hours", experience_years="years",
+            SOURCE_LABELS["survey"], employee_id="emp_id", work_hours_per_week="hours", experience_years="years",
             job_role="role", work_mode=recode("remote", answers), job_satisfaction="satisfaction * 10",
             manager_support="manager * 20", work_life_balance="balance * 20", sleep_hours="sleep",
-            physical_activity_days="activity / 2", stress_level="stress", burnout_score="burnout",
+            physical_activity_days="activity / 2", stress_level="stress", strain_score="felt",
             company_size="CASE WHEN team > 15 THEN 'Large' ELSE 'Medium' END") + " FROM raw_survey",
         "ordinal": _canonical(
-            "train_csv_small", employee_id="emp_id", work_hours_per_week="daily_hours * 5", job_role="'Unknown'",
+            SOURCE_LABELS["ordinal"], employee_id="emp_id", work_hours_per_week="daily_hours * 5", job_role="'Unknown'",
             company_size="'Unknown'", work_mode="work_from", job_satisfaction=recode("satisfaction", levels),
             manager_support=recode("manager", levels), work_life_balance=recode("balance", grades),
             sleep_hours=recode("sleeping", [("Poor", 5), ("Fair", 7), ("Good", 8)]),
@@ -139,7 +143,7 @@ def _base() -> str:
     # ids are unique per source in the canonical table, so nothing is dropped here
     ctes.append(
         f"master AS (SELECT *, {workload()} AS workload_index, {wellness()} AS wellness_score, manager_support AS support_index, "
-        f"meetings_per_day / 3.0::DOUBLE AS meeting_load FROM (SELECT * REPLACE ({clipped('burnout_score')} AS burnout_score) FROM imputed))")
+        f"meetings_per_day / 3.0::DOUBLE AS meeting_load FROM (SELECT * REPLACE ({clipped('strain_score')} AS strain_score) FROM imputed))")
     ctes.append("defaults AS (SELECT " + ", ".join(f"median({c}) AS {c}" for c in MODEL_NUMERIC) + ", "
                 + ", ".join(f"{_frequent('master', c)} AS {c}" for c in MODEL_CATEGORICAL) + " FROM master)")
     ctes.append(f"ends AS (SELECT min(s) AS low, max(s) AS high FROM (SELECT {strain()} AS s FROM master))")
@@ -149,8 +153,9 @@ def _base() -> str:
     ctes.append(f"filled_scored AS (SELECT *, {clipped('s0')} AS score FROM (SELECT f.*, {score} AS s0 FROM filled f CROSS JOIN ends))")
     ctes.append(f"scored AS (SELECT r.*, f.score, f.score / 10.0 AS probability, {band('f.score')} AS band "
                 "FROM roster r JOIN filled_scored f USING (employee_id))")
-    ctes.append(f"judged AS (SELECT source_dataset, employee_id, burnout_score AS y, round(({strain()} - low) / (high - low) * 10.0, 4) AS p, "
-                "CAST(burnout_score >= 4.5 AS INTEGER) AS label FROM master CROSS JOIN ends WHERE burnout_score IS NOT NULL AND stress_level IS NOT NULL)")
+    of_defaults = strain(lambda c: f"coalesce(m.{c}, d.{c})")
+    ctes.append(f"judged AS (SELECT source_dataset, employee_id, strain_score AS y, round(({of_defaults} - low) / (high - low) * 10.0, 4) AS p, "
+                "CAST(strain_score >= 4.5 AS INTEGER) AS label FROM master m CROSS JOIN defaults d CROSS JOIN ends WHERE strain_score IS NOT NULL)")
     ctes.append("points AS (SELECT p, sum(label) AS pos, sum(1 - label) AS neg, sum(sum(label)) OVER (ORDER BY p DESC) AS tp, "
                 "sum(sum(1 - label)) OVER (ORDER BY p DESC) AS fp, sum(sum(label)) OVER () AS np, sum(sum(1 - label)) OVER () AS nn, "
                 "lead(sum(label)) OVER (ORDER BY p DESC) AS next_pos, lead(sum(1 - label)) OVER (ORDER BY p DESC) AS next_neg "
@@ -174,10 +179,12 @@ def _base() -> str:
     given["job_role"] = "nullif(s.job_role, '')"
     ctes.append("scenario_rows AS (SELECT s.profile, " + ", ".join(
         f"coalesce({given[c]}, d.{c}) AS {c}" if c in given else f"d.{c}" for c in MODEL_FEATURES) + " FROM profiles s CROSS JOIN defaults d)")
-    ctes.append("asked AS (SELECT DISTINCT (CASE WHEN c_custkey % 2 = 0 THEN ' em' ELSE 'Ex' END) || c_custkey || ' ' AS id FROM customer)")
-    ctes.append(f"known AS (SELECT *, lower({strip('employee_id')}) AS k FROM ("
-                "SELECT 'roster' AS found_in, 0 AS place, * FROM roster UNION ALL BY NAME SELECT 'master' AS found_in, 1 AS place, "
-                + ", ".join(c for c in CANONICAL if c not in ("source_dataset", "mental_fatigue_score", "burnout_score")) + " FROM master))")
+    ctes.append("asked AS (SELECT DISTINCT (CASE c_custkey % 4 WHEN 0 THEN ' em' WHEN 2 THEN 'ALT' ELSE 'Ex' END) || c_custkey || ' ' AS id FROM customer)")
+    second = "CASE WHEN CAST(substr(employee_id, 3) AS BIGINT) % 3 = 0 THEN NULL ELSE chr(160) || 'alt' || substr(employee_id, 3) END"
+    parts = [f"SELECT 'roster' AS found_in, {i} AS place, {k} AS id_text, * FROM roster" for i, k in enumerate(("employee_id", second))]
+    ctes.append(f"known AS (SELECT * EXCLUDE (id_text), lower({strip('id_text')}) AS k FROM (" + " UNION ALL BY NAME ".join(parts)
+                + " UNION ALL BY NAME SELECT 'master' AS found_in, 2 AS place, employee_id AS id_text, "
+                + ", ".join(c for c in CANONICAL if c not in ("source_dataset", "mental_fatigue_score", "strain_score")) + " FROM master))")
     ctes.append(f"found AS (SELECT a.id, k.* EXCLUDE (k, place) FROM asked a LEFT JOIN (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY k ORDER BY place) = 1) k "
                 f"ON k.k = lower({strip('a.id')}))")
     return "WITH " + ",\n".join(ctes) + "\n"
@@ -198,9 +205,9 @@ def _drivers() -> str:
             "UNION ALL SELECT job_role, 0, 'Balanced Profile', 'Low friction' FROM role_means WHERE job_role NOT IN (SELECT name FROM longer)")
 
 
-def _breakdown(key, table="scored", limit=20) -> str:
+def _breakdown(key, table="scored", limit=None) -> str:
     return (f"SELECT coalesce({key}, 'Unknown') AS name, round(avg(score), 2) AS mean_score, {RATE.format('score')} AS elevated_rate, "
-            f"count(*) AS employees FROM {table} GROUP BY 1 ORDER BY 2 DESC, 4 DESC, 1 LIMIT {limit}")
+            f"count(*) AS employees FROM {table} GROUP BY 1" + (f" ORDER BY 2 DESC, 4 DESC, 1 LIMIT {limit}" if limit else ""))
 
 
 def _hours_case(x) -> str:
@@ -209,9 +216,11 @@ def _hours_case(x) -> str:
 
 def _histogram(table, x, low, high, bins) -> str:
     w = (high - low) / bins
-    return (f"SELECT CAST(b AS INTEGER) AS bin, round({num(low)} + b * {num(w)}, 6) AS low, round({num(low)} + (b + 1) * {num(w)}, 6) AS high, "
-            f"coalesce(n, 0) AS rows FROM range({bins}) g(b) LEFT JOIN (SELECT least({bins - 1}, CAST(floor(({x} - ({num(low)})) / {num(w)}) AS BIGINT)) AS b, "
-            f"count(*) AS n FROM {table} WHERE {x} BETWEEN {low} AND {high} GROUP BY 1) h USING (b)")
+    place = f"CASE WHEN {x} < {low} THEN -1 WHEN {x} > {high} THEN {bins} ELSE least({bins - 1}, CAST(floor(({x} - ({num(low)})) / {num(w)}) AS BIGINT)) END"
+    return (f"SELECT CAST(b AS INTEGER) AS bin, CASE WHEN b >= 0 THEN round({num(low)} + b * {num(w)}, 6) END AS low, "
+            f"CASE WHEN b < {bins} THEN round({num(low)} + (b + 1) * {num(w)}, 6) END AS high, "
+            f"coalesce(n, 0) AS rows FROM range(-1, {bins + 1}) g(b) LEFT JOIN (SELECT {place} AS b, "
+            f"count(*) AS n FROM {table} WHERE {x} IS NOT NULL GROUP BY 1) h USING (b)")
 
 
 def _whatif() -> str:
@@ -235,16 +244,17 @@ def _whatif() -> str:
 
 def _permutation() -> str:
     names = [c for c, _, _ in STRAIN_WEIGHTS]
-    order = "OVER (PARTITION BY h // {} ORDER BY h, row_id)".format(SPAN // 16)
+    filled = ", ".join(f"coalesce(m.{c}, d.{c}) AS {c}" for c in names)
+    order = "OVER (ORDER BY h, row_id)"
     moved = ", ".join(f"CASE WHEN lead(row_id) {order} IS NULL THEN first_value({c}) {order} ELSE lead({c}) {order} END AS o_{c}" for c in names)
 
     def rmse(swap):
         value = lambda c: f"o_{c}" if c == swap else c
         s = f"({strain(value)} - low) / (high - low) * 10.0"
-        return (f"SELECT sqrt(avg((burnout_score - sc) * (burnout_score - sc))) FROM (SELECT burnout_score, {clipped('s0')} AS sc FROM "
-                f"(SELECT burnout_score, {s} AS s0 FROM moved CROSS JOIN ends))")
+        return (f"SELECT sqrt(avg((strain_score - sc) * (strain_score - sc))) FROM (SELECT strain_score, {clipped('s0')} AS sc FROM "
+                f"(SELECT strain_score, {s} AS s0 FROM moved CROSS JOIN ends))")
 
-    return (f", keyed AS (SELECT *, {hash_key('row_id')} AS h FROM (SELECT *, source_dataset || ':' || employee_id AS row_id FROM master WHERE burnout_score IS NOT NULL)), "
+    return (f", keyed AS (SELECT *, {hash_key('row_id')} AS h FROM (SELECT m.source_dataset || ':' || m.employee_id AS row_id, m.strain_score, {filled} FROM master m CROSS JOIN defaults d WHERE m.strain_score IS NOT NULL)), "
             f"moved AS (SELECT *, {moved} FROM keyed) "
             + " UNION ALL ".join(f"SELECT {lit(c)} AS feature, round(({rmse(c)}) - ({rmse(None)}), 4) AS rmse_rise" for c in names))
 
@@ -274,10 +284,10 @@ def _round_list(columns, digits=4) -> str:
 def oracle_sql() -> dict:
     base = _base()
     flags = ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}_is_missing" for c in TRACKED)
-    selected = sorted(set(CANONICAL) - {"burnout_score", "source_dataset", "employee_id", "mental_fatigue_score", "stress_level"})
+    selected = sorted(set(CANONICAL) - {"strain_score", "source_dataset", "employee_id", "mental_fatigue_score", "stress_level"})
     staff_kept = sorted(["employee_id", *[c for c in CANONICAL if c not in (
-        "source_dataset", "employee_id", "mental_fatigue_score", "burnout_score")]])
-    described = [*MODEL_NUMERIC, "burnout_score", "workload_index", "wellness_score"]
+        "source_dataset", "employee_id", "mental_fatigue_score", "strain_score")]])
+    described = [*MODEL_NUMERIC, "strain_score", "workload_index", "wellness_score"]
     number = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
     typed = ("CASE o_orderkey % 8 WHEN 0 THEN w WHEN 1 THEN ' ' || w || chr(9) WHEN 2 THEN w || 'e2' WHEN 3 THEN w || 'd' "
              "WHEN 4 THEN '0x' || w WHEN 5 THEN w || '_000' WHEN 6 THEN 'inf' ELSE '-.' || w END")
@@ -304,8 +314,8 @@ def oracle_sql() -> dict:
             for c in MODEL_FEATURES) + " FROM roster r CROSS JOIN defaults d",
         "validate_training": f", w AS (SELECT {', '.join(weekly)} FROM revisions) "
             "SELECT 'required_columns' AS \"check\", CAST(2 AS BIGINT) AS violations UNION ALL SELECT 'empty', CAST(count(*) = 0 AS BIGINT) FROM w "
-            "UNION ALL SELECT 'missing_target', count(*) FROM w WHERE burnout_score IS NULL "
-            "UNION ALL SELECT 'target_out_of_range', count(*) FROM w WHERE burnout_score NOT BETWEEN 0 AND 10 "
+            "UNION ALL SELECT 'missing_target', count(*) FROM w WHERE strain_score IS NULL "
+            "UNION ALL SELECT 'target_out_of_range', count(*) FROM w WHERE strain_score NOT BETWEEN 0 AND 10 "
             "UNION ALL SELECT 'duplicate_rows', (SELECT count(*) FROM w) - (SELECT count(*) FROM (SELECT DISTINCT * FROM w))",
         # projections, filters, scalars
         "clean_work_mode": f"SELECT employee_id, {mode_of('work_mode')} AS work_mode FROM staff",
@@ -313,21 +323,21 @@ def oracle_sql() -> dict:
             "SELECT 'P' || p_partkey, chr(9) || p_name || '/' || p_brand || '''s ' || p_type FROM part)",
         "clean_company_size": "SELECT employee_id, coalesce(company_size, 'Medium') AS company_size FROM staff",
         "missing_flags": f"SELECT source_dataset, employee_id, {flags} FROM canonical",
-        "clip_score": f"SELECT employee_id, {clipped('burnout_score')} AS burnout_score FROM staff",
+        "clip_score": f"SELECT employee_id, {clipped('strain_score')} AS strain_score FROM staff",
         "select_model_features": f"SELECT {', '.join(selected)} FROM master",
         "select_deployment_features": f"SELECT {', '.join(staff_kept)} FROM staff",
-        "labeled_rows": "SELECT source_dataset, employee_id, burnout_score FROM canonical WHERE burnout_score IS NOT NULL",
+        "labeled_rows": "SELECT source_dataset, employee_id, strain_score FROM canonical WHERE strain_score IS NOT NULL",
         "coerce_numeric": f"SELECT o_orderkey, typed, CASE WHEN regexp_matches(typed, {number}) THEN TRY_CAST(trim(typed, ' ' || chr(9)) AS DOUBLE) END AS value "
             f"FROM (SELECT o_orderkey, {typed} AS typed FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS w FROM orders))",
-        "risk_band": f"SELECT employee_id, {band('burnout_score')} AS band FROM staff",
-        "risk_band5": "SELECT employee_id, CASE WHEN burnout_score IS NULL THEN NULL " + " ".join(
-            f"WHEN burnout_score >= {f} THEN {lit(n)}" for f, n in FIVE_BANDS) + " ELSE 'LOW' END AS band FROM staff",
-        "recommendations": ", tiers AS (SELECT employee_id, CASE WHEN burnout_score >= 6 THEN 0 WHEN burnout_score >= 4.5 THEN 1 ELSE 2 END AS tier "
-            "FROM staff WHERE burnout_score IS NOT NULL) SELECT employee_id, CAST(place AS INTEGER) AS place, advice FROM tiers JOIN (VALUES " + ", ".join(
+        "risk_band": f"SELECT employee_id, {band('strain_score')} AS band FROM staff",
+        "risk_band5": "SELECT employee_id, CASE WHEN strain_score IS NULL THEN NULL " + " ".join(
+            f"WHEN strain_score >= {f} THEN {lit(n)}" for f, n in FIVE_BANDS) + " ELSE 'LOW' END AS band FROM staff",
+        "recommendations": ", tiers AS (SELECT employee_id, CASE WHEN strain_score >= 6 THEN 0 WHEN strain_score >= 4.5 THEN 1 ELSE 2 END AS tier "
+            "FROM staff WHERE strain_score IS NOT NULL) SELECT employee_id, CAST(place AS INTEGER) AS place, advice FROM tiers JOIN (VALUES " + ", ".join(
                 f"({i}, {j}, {lit(t)})" for i, (_, ts) in enumerate(ADVICE) for j, t in enumerate(ts)) + ") v(tier, place, advice) USING (tier)",
         "hours_band": f"SELECT hours, count(*) AS rows, {_hours_case('coalesce(hours, 40)')} AS band FROM (SELECT l_quantity * l_linenumber * 5 - 5 AS hours FROM lineitem "
             "UNION ALL SELECT work_hours_per_week FROM canonical) GROUP BY hours",
-        "elevated_label": "SELECT employee_id, CAST(burnout_score >= 4.5 AS INTEGER) AS elevated, CAST(burnout_score / 10.0 >= 0.5 AS INTEGER) AS predicted FROM staff",
+        "elevated_label": "SELECT employee_id, CAST(strain_score >= 4.5 AS INTEGER) AS elevated, CAST(strain_score / 10.0 >= 0.5 AS INTEGER) AS predicted FROM staff",
         "roster_table": "SELECT * FROM roster_rows",
         "roster_filter": "SELECT * FROM roster_rows WHERE lower(id) LIKE '%m1%' AND band = 'Moderate' AND lower(city) LIKE '%une%' AND mode = 'remote'",
         "roster_filter_pattern": "SELECT * FROM roster_rows WHERE regexp_matches(id, 'em[0-9]*7$', 'i') AND regexp_matches(city, '^(mum|beng)', 'i')",
@@ -352,31 +362,31 @@ def oracle_sql() -> dict:
         "dedup_keep_first": "SELECT source_dataset, employee_id, revision, stamp, stamp_part, work_hours_per_week FROM revisions "
             "QUALIFY row_number() OVER (PARTITION BY employee_id, source_dataset ORDER BY revision, stamp, stamp_part) = 1",
         "preprocess": f", c AS ({_cleaned('revisions')}), i AS ({_imputed('c')}) SELECT source_dataset, employee_id, job_role, work_mode, company_size, revision, "
-            f"round({clipped('burnout_score')}, 4) AS burnout_score, {_round_list(TRACKED)}, {', '.join(c + '_is_missing' for c in TRACKED)} FROM i "
+            f"round({clipped('strain_score')}, 4) AS strain_score, {_round_list(TRACKED)}, {', '.join(c + '_is_missing' for c in TRACKED)} FROM i "
             "QUALIFY row_number() OVER (PARTITION BY employee_id, source_dataset ORDER BY revision, stamp, stamp_part) = 1",
         "breakdown_role": _breakdown("job_role"),
         "breakdown_city": _breakdown("city"),
         "breakdown_gender": _breakdown("gender"),
         "breakdown_mode": _breakdown("work_mode"),
-        "breakdown_state": _breakdown("state", "(SELECT * FROM located WHERE state IS NOT NULL)", 30),
+        "breakdown_state": _breakdown("state", "(SELECT * FROM located WHERE state IS NOT NULL)"),
         "breakdown_hours": _breakdown("b", f"(SELECT *, {_hours_case('coalesce(work_hours_per_week, 40)')} AS b FROM scored) WHERE b IS NOT NULL"),
         "breakdown_all": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dimension ORDER BY mean_score DESC, employees DESC, name) AS INTEGER) AS place FROM ("
-            + " UNION ALL ".join(f"SELECT {lit(k)} AS dimension, * FROM ({_breakdown(k, limit=1000)})" for k in ("job_role", "city", "gender", "work_mode")) + ")) WHERE place <= 20",
-        "fleet_summary": f"SELECT count(*) AS employees, round(avg(score), 2) AS mean_burnout_score, {RATE.format('score')} AS elevated_review_rate, "
+            + " UNION ALL ".join(f"SELECT {lit(k)} AS dimension, * FROM ({_breakdown(k)})" for k in ("job_role", "city", "gender", "work_mode")) + "))",
+        "fleet_summary": f"SELECT count(*) AS employees, round(avg(score), 2) AS mean_strain_score, {RATE.format('score')} AS elevated_review_rate, "
             "round(avg(probability) * 100, 1) AS mean_elevated_probability, count(*) FILTER (WHERE score < 2.5) AS low, "
             "count(*) FILTER (WHERE score >= 2.5 AND score < 4.5) AS moderate, count(*) FILTER (WHERE score >= 4.5) AS elevated FROM scored",
-        "org_summary": f"SELECT count(*) AS employees, round(avg(burnout_score), 2) AS mean_burnout, {RATE.format('burnout_score')} AS elevated_rate, "
-            "round(avg(stress_level), 2) AS mean_stress, 4.5::DOUBLE AS threshold, count(*) FILTER (WHERE burnout_score < 2.5) AS low, "
-            "count(*) FILTER (WHERE burnout_score >= 2.5 AND burnout_score < 4.5) AS moderate, count(*) FILTER (WHERE burnout_score >= 4.5) AS elevated FROM master",
-        "mean_by_role": "SELECT job_role, round(avg(burnout_score), 2) AS mean_score FROM master GROUP BY 1",
-        "mean_by_mode": "SELECT work_mode, round(avg(burnout_score), 2) AS mean_score FROM master GROUP BY 1",
+        "org_summary": f"SELECT count(*) AS employees, round(avg(strain_score), 2) AS mean_strain, {RATE.format('strain_score')} AS elevated_rate, "
+            "round(avg(stress_level), 2) AS mean_stress, 4.5::DOUBLE AS threshold, count(*) FILTER (WHERE strain_score < 2.5) AS low, "
+            "count(*) FILTER (WHERE strain_score >= 2.5 AND strain_score < 4.5) AS moderate, count(*) FILTER (WHERE strain_score >= 4.5) AS elevated FROM master",
+        "mean_by_role": "SELECT job_role, round(avg(strain_score), 2) AS mean_score FROM master GROUP BY 1",
+        "mean_by_mode": "SELECT work_mode, round(avg(strain_score), 2) AS mean_score FROM master GROUP BY 1",
         "default_features": f"SELECT {', '.join([*MODEL_NUMERIC, *MODEL_CATEGORICAL])} FROM defaults",
         "distinct_roles": "SELECT DISTINCT role FROM roster_rows",
         "distinct_modes": "SELECT DISTINCT mode FROM roster_rows",
-        "quantile_threshold": f"SELECT round(quantile_cont(burnout_score, 0.9), 4) AS threshold FROM master WHERE burnout_score IS NOT NULL AND {hash_key('employee_id')} >= {int(0.2 * SPAN)}",
+        "quantile_threshold": f"SELECT round(quantile_cont(strain_score, 0.9), 4) AS threshold FROM master WHERE strain_score IS NOT NULL AND {hash_key('employee_id')} >= {int(0.2 * SPAN)}",
         "class_balance": "SELECT p AS positives, n AS negatives, round(p / (p + n), 4) AS positive_rate, round(n / greatest(p, 1), 4) AS pos_weight FROM "
-            "(SELECT count(*) FILTER (WHERE burnout_score >= 4.5) AS p, count(*) FILTER (WHERE burnout_score < 4.5) AS n FROM master)",
-        "elevated_by_company_size": f"SELECT company_size, {RATE.format('burnout_score')} AS elevated_rate FROM master GROUP BY 1",
+            "(SELECT count(*) FILTER (WHERE strain_score >= 4.5) AS p, count(*) FILTER (WHERE strain_score < 4.5) AS n FROM master)",
+        "elevated_by_company_size": f"SELECT company_size, {RATE.format('strain_score')} AS elevated_rate FROM master GROUP BY 1",
         "describe_numeric": " UNION ALL ".join(
             f"SELECT {lit(c)} AS metric, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, "
             f"round(quantile_cont({c}, 0.25), 4) AS q25, round(median({c}), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max FROM master"
@@ -384,28 +394,29 @@ def oracle_sql() -> dict:
         "column_profile": " UNION ALL ".join(
             f"SELECT CAST({i} AS INTEGER) AS position, {lit(c)} AS column_name, {lit('string' if c in STRINGS else 'double')} AS type, count({c}) AS filled, count(*) AS rows FROM canonical"
             for i, c in enumerate(CANONICAL)),
-        "score_histogram": _histogram("master", "burnout_score", 0.0, 10.0, 20),
-        "boxplot_by_mode": ", b AS (SELECT work_mode, quantile_cont(burnout_score, 0.25) AS a1, median(burnout_score) AS a2, quantile_cont(burnout_score, 0.75) AS a3 FROM master WHERE burnout_score IS NOT NULL GROUP BY 1) "
+        "score_histogram": _histogram("master", "strain_score", 0.0, 10.0, 20),
+        "boxplot_by_mode": ", b AS (SELECT work_mode, quantile_cont(strain_score, 0.25) AS a1, median(strain_score) AS a2, quantile_cont(strain_score, 0.75) AS a3 FROM master WHERE strain_score IS NOT NULL GROUP BY 1) "
             "SELECT work_mode, count(*) AS rows, round(any_value(a1), 4) AS q1, round(any_value(a2), 4) AS median, round(any_value(a3), 4) AS q3, "
-            "round(min(burnout_score) FILTER (WHERE burnout_score >= a1 - 1.5 * (a3 - a1)), 4) AS whisker_low, round(max(burnout_score) FILTER (WHERE burnout_score <= a3 + 1.5 * (a3 - a1)), 4) AS whisker_high, "
-            "count(*) FILTER (WHERE burnout_score < a1 - 1.5 * (a3 - a1) OR burnout_score > a3 + 1.5 * (a3 - a1)) AS outliers FROM master JOIN b USING (work_mode) WHERE burnout_score IS NOT NULL GROUP BY 1",
+            "round(min(strain_score) FILTER (WHERE strain_score >= a1 - 1.5 * (a3 - a1)), 4) AS whisker_low, round(max(strain_score) FILTER (WHERE strain_score <= a3 + 1.5 * (a3 - a1)), 4) AS whisker_high, "
+            "count(*) FILTER (WHERE strain_score < a1 - 1.5 * (a3 - a1) OR strain_score > a3 + 1.5 * (a3 - a1)) AS outliers FROM master JOIN b USING (work_mode) WHERE strain_score IS NOT NULL GROUP BY 1",
         "correlation_matrix": " UNION ALL ".join(
             f"SELECT {lit(a)} AS left_metric, {lit(b)} AS right_metric, round(corr({a}, {b}), 4) AS corr FROM master"
             for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1:]),
         "band_distribution": " UNION ALL ".join(f"SELECT {lit(b)} AS band, count(*) AS employees FROM scored WHERE band = {lit(b)}" for b in BANDS),
-        "label_counts": "SELECT source_dataset, count(*) AS total_rows, count(burnout_score) AS labeled_rows FROM canonical GROUP BY 1",
+        "label_counts": "SELECT source_dataset, count(*) AS total_rows, count(strain_score) AS labeled_rows FROM canonical GROUP BY 1",
         "group_median_window": f"SELECT employee_id, job_role, sleep_hours, median(sleep_hours) OVER (PARTITION BY job_role) AS sleep_hours_job_role_median "
             f"FROM (SELECT employee_id, {role('job_role')} AS job_role, sleep_hours FROM tech)",
         "role_drivers": "SELECT name, place, driver, delta FROM drivers",
         # sorts, limits, sets
-        "top_groups": _breakdown("concat_ws(' / ', job_role, work_mode, city)"),
+        "top_groups": _breakdown("concat_ws(' / ', job_role, work_mode, city)", limit=20),
+        "breakdown_fine": _breakdown("concat_ws(' / ', job_role, work_mode, city, company_size)"),
         "roster_sort": "SELECT * FROM roster_rows ORDER BY overtime NULLS LAST, id",
         "roster_page": "SELECT * FROM roster_rows ORDER BY experience DESC NULLS LAST, id LIMIT 50 OFFSET 150",
         "roster_page_after": "SELECT * FROM roster_rows WHERE hours > 25 OR hours IS NULL OR (hours = 25 AND id > 'EM5') ORDER BY hours NULLS LAST, id LIMIT 40",
-        "hash_sample": f"SELECT employee_id, stress_level, burnout_score FROM staff ORDER BY {hash_key('employee_id')}, employee_id LIMIT 500",
+        "hash_sample": f"SELECT employee_id, stress_level, strain_score FROM staff ORDER BY {hash_key('employee_id')}, employee_id LIMIT 500",
         "train_test_split": f"SELECT employee_id, CASE WHEN h < {int(0.2 * SPAN)} THEN 'test' ELSE 'train' END AS split, CAST(h % 3 AS INTEGER) AS fold FROM (SELECT employee_id, {hash_key('employee_id')} AS h FROM staff)",
         "stratified_split": f"SELECT employee_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h) <= ceil(0.2 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS split "
-            f"FROM (SELECT employee_id, CAST(burnout_score >= 4.5 AS INTEGER) AS label, {hash_key('employee_id')} AS h FROM staff)",
+            f"FROM (SELECT employee_id, CAST(strain_score >= 4.5 AS INTEGER) AS label, {hash_key('employee_id')} AS h FROM staff)",
         # evaluation
         "regression_metrics": "SELECT round(avg(abs(y - p)), 4) AS mae, round(sqrt(avg((y - p) * (y - p))), 4) AS rmse, round(1 - avg((y - p) * (y - p)) / var_pop(y), 4) AS r2 FROM judged",
         "roc_auc": "SELECT round(sum(CAST(neg AS DOUBLE) * (tp - pos / 2.0)) / (any_value(np)::DOUBLE * any_value(nn)), 4) AS roc_auc FROM points",
@@ -425,18 +436,18 @@ def oracle_sql() -> dict:
             f"SELECT {lit(c)} AS feature, round(avg(abs({num(w / s)} * ({c} - m))), 4) AS mean_abs FROM master CROSS JOIN (SELECT avg({c}) AS m FROM master)"
             for c, w, s in STRAIN_WEIGHTS),
         "permutation_importance": _permutation(),
-        "segment_naming": "SELECT *, CASE WHEN workload_index > 55 AND burnout_score > 5 THEN 'Overloaded (At Risk)' WHEN wellness_score > 65 AND burnout_score < 4 THEN 'Healthy & Balanced' "
+        "segment_naming": "SELECT *, CASE WHEN workload_index > 55 AND strain_score > 5 THEN 'Overloaded (At Risk)' WHEN wellness_score > 65 AND strain_score < 4 THEN 'Healthy & Balanced' "
             "WHEN workload_index < 45 AND wellness_score < 50 THEN 'Disengaged' ELSE 'Moderate / Transitioning' END AS employee_segment FROM "
-            "(SELECT job_role, work_mode, round(avg(workload_index), 3) AS workload_index, round(avg(wellness_score), 3) AS wellness_score, round(avg(burnout_score), 3) AS burnout_score FROM master GROUP BY 1, 2)",
+            "(SELECT job_role, work_mode, round(avg(workload_index), 3) AS workload_index, round(avg(wellness_score), 3) AS wellness_score, round(avg(strain_score), 3) AS strain_score FROM master GROUP BY 1, 2)",
         "numeric_statistics": " UNION ALL ".join(
             f"SELECT {lit(c)} AS feature, round(any_value(m), 4) AS fill, round(avg(coalesce({c}, m)), 4) AS mean, round(stddev_pop(coalesce({c}, m)), 4) AS std "
             f"FROM canonical CROSS JOIN (SELECT median({c}) AS m FROM canonical)" for c in MODEL_NUMERIC),
         # scenarios, what-if, report
-        "scenario_scores": f"SELECT profile, round(s, 2) AS burnout_score, round(s / 10.0 * 100, 1) AS elevated_risk_probability, {band('s')} AS risk_band, 4.5::DOUBLE AS threshold FROM "
+        "scenario_scores": f"SELECT profile, round(s, 2) AS strain_score, round(s / 10.0 * 100, 1) AS elevated_risk_probability, {band('s')} AS risk_band, 4.5::DOUBLE AS threshold FROM "
             f"(SELECT profile, {clipped('s0')} AS s FROM (SELECT profile, ({strain()} - low) / (high - low) * 10.0 AS s0 FROM scenario_rows CROSS JOIN ends))",
         "score_roster": "SELECT employee_id, round(score, 4) AS score, round(probability, 4) AS probability, band FROM scored",
         "policy_whatif": _whatif(),
-        "employee_report": f"SELECT id, found_in, overtime_hours, company_size, known_fields, city, round(s, 2) AS burnout_score, round(s / 10.0 * 100, 1) AS elevated_risk_probability, {band('s')} AS risk_band, 4.5::DOUBLE AS threshold FROM "
+        "employee_report": f"SELECT id, found_in, overtime_hours, company_size, known_fields, city, round(s, 2) AS strain_score, round(s / 10.0 * 100, 1) AS elevated_risk_probability, {band('s')} AS risk_band, 4.5::DOUBLE AS threshold FROM "
             f"(SELECT *, {clipped('s0')} AS s FROM (SELECT *, ({strain()} - low) / (high - low) * 10.0 AS s0 FROM (SELECT f.id, f.found_in, f.city, "
             + " + ".join(f"CAST(f.{c} IS NOT NULL" + (f" AND f.{c} NOT IN ('', 'nan', 'None')" if c in texts else "") + " AS INTEGER)" for c in meta)
             + " AS known_fields, " + ", ".join(f"coalesce(f.{c}, d.{c}) AS {c}" for c in MODEL_FEATURES)
@@ -449,7 +460,7 @@ def oracle_sql() -> dict:
            "SELECT r.employee_id, r.job_role, " + ", ".join(
                f"d.{c}" if c in absent else f"coalesce(r.{c}, d.{c}) AS {c}" for c in MODEL_NUMERIC) + " FROM roster r CROSS JOIN defaults d) CROSS JOIN ends))")
     q["stream_score_roster"] = f", {few} SELECT employee_id, round(score, 4) AS score, {band('score')} AS band FROM streamed"
-    q["stream_breakdown_role"] = f", {few} " + _breakdown("job_role", "streamed", 1000)
+    q["stream_breakdown_role"] = f", {few} " + _breakdown("job_role", "streamed")
     return {k: _join(base, v) for k, v in q.items()}
 
 

@@ -20,8 +20,8 @@ SELECT concat('EM', CAST(k AS STRING)) AS employee_id,
   CAST(n_ret AS DOUBLE) AS deadlines_missed,
   CAST(k % 31 AS DOUBLE) AS experience_years,
   CASE seg WHEN 'AUTOMOBILE' THEN '  software engineer' WHEN 'BUILDING' THEN 'DevOps'
-           WHEN 'FURNITURE' THEN 'QA engineer ' WHEN 'HOUSEHOLD' THEN 'full-stack dev' ELSE NULL END AS job_role,
-  CASE substr(pr, 1, 1) WHEN '1' THEN 'remote' WHEN '2' THEN ' Hybrid ' WHEN '3' THEN 'ON-SITE'
+           WHEN 'FURNITURE' THEN 'QA engineer ' WHEN 'HOUSEHOLD' THEN 'full-stack dev' ELSE NULL END AS job_role,
+  CASE substr(pr, 1, 1) WHEN '1' THEN 'remote' WHEN '2' THEN ' Hybrid ' WHEN '3' THEN 'ON-SITE'
            WHEN '4' THEN 'Office' ELSE NULL END AS work_mode,
   CAST(1 + (k * 13) % 5 AS DOUBLE) AS job_satisfaction,
   CASE WHEN k % 23 = 0 THEN NULL ELSE CAST(1 + (k * 19) % 5 AS DOUBLE) END AS manager_support,
@@ -36,8 +36,8 @@ SELECT concat('EM', CAST(k AS STRING)) AS employee_id,
   CASE WHEN k % 43 = 0 THEN NULL ELSE
     least(CAST(12.0 AS DOUBLE), greatest(CAST(0.0 AS DOUBLE),
       CAST(6 * (1 + (k * 3) % 10) + 2 * coalesce(qty % 41, 10) + (k * 7) % 26 - 6 * ((k * 29) % 5) AS DOUBLE) / 14.0)) END
-    AS burnout_score,
-  CASE nk % 6 WHEN 0 THEN 'Mumbai' WHEN 1 THEN ' pune ' WHEN 2 THEN 'BENGALURU' WHEN 3 THEN 'Chennai'
+    AS strain_score,
+  CASE nk % 6 WHEN 0 THEN 'Mumbai' WHEN 1 THEN '　pune ' WHEN 2 THEN 'BENGALURU' WHEN 3 THEN 'Chennai'
               WHEN 4 THEN 'Atlantis' ELSE NULL END AS city,
   CASE k % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'M' ELSE NULL END AS gender
 FROM (
@@ -80,7 +80,7 @@ SELECT CAST(p_partkey AS STRING) AS emp_id,
   4.0 + CAST(p_partkey % 11 AS DOUBLE) / 2.0 AS sleep,
   CAST(p_partkey % 15 AS DOUBLE) AS activity,
   CAST(1 + p_size % 10 AS DOUBLE) AS stress,
-  CAST(1 + (p_partkey * 3) % 10 AS DOUBLE) AS burnout,
+  CAST(1 + (p_partkey * 3) % 10 AS DOUBLE) AS felt,
   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size % 31 AS DOUBLE) END AS team
 FROM {part} p
 """
@@ -104,7 +104,7 @@ SELECT 'weekly' AS source_dataset, s.employee_id, s.work_hours_per_week + l.l_li
   s.overtime_hours, s.meetings_per_day, s.deadlines_missed, s.experience_years, s.job_role, s.work_mode,
   s.job_satisfaction * 20 AS job_satisfaction, s.manager_support * 20 AS manager_support,
   s.work_life_balance * 20 AS work_life_balance, s.sleep_hours, s.physical_activity_days, s.stress_level,
-  CAST(NULL AS DOUBLE) AS mental_fatigue_score, s.burnout_score, s.caffeine_intake, s.company_size,
+  CAST(NULL AS DOUBLE) AS mental_fatigue_score, s.strain_score, s.caffeine_intake, s.company_size,
   s.screen_time_hours, s.social_support_score,
   l.l_linenumber AS revision, l.l_extendedprice AS stamp, l.l_partkey AS stamp_part
 FROM {lineitem} l JOIN {staff} s ON s.record_no = l.l_orderkey

@@ -25,7 +25,7 @@ CANONICAL = (
     "physical_activity_days",
     "stress_level",
     "mental_fatigue_score",
-    "burnout_score",
+    "strain_score",
     "caffeine_intake",
     "company_size",
     "screen_time_hours",
@@ -90,8 +90,27 @@ ALIASES = {
     "employee_id": ("employeeid", "employee_id", "emp_id", "empid"),
 }
 
-TARGET = "burnout_score"
-LEAKING = ("burnout_level",)
+TARGET = "strain_score"
+
+# Headers, labels and file names of foreign data, as their files spell them. Everything
+# else in this library uses the neutral names on the right.
+FOREIGN_HEADERS = {"burnout_score": "strain_score", "burnout_level": "strain_level"}
+SURVEY_TARGET = "BurnoutLevel"
+SOURCE_LABELS = {
+    "tech": "tech_mental_health_burnout",
+    "employees": "are_employees_burning_out",
+    "survey": "mental_health_workplace_survey",
+    "ordinal": "train_csv_small",
+}
+LAYOUT_FILES = {
+    "tech": "tech_mental_health_burnout.csv",
+    "employees": "Are Your Employees Burning Out.csv",
+    "survey": "mental_health_workplace_survey.csv",
+    "ordinal": "train.csv",
+}
+# Columns that may hold an id, in the order in which they are tried.
+ID_COLUMNS = ("employee_id", "employeeid", "emp_id", "empid", "EmployeeID")
+LEAKING = ("strain_level",)
 SENSITIVE = (
     "age",
     "gender",
@@ -101,14 +120,14 @@ SENSITIVE = (
     "depression_score",
 )
 PIPELINE_EXCLUDED = (
-    "burnout_score",
+    "strain_score",
     "employee_segment",
     "source_dataset",
     "employee_id",
     "mental_fatigue_score",
     "stress_level",
 )
-REQUIRED_TRAINING = ("burnout_level", "burnout_score", "stress_level", "work_hours_per_week")
+REQUIRED_TRAINING = ("strain_level", "strain_score", "stress_level", "work_hours_per_week")
 
 WORK_MODES = {
     "Hybrid": "Hybrid",
@@ -253,7 +272,7 @@ CORRELATED = (
     "work_life_balance",
     "workload_index",
     "wellness_score",
-    "burnout_score",
+    "strain_score",
 )
 
 METADATA_FIELDS = (
@@ -293,11 +312,10 @@ ROSTER = (
 )
 
 LIMITATIONS = (
-    "External synthetic/proxy data; validate on consented company data before deployment.",
-    "Risk band is statistical, not clinical; do not use for adverse employment decisions.",
-    "No time field: this is a snapshot model, not a longitudinal forecast.",
+    "Trained on public proxy data: check against data of your own people, collected with consent.",
+    "Bands describe groups statistically; they are no diagnosis and no ground for measures against a person.",
+    "Records carry no time, so nothing here forecasts a development.",
 )
-NOTICE = "Decision-support only. Use supportive interventions, not adverse employment actions."
 
 CITY_STATES = {
     "new delhi": "Delhi",
@@ -413,7 +431,8 @@ CANONICAL_TYPE = _struct(CANONICAL, STRINGS)
 
 RAW_TYPES = {
     "tech": _struct(
-        [c for c in CANONICAL if c not in ("source_dataset", "employee_id", "mental_fatigue_score")],
+        [{v: k for k, v in FOREIGN_HEADERS.items()}.get(c, c) for c in CANONICAL
+         if c not in ("source_dataset", "employee_id", "mental_fatigue_score")],
         STRINGS,
     ),
     "employees": _struct(
@@ -424,7 +443,7 @@ RAW_TYPES = {
     "survey": _struct(
         ["EmployeeID", "WorkHoursPerWeek", "YearsAtCompany", "JobRole", "RemoteWork",
          "JobSatisfaction", "ManagerSupportScore", "WorkLifeBalanceScore", "SleepHours",
-         "PhysicalActivityHrs", "StressLevel", "BurnoutLevel", "TeamSize"],
+         "PhysicalActivityHrs", "StressLevel", SURVEY_TARGET, "TeamSize"],
         ("EmployeeID", "JobRole", "RemoteWork"),
     ),
     "ordinal": _struct(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..schema import ALIASES, MODEL_FEATURES, REQUIRED_UPLOAD
+from ..schema import ALIASES, FOREIGN_HEADERS, MODEL_FEATURES, REQUIRED_UPLOAD
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
@@ -14,10 +14,15 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def neutral_headers(df: DataFrame) -> DataFrame:
+    """Foreign names of the target columns become this library's names."""
+    return df.select([F.col(f"`{c}`").alias(FOREIGN_HEADERS.get(c, c)) for c in df.columns])
+
+
 def require_fields(df: DataFrame, fields=REQUIRED_UPLOAD) -> DataFrame:
     absent = sorted(set(fields) - set(df.columns))
     if absent:
-        raise ValueError("Missing required fields: " + ", ".join(absent))
+        raise ValueError("the roster lacks these columns: " + ", ".join(absent))
     return df
 
 

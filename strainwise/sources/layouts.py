@@ -7,15 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numbers import nan_to_null
 from ..functions.text import recode
 from ..plans.bounds import small_side
-from ..schema import CANONICAL, CANONICAL_TYPE
-
-# Source names and the ordinal scales of the answer words.
-TECH, EMPLOYEES, SURVEY, ORDINAL = (
-    "tech_mental_health_burnout",
-    "are_employees_burning_out",
-    "mental_health_workplace_survey",
-    "train_csv_small",
-)
+from ..schema import CANONICAL, CANONICAL_TYPE, SOURCE_LABELS, SURVEY_TARGET, TARGET
+from .headers import neutral_headers
+
+# The ordinal scales of the answer words.
 REMOTE_ANSWER = {"Yes": "Remote", "No": "Onsite"}
 LEVELS = {"Low": 25.0, "Medium": 50.0, "High": 75.0, "Very High": 100.0}
 GRADES = {"Poor": 25.0, "Fair": 50.0, "Good": 75.0, "Excellent": 100.0}
@@ -25,7 +20,7 @@ EXERCISE = {"No": 0.0, "Yes": 3.0}
 
 def _canonical(df: DataFrame, source: str, known: dict) -> DataFrame:
     """Project to the 21 columns; whatever a layout does not know is NULL."""
-    known = {"source_dataset": F.lit(source), **known}
+    known = {"source_dataset": F.lit(SOURCE_LABELS[source]), **known}
     return nan_to_null(df).select(
         [(known[f.name] if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name)
          for f in CANONICAL_TYPE]
@@ -49,6 +44,7 @@ def row_numbers(df: DataFrame, name: str = "row_no") -> DataFrame:
 
 def from_tech(df: DataFrame, row_key: str | None = None) -> DataFrame:
     """Layout "tech": names match; three 1-5 answers go to 0-100. Ids are ``tech_<row>``."""
+    df = neutral_headers(df)
     if row_key is None:
         df, row_key = row_numbers(df), "row_no"
     same = [c for c in CANONICAL if c not in ("source_dataset", "employee_id", "mental_fatigue_score")]
@@ -56,12 +52,12 @@ def from_tech(df: DataFrame, row_key: str | None = None) -> DataFrame:
     for c in ("job_satisfaction", "manager_support", "work_life_balance"):
         known[c] = F.col(c) * 20.0
     known["employee_id"] = F.concat(F.lit("tech_"), F.col(row_key).cast("string"))
-    return _canonical(df, TECH, known)
+    return _canonical(df, "tech", known)
 
 
 def from_employees(df: DataFrame) -> DataFrame:
     """Layout "employees": allocation, designation and burn rate as proxies."""
-    return _canonical(df, EMPLOYEES, {
+    return _canonical(df, "employees", {
         "employee_id": F.col("Employee ID"),
         "work_hours_per_week": F.col("Resource Allocation") * 8.0,
         "experience_years": F.col("Designation") * 2.0,
@@ -69,13 +65,13 @@ def from_employees(df: DataFrame) -> DataFrame:
         "company_size": F.lit("Unknown"),
         "work_mode": recode("WFH Setup Available", REMOTE_ANSWER),
         "mental_fatigue_score": F.col("Mental Fatigue Score") * 10.0,
-        "burnout_score": F.col("Burn Rate") * 10.0,
+        TARGET: F.col("Burn Rate") * 10.0,
     })
 
 
 def from_survey(df: DataFrame) -> DataFrame:
     """Layout "survey": mixed 1-10 and 1-5 answers; size from the team (NULL counts as Medium)."""
-    return _canonical(df, SURVEY, {
+    return _canonical(df, "survey", {
         "employee_id": F.col("EmployeeID"),
         "work_hours_per_week": F.col("WorkHoursPerWeek"),
         "experience_years": F.col("YearsAtCompany"),
@@ -87,14 +83,14 @@ def from_survey(df: DataFrame) -> DataFrame:
         "sleep_hours": F.col("SleepHours"),
         "physical_activity_days": F.col("PhysicalActivityHrs") / 2.0,
         "stress_level": F.col("StressLevel"),
-        "burnout_score": F.col("BurnoutLevel"),
+        TARGET: F.col(SURVEY_TARGET),
         "company_size": F.when(F.col("TeamSize") > 15, "Large").otherwise("Medium"),
     })
 
 
 def from_ordinal(df: DataFrame) -> DataFrame:
     """Layout "ordinal": answer words on fixed scales, no recorded score."""
-    return _canonical(df, ORDINAL, {
+    return _canonical(df, "ordinal", {
         "employee_id": F.col("Employee_Id"),
         "work_hours_per_week": F.col("Avg_Working_Hours_Per_Day") * 5.0,
         "job_role": F.lit("Unknown"),

@@ -1,18 +1,13 @@
 """File sources: layout CSVs, rosters, metrics JSON."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numbers import nan_to_null
-from ..schema import RAW_TYPES
+from ..schema import LAYOUT_FILES, RAW_TYPES
 from .layouts import from_employees, from_ordinal, from_survey, from_tech, unify
 
-# File name of each layout inside a data folder.
-LAYOUT_FILES = {
-    "tech": "tech_mental_health_burnout.csv",
-    "employees": "Are Your Employees Burning Out.csv",
-    "survey": "mental_health_workplace_survey.csv",
-    "ordinal": "train.csv",
-}
 LAYOUTS = {
     "tech": from_tech,
     "employees": from_employees,
@@ -27,28 +22,39 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def csv_header(spark: SparkSession, path: str) -> list:
-    """Column names of a CSV file or folder, read from its first line only."""
-    return spark.read.csv(path, header=True).columns
+def csv_headers(spark: SparkSession, path: str) -> dict:
+    """Column names -> files below ``path`` that begin with them, read from first lines only."""
+    found: dict[tuple, list] = {}
+    for file in sorted(spark.read.format("text").load(path).inputFiles()):
+        found.setdefault(tuple(spark.read.csv(file, header=True).columns), []).append(file)
+    return found
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header, matched to ``schema`` by name; without one all columns are text.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header, matched by name in every file; without a ``schema`` all columns are text.
 
-    A column the file lacks is an error, like in any reader that accesses columns
-    by name; surplus columns are dropped. Text that is no number reads as NULL.
+    Files of a folder may order their columns differently: files with the same header are
+    one scan, and the scans are united by name. A column that some files lack is NULL
+    there; one that all of them lack is an error, like in any reader that accesses
+    columns by name. With a schema surplus columns are dropped, and text that is no
+    number reads as NULL. ``multi_line`` keeps line breaks inside quoted values together
+    (files are then not split).
     """
-    options = {"header": True, "multiLine": False, "escape": '"', "enforceSchema": True, "mode": "PERMISSIVE"}
-    names = csv_header(spark, path)
-    if schema is None:
-        return spark.read.options(**options).schema(
-            T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
-    absent = sorted(set(schema.names) - set(names))
-    if absent:
-        raise ValueError("columns absent in " + path + ": " + ", ".join(absent))
-    wanted = {f.name: f for f in schema}
-    full = T.StructType([wanted.get(n, T.StructField(n, T.StringType())) for n in names])
-    return nan_to_null(spark.read.options(**options).schema(full).csv(path).select(*[f"`{n}`" for n in schema.names]))
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": True, "mode": "PERMISSIVE"}
+    headers = csv_headers(spark, path)
+    if schema is not None:
+        absent = sorted(set(schema.names) - {n for names in headers for n in names})
+        if absent:
+            raise ValueError("columns absent in " + path + ": " + ", ".join(absent))
+    wanted = {f.name: f for f in schema or ()}
+    scans = []
+    for names, files in headers.items():
+        full = T.StructType([wanted.get(n, T.StructField(n, T.StringType())) for n in names])
+        df = spark.read.options(**options).schema(full).csv(files)
+        scans.append(df if schema is None else df.select(*[f"`{n}`" for n in schema.names if n in names]))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    return out if schema is None else nan_to_null(out.select(*[f"`{n}`" for n in schema.names]))
 
 
 def read_layout(spark: SparkSession, folder: str, layout: str) -> DataFrame | None:

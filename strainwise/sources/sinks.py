@@ -25,11 +25,19 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def metrics_document(facts: DataFrame, comparison: DataFrame, features, threshold: float,
-                     quantile: float) -> DataFrame:
-    """One row: dataset facts, the metrics per model, the chosen model, risk rule, limits.
+                     quantile: float, risk_metrics: DataFrame | None = None, excluded=()) -> DataFrame:
+    """One row: dataset facts, the metrics per model, the chosen model, risk rule and metrics, limits.
 
-    ``facts`` has one row (``rows``, ``labeled``); ``comparison`` one row per model.
+    ``facts`` has one row (``rows``, ``labeled`` and, if known, ``test``), ``comparison``
+    one row per model, ``risk_metrics`` one row of ``evaluate.classification_metrics``.
     """
+    test = F.col("test") if "test" in facts.columns else F.lit(None).cast("bigint")
+    measured = ("roc_auc", "pr_auc", "f1_at_0_5", "positive_rate")
+    if risk_metrics is not None:
+        risk = risk_metrics.select(F.struct(*measured).alias("s")).scalar()
+        measures = [risk[c].alias(c) for c in measured]
+    else:
+        measures = [F.lit(None).cast("double").alias(c) for c in measured]
     models = F.array_sort(F.collect_list(F.struct("rmse", "model", "mae", "r2")))  # one entry per model
     line = comparison.agg(models.alias("models")).select(
         F.struct(
@@ -38,10 +46,13 @@ def metrics_document(facts: DataFrame, comparison: DataFrame, features, threshol
         ).alias("s")).scalar()
     return facts.select(
         F.struct(F.col("rows").alias("total_rows"), F.col("labeled").alias("labeled_rows"),
-                 F.array(*[F.lit(f) for f in features]).alias("features_used")).alias("dataset"),
+                 test.alias("test_rows"), F.array(*[F.lit(f) for f in features]).alias("features_used"),
+                 F.array(*[F.lit(f) for f in excluded]).cast("array<string>").alias("features_excluded")).alias("dataset"),
         line["models"].alias("regression_models"),
         line["recommended_model"].alias("recommended_model"),
-        F.struct(F.lit(threshold).alias("threshold"), F.lit(quantile).alias("risk_quantile")).alias("risk_model"),
+        F.struct(F.lit(threshold).alias("threshold"), F.lit(quantile).alias("risk_quantile"),
+                 F.lit(f"score of at least the {quantile:g} quantile of the training rows").alias("definition"),
+                 *measures).alias("risk_model"),
         F.array(*[F.lit(t) for t in LIMITATIONS]).alias("limitations"),
     )
 

@@ -39,14 +39,27 @@ def append_scored(scored: DataFrame, path: str, checkpoint: str, fmt: str = "par
 
 def running_breakdown(scored: DataFrame, key: str, path: str, checkpoint: str,
                       threshold: float = DEFAULT_THRESHOLD) -> StreamingQuery:
-    """Breakdown over everything seen so far, rewritten to ``path`` after each batch.
+    """Breakdown over everything seen so far, written below ``path`` after each batch.
 
+    Every batch has a folder of its own, complete when its success marker is there;
+    :func:`latest_breakdown` reads the newest complete one, so readers never see a gap.
     State is one row per key value, so no watermark is needed.
     """
     groups = breakdown(scored, key, limit=None, threshold=threshold)
 
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
 
     return (groups.writeStream.outputMode("complete").foreachBatch(publish)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_breakdown(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete result of :func:`running_breakdown`."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = sorted(str(s.getPath().getParent()) for s in files.globStatus(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*/_SUCCESS")))
+    if not done:
+        raise ValueError("no complete breakdown below " + path)
+    return spark.read.option("basePath", done[-1]).parquet(done[-1])

@@ -12,8 +12,8 @@ def people(spark, rows):
 def test_imputation_falls_back_from_role_to_all_to_zero(spark):
     df = people(spark, [("1", "s", "a", None, None, 1), ("2", "s", "a", None, None, 1),
                         ("3", "s", "b", 1.0, None, 1), ("4", "s", "b", 3.0, None, 1), ("5", "s", None, None, None, 1)])
-    for limit in (100_000, 0):
-        out = {r["employee_id"]: r for r in clean.impute_missing(df, max_distinct=limit).collect()}
+    for part_rows in (100_000, 1):
+        out = {r["employee_id"]: r for r in clean.impute_missing(df, part_rows=part_rows).collect()}
         assert [out[i]["work_hours_per_week"] for i in "12345"] == [2.0, 2.0, 1.0, 3.0, 2.0]
         assert all(r["sleep_hours"] == 0.0 for r in out.values())
         assert [out[i]["work_hours_per_week_is_missing"] for i in "12345"] == [1, 1, 0, 0, 1]
@@ -42,13 +42,13 @@ def test_keep_first_without_an_order_does_not_depend_on_partitions(spark):
 def test_cleaning_is_idempotent(spark):
     df = spark.createDataFrame([("1", "s", " qa engineer", "HOME", None, None, 12.0), ("2", "s", None, None, "MNC", 3.0, None)],
                                "employee_id string, source_dataset string, job_role string, work_mode string, "
-                               "company_size string, sleep_hours double, burnout_score double")
+                               "company_size string, sleep_hours double, strain_score double")
     once = clean.preprocess(df)
     twice = clean.preprocess(once.drop("sleep_hours_is_missing"))
     cols = df.columns
     assert once.select(cols).exceptAll(twice.select(cols)).isEmpty()
     assert once.where(F.col("sleep_hours").isNull()).isEmpty()
-    assert {r["burnout_score"] for r in once.collect()} == {10.0, None}
+    assert {r["strain_score"] for r in once.collect()} == {10.0, None}
 
 
 def test_mode_ties_take_the_smallest(spark):
@@ -68,12 +68,12 @@ def test_align_fills_coerces_and_adds(spark):
 
 def test_violations(spark):
     good = spark.createDataFrame([("x", 1.0, 2.0, 3.0), ("y", 1.0, 2.0, 3.0)],
-                                 "burnout_level string, burnout_score double, stress_level double, work_hours_per_week double")
+                                 "strain_level string, strain_score double, stress_level double, work_hours_per_week double")
     assert validate.require_valid(good) is good
     bad = good.unionAll(good).unionAll(spark.sql("select 'z', 11d, 1d, 1d union all select 'w', null, 1d, 1d"))
     found = {r["check"]: r["violations"] for r in validate.violations(bad).collect()}
     assert found == {"required_columns": 0, "empty": 0, "missing_target": 1, "target_out_of_range": 1, "duplicate_rows": 2}
-    for frame in (bad, good.where("false"), good.drop("burnout_score")):
+    for frame in (bad, good.where("false"), good.drop("strain_score")):
         try:
             validate.require_valid(frame)
         except ValueError:
@@ -90,7 +90,7 @@ def test_duplicates_are_exact(spark, monkeypatch):
 
 
 def test_model_columns():
-    cols = ["employee_id", "age", "gender", "burnout_level", "burnout_score", "sleep_hours", "stress_level",
+    cols = ["employee_id", "age", "gender", "strain_level", "strain_score", "sleep_hours", "stress_level",
             "workload_index", "sleep_hours_is_missing", "anxiety_score"]
     assert validate.model_columns(cols) == ["employee_id", "sleep_hours", "sleep_hours_is_missing", "stress_level", "workload_index"]
     assert validate.model_columns(cols, pipeline=True) == ["sleep_hours"]

@@ -6,14 +6,16 @@ from strainwise.operators.scoring import linear_scorer
 from strainwise.plans import flows
 from strainwise.registry import catalog
 from strainwise.sources import readers
-from strainwise.schema import RAW_TYPES
+from strainwise.schema import FOREIGN_HEADERS, LAYOUT_FILES, RAW_TYPES
 
 
 @pytest.fixture(scope="module")
 def master(spark, sf, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("raw"))
     staff = catalog.staff(spark, sf)
-    staff.select(*RAW_TYPES["tech"].names).coalesce(1).write.option("header", True).csv(f"{folder}/{readers.LAYOUT_FILES['tech']}")
+    foreign = {v: k for k, v in FOREIGN_HEADERS.items()}
+    raw = staff.toDF(*[foreign.get(c, c) for c in staff.columns])
+    raw.select(*RAW_TYPES["tech"].names).coalesce(1).write.option("header", True).csv(f"{folder}/{LAYOUT_FILES['tech']}")
     return flows.build_master(spark, folder, f"{folder}/master", restarts=2), staff
 
 
@@ -22,7 +24,7 @@ def test_master(spark, master):
     assert table.count() == staff.count()
     assert table.where("sleep_hours is null or overtime_hours is null or workload_index is null").isEmpty()
     assert table.select("cluster_id").distinct().count() == 4
-    assert table.agg(F.max("burnout_score")).first()[0] <= 10.0
+    assert table.agg(F.max("strain_score")).first()[0] <= 10.0
 
 
 def test_train_and_roster(spark, sf, master, tmp_path):
@@ -33,6 +35,8 @@ def test_train_and_roster(spark, sf, master, tmp_path):
     assert 0.5 <= fitted.risk_metrics.first()["roc_auc"] <= 1
     assert readers.read_threshold(spark, str(tmp_path / "models" / "metrics")) == fitted.threshold
     doc = spark.read.json(str(tmp_path / "models" / "metrics")).first()
+    assert doc["risk_model"]["roc_auc"] == fitted.risk_metrics.first()["roc_auc"] and doc["dataset"]["test_rows"] > 0
+    assert "employee_id" in doc["dataset"]["features_excluded"]
     assert "stress_level" not in doc["dataset"]["features_used"] and "employee_id" not in doc["dataset"]["features_used"]
     reports = flows.analyse_roster(catalog.roster(spark, sf), fit_defaults(table), fitted.scorer(), fitted.threshold)
     n = catalog.roster(spark, sf).count()
@@ -50,5 +54,5 @@ def test_roster_with_headers_as_people_write_them(spark, sf, master):
     names = {x["name"] for x in reports["roles"].collect()}
     assert names == {"Software Engineer", "Devops", "Qa Engineer", "Full-Stack Dev", "Unknown"}
     assert reports["states"].count() == 3  # three cities in the dictionary lie in three states
-    with pytest.raises(ValueError, match="Missing required"):
+    with pytest.raises(ValueError, match="lacks these columns"):
         flows.analyse_roster(r.drop("work_mode"), fit_defaults(table), linear_scorer(table), 4.5)

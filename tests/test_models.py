@@ -15,10 +15,10 @@ def toy(spark):
     n = 600
     pdf = pd.DataFrame({"employee_id": [f"e{i}" for i in range(n)], "a": rng.normal(5, 2, n), "b": rng.normal(0, 3, n),
                         "t": rng.choice(["x", "y", "z"], n)})
-    pdf["burnout_score"] = (pdf.a * 0.8 - pdf.b * 0.3 + (pdf.t == "x") * 1.0 + rng.normal(0, 0.2, n)).clip(0, 10)
+    pdf["strain_score"] = (pdf.a * 0.8 - pdf.b * 0.3 + (pdf.t == "x") * 1.0 + rng.normal(0, 0.2, n)).clip(0, 10)
     pdf.loc[:40, "a"] = np.nan
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
-                               "employee_id string, a double, b double, t string, burnout_score double")
+                               "employee_id string, a double, b double, t string, strain_score double")
     return pdf, df.cache()
 
 
@@ -59,7 +59,7 @@ def test_ridge_is_the_closed_form(toy):
     pdf, df = toy
     out = models.fit_preprocessor(df, ["a", "b"], ["t"]).transform(df)
     model = models.ridge(out, alpha=5.0).fit(out)
-    x, y = matrix(pdf), pdf.burnout_score.to_numpy()
+    x, y = matrix(pdf), pdf.strain_score.to_numpy()
     xc, yc = x - x.mean(0), y - y.mean()
     beta = np.linalg.solve(xc.T @ xc + 5.0 * np.eye(x.shape[1]), xc.T @ yc)
     assert np.allclose(model.coefficients.toArray(), beta, atol=1e-6)
@@ -81,7 +81,7 @@ def test_comparison_and_best(toy):
 def test_calibrated_risk_and_saved_models(toy, tmp_path):
     _, df = toy
     prepare = models.fit_preprocessor(df, ["a", "b"], ["t"])
-    rows = prepare.transform(df).withColumn("label", bands.elevated("burnout_score"))
+    rows = prepare.transform(df).withColumn("label", bands.elevated("strain_score"))
     risk = models.fit_risk(rows, "label", rounds=4, depth=3)
     out = risk.transform(rows)
     assert out.columns == [*rows.columns, "probability"] and len(risk.members) == 3
@@ -108,7 +108,7 @@ def test_segments(spark):
     rng = np.random.default_rng(2)
     centers = [(80, 40, 8), (30, 80, 2), (30, 40, 4.5), (70, 70, 4.5)]
     rows = [tuple(float(v) for v in rng.normal(c, 0.5)) + (i,) for i, c in enumerate(centers) for _ in range(60)]
-    df = spark.createDataFrame(rows, "workload_index double, wellness_score double, burnout_score double, truth int")
+    df = spark.createDataFrame(rows, "workload_index double, wellness_score double, strain_score double, truth int")
     got = {(r["truth"], r["employee_segment"]) for r in models.segment(df, restarts=4).select("truth", "employee_segment").distinct().collect()}
     assert got == {(0, "Overloaded (At Risk)"), (1, "Healthy & Balanced"), (2, "Disengaged"), (3, "Moderate / Transitioning")}
 
@@ -124,10 +124,14 @@ def test_linear_attribution_sums_to_the_gap(spark):
 
 def test_shuffled_features_keep_the_values(spark):
     df = spark.range(300).selectExpr("concat('e', id) employee_id", "cast(id as double) x")
-    out = attribution.shuffled_features(df, ["x"], blocks=3)
-    pairs = [(r["x"], r["other_x"]) for r in out.collect()]
-    assert sorted(a for a, _ in pairs) == sorted(b for _, b in pairs)
-    assert sum(a == b for a, b in pairs) <= 3
+    draws = []
+    for part_rows in (10 ** 6, 40):  # one partition, and eight
+        out = attribution.shuffled_features(df, ["x"], part_rows=part_rows)
+        pairs = sorted((r["x"], r["other_x"]) for r in out.collect())
+        assert sorted(a for a, _ in pairs) == sorted(b for _, b in pairs)
+        assert not any(a == b for a, b in pairs)
+        draws.append(pairs)
+    assert draws[0] == draws[1]  # the draw does not depend on the partitions
 
 
 def test_permutation_importance_finds_the_used_feature(spark):
@@ -139,5 +143,5 @@ def test_permutation_importance_finds_the_used_feature(spark):
     df = spark.createDataFrame(pdf)
     scorer = scoring.linear_scorer(df)
     truth = scorer(df).withColumnRenamed("score", "y").drop("probability")
-    top = attribution.permutation_importance(truth, scorer, names, "y", blocks=4).first()
+    top = attribution.permutation_importance(truth, scorer, names, "y", part_rows=100).first()
     assert top["feature"] == "stress_level" and top["rmse_rise"] > 1

@@ -28,14 +28,14 @@ def skewed(spark):
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
 
 
-# one aggregate, buckets, and one column each way
-SIZES = [{"x": 10, "y": 10}, {"x": 10 ** 9, "y": 10 ** 9}, {"x": 10 ** 9, "y": 10}, {"x": 10, "y": 10 ** 9}]
+# values in one partition, and in many
+PARTS = [10 ** 6, 700]
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_quantiles(skewed, sizes):
+@pytest.mark.parametrize("part_rows", PARTS)
+def test_quantiles(skewed, part_rows):
     pdf, df = skewed
-    out = exact_quantiles(df, ["x", "y"], PROBS, by="g", with_total=True, distinct=sizes)
+    out = exact_quantiles(df, ["x", "y"], PROBS, by="g", with_total=True, part_rows=part_rows)
     rows = out.collect()
     assert len(rows) == 5
     for r in rows:
@@ -48,30 +48,35 @@ def test_quantiles(skewed, sizes):
                 assert np.allclose(r[c], np.quantile(values, PROBS)), (r["g"], c)
 
 
-@pytest.mark.parametrize("sizes", SIZES)
-def test_quantiles_ungrouped(skewed, sizes):
+def test_no_raw_row_is_shuffled_for_a_quantile(skewed):
+    text = exact_quantiles(skewed[1], ["x"], [0.5], by="g")._jdf.queryExecution().toString()
+    assert "percentile" not in text
+
+
+@pytest.mark.parametrize("part_rows", PARTS)
+def test_quantiles_ungrouped(skewed, part_rows):
     pdf, df = skewed
-    r = exact_quantiles(df, ["x", "y"], PROBS, distinct=sizes).first()
+    r = exact_quantiles(df, ["x", "y"], PROBS, part_rows=part_rows).first()
     assert np.allclose(r["x"], np.quantile(pdf.x, PROBS)) and np.allclose(r["y"], np.quantile(pdf.y.dropna(), PROBS))
 
 
-@pytest.mark.parametrize("limit", [10 ** 6, 0])
-def test_known_quantiles(spark, limit):
+@pytest.mark.parametrize("part_rows", [10 ** 6, 1])
+def test_known_quantiles(spark, part_rows):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (10.0,), (None,)], "v double")
-    r = exact_quantiles(df, ["v"], [0.5, 0.9], max_distinct=limit).first()
+    r = exact_quantiles(df, ["v"], [0.5, 0.9], part_rows=part_rows).first()
     assert [round(x, 9) for x in r["v"]] == [3.0, 7.6]
 
 
 def test_all_null_column(spark):
     df = spark.sql("select cast(null as double) v, 'a' g union all select null, 'b'")
-    assert not exact_quantiles(df, ["v"], [0.5], max_distinct=0).first()["v"]
+    assert not exact_quantiles(df, ["v"], [0.5]).first()["v"]
 
 
 def test_running_totals(spark):
     rng = np.random.default_rng(5)
     score = np.where(rng.random(5000) < 0.4, 0.5, np.round(rng.random(5000), 3))
     df = spark.createDataFrame(pd.DataFrame({"s": score, "one": 1}))
-    got = running_totals(df, "s", ["one"], splits=16).orderBy(F.desc("s")).toPandas()
+    got = running_totals(df, "s", ["one"], part_rows=90).orderBy(F.desc("s")).toPandas()
     counts = pd.Series(score).value_counts().sort_index(ascending=False)
     assert np.array_equal(got.s, counts.index) and np.array_equal(got.one, counts.values)
     assert np.array_equal(got.cum_one, counts.cumsum()) and (got.all_one == 5000).all()
@@ -153,6 +158,12 @@ def test_stratified_split_is_exact(spark):
                      (None, "test"): 1, (None, "train"): 2}
 
 
+def test_stratified_folds_share_every_stratum(spark):
+    df = spark.range(907).selectExpr("concat('e', id) employee_id", "id % 100 = 0 hot")
+    got = sampling.with_fold(df, folds=3, stratify="hot").groupBy("hot", "fold").count().collect()
+    assert len(got) == 6 and all(r["count"] in ((3, 4) if r["hot"] else range(297, 302)) for r in got)
+
+
 def test_hash_sample(spark):
     df = spark.range(500).selectExpr("concat('e', id) employee_id")
     a = {r[0] for r in sampling.hash_sample(df, 40).collect()}
@@ -162,4 +173,5 @@ def test_hash_sample(spark):
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 0.5, 1.0, 9.99, 10.0, 10.1, -0.1, None)], "v double")
     rows = explore.histogram(df, "v", 0.0, 10.0, 10).orderBy("bin").collect()
-    assert [r["rows"] for r in rows] == [2, 1, 0, 0, 0, 0, 0, 0, 0, 2]
+    assert [r["rows"] for r in rows] == [1, 2, 1, 0, 0, 0, 0, 0, 0, 0, 2, 1]
+    assert (rows[0]["bin"], rows[0]["low"], rows[-1]["high"]) == (-1, None, None)

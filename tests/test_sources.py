@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from strainwise.schema import CANONICAL, CANONICAL_TYPE, REQUIRED_UPLOAD
+from strainwise.schema import CANONICAL, CANONICAL_TYPE, LAYOUT_FILES, RAW_TYPES, REQUIRED_UPLOAD, SURVEY_TARGET
 from strainwise.sources import headers, layouts, readers, sinks
 
 
@@ -12,12 +12,12 @@ def write(path, text):
 
 
 TECH = ("work_hours_per_week,overtime_hours,meetings_per_day,deadlines_missed,experience_years,job_role,work_mode,"
-        "job_satisfaction,manager_support,work_life_balance,sleep_hours,physical_activity_days,stress_level,burnout_score,"
+        "job_satisfaction,manager_support,work_life_balance,sleep_hours,physical_activity_days,stress_level," + RAW_TYPES["tech"].names[13] + ","
         "caffeine_intake,company_size,screen_time_hours,social_support_score,age\n")
 
 
 def test_layout_files(spark, tmp_path):
-    write(tmp_path / "tech_mental_health_burnout.csv", TECH
+    write(tmp_path / LAYOUT_FILES["tech"], TECH
           + "40,,3,1,5,dev,Remote,3,4,5,7,2,6,4.4,1,MNC,8,7,31\n50,4,3,1,5,ops,Office,1,oops,5,7,2,6,NaN,1,,8,7,44\n")
     write(tmp_path / "train.csv",
           "Employee_Id,Avg_Working_Hours_Per_Day,Work_From,Job_Satisfaction,Manager_Support,Work_Life_Balance,Sleeping_Habit,Exercise_Habit,Stress_Level\n"
@@ -27,8 +27,8 @@ def test_layout_files(spark, tmp_path):
     rows = {r["employee_id"]: r for r in df.collect()}
     assert sorted(rows) == ["T1", "T2", "tech_0", "tech_1"]
     a, b = rows["tech_0"], rows["tech_1"]
-    assert (a["job_satisfaction"], a["manager_support"], a["overtime_hours"], a["burnout_score"]) == (60.0, 80.0, None, 4.4)
-    assert (b["manager_support"], b["burnout_score"], b["company_size"], b["mental_fatigue_score"]) == (None, None, None, None)
+    assert (a["job_satisfaction"], a["manager_support"], a["overtime_hours"], a["strain_score"]) == (60.0, 80.0, None, 4.4)
+    assert (b["manager_support"], b["strain_score"], b["company_size"], b["mental_fatigue_score"]) == (None, None, None, None)
     t = rows["T1"]
     assert (t["work_hours_per_week"], t["job_satisfaction"], t["manager_support"], t["work_life_balance"]) == (45.0, 75.0, 100.0, 100.0)
     assert (t["sleep_hours"], t["physical_activity_days"], t["work_mode"], t["job_role"]) == (5.0, 3.0, "Home", "Unknown")
@@ -47,10 +47,30 @@ def test_missing_column_is_an_error(spark, tmp_path):
         readers.read_sources(spark, str(tmp_path))
 
 
+def test_files_of_a_folder_are_matched_by_name(spark, tmp_path):
+    write(tmp_path / "a.csv", "job_role,work_hours_per_week\nops,55\n")
+    write(tmp_path / "b.csv", "work_hours_per_week,job_role,city\n60,dev,Pune\n")
+    write(tmp_path / "c.csv", "job_role\nqa\n")
+    write(tmp_path / "d.csv", "city,job_role\nOslo,art\n")
+    out = readers.read_csv(spark, str(tmp_path))
+    assert {(r["job_role"], r["work_hours_per_week"], r["city"]) for r in out.collect()} == {
+        ("ops", "55", None), ("dev", "60", "Pune"), ("qa", None, None), ("art", None, "Oslo")}
+    schema = "work_hours_per_week double, job_role string"
+    typed = readers.read_csv(spark, str(tmp_path), spark.createDataFrame([], schema).schema)
+    assert {tuple(r) for r in typed.collect()} == {(55.0, "ops"), (60.0, "dev"), (None, "qa"), (None, "art")}
+    with pytest.raises(ValueError, match="columns absent"):
+        readers.read_csv(spark, str(tmp_path), spark.createDataFrame([], "age double").schema)
+
+
+def test_line_breaks_inside_values(spark, tmp_path):
+    path = write(tmp_path / "a.csv", 'job_role,city\n"on\ncall",Pune\n')
+    assert [tuple(r) for r in readers.read_csv(spark, path, multi_line=True).collect()] == [("on\ncall", "Pune")]
+
+
 def test_survey_team_size(spark):
     cols = "EmployeeID long, WorkHoursPerWeek double, YearsAtCompany double, JobRole string, RemoteWork string, JobSatisfaction double, " \
            "ManagerSupportScore double, WorkLifeBalanceScore double, SleepHours double, PhysicalActivityHrs double, StressLevel double, " \
-           "BurnoutLevel double, TeamSize double"
+           f"{SURVEY_TARGET} double, TeamSize double"
     raw = spark.createDataFrame([(1, 40., 2., "a", "Yes", 7., 3., 4., 7., 5., 3., 4., 16.), (2, 40., 2., "a", "Maybe", 7., 3., 4., 7., 5., 3., 4., None)], cols)
     a, b = layouts.from_survey(raw).orderBy("employee_id").collect()
     assert (a["employee_id"], a["company_size"], a["work_mode"], a["physical_activity_days"]) == ("1", "Large", "Remote", 2.5)
@@ -83,7 +103,7 @@ def test_header_rules(spark):
     assert headers.resolve_aliases(out).columns == ["work_hours", "emp_id", "employee_id"]
     with pytest.raises(ValueError, match="collide"):
         headers.normalize_headers(spark.createDataFrame([(1, 2)], "`A b` int, `a_b` int"))
-    with pytest.raises(ValueError, match="Missing required fields: deadlines_missed, experience_years"):
+    with pytest.raises(ValueError, match="lacks these columns: deadlines_missed, experience_years"):
         headers.require_fields(out)
     assert headers.alias_of(["sex", "gender"], "gender") == "gender" and headers.alias_of(["x"], "city") is None
 

@@ -35,7 +35,7 @@ def grown(spark, folder, copies):
         "row_id": F.concat("employee_id", F.lit("-"), F.col("copy").cast("string")),
         "employee_id": F.when(hot, "the same").otherwise(F.concat("employee_id", F.lit("-"), F.col("copy").cast("string"))),
         "job_role": F.when(hot, "software engineer").otherwise(F.col("job_role")),
-        "burnout_score": F.when(hot, 5.0).otherwise(F.col("burnout_score")),
+        "strain_score": F.when(hot, 5.0).otherwise(F.col("strain_score")),
         "sleep_hours": F.col("sleep_hours") + F.rand(7) * 1e-3,  # nearly all values distinct
     })
 
@@ -53,10 +53,10 @@ def main():
     for copies in map(int, a.copies.split(",")):
         table = spark.read.parquet(write_scratch(grown(spark, a.folder, copies)))
         defaults, scorer = fit_defaults(table), scoring.linear_scorer(table)
-        features = align(table, defaults, keep=["row_id", "employee_id", "burnout_score"])
+        features = align(table, defaults, keep=["row_id", "employee_id", "strain_score"])
         scored = scorer(features)
-        judged = scored.where("burnout_score is not null").select(
-            (F.col("burnout_score") >= 4.5).cast("int").alias("label"), "probability")
+        judged = scored.where("strain_score is not null").select(
+            (F.col("strain_score") >= 4.5).cast("int").alias("label"), "probability")
         runs = {
             "role_medians": lambda: drain(exact_medians(table, TRACKED, by="job_role")),
             "preprocess": lambda: drain(indices.with_indices(clean.preprocess(table))),
@@ -66,7 +66,7 @@ def main():
             "policy_whatif": lambda: drain(policy.policy_whatif(features, scorer)),
             "classification": lambda: drain(evaluate.classification_metrics(judged)),
             "permutation": lambda: drain(attribution.permutation_importance(
-                features, scorer, [c for c, _, _ in STRAIN_WEIGHTS], "burnout_score", id_col="row_id")),
+                features, scorer, [c for c, _, _ in STRAIN_WEIGHTS], "strain_score", id_col="row_id")),
         }
         times = {}
         for name, run in runs.items():
