@@ -730,7 +730,7 @@ def _prepared(spark, d):
     """Fitted preparation, and the vectors of all labelled rows, written once."""
     def fit():
         rows = sampling.with_split(validate.labeled(master(spark, d)))
-        numeric, categorical = validate.by_type(rows, validate.model_columns(rows.columns, pipeline=True))
+        numeric, categorical = validate.by_type(rows, validate.model_columns(master(spark, d).columns, pipeline=True))
         prepare = models.fit_preprocessor(rows.where("split = 'train'"), numeric, categorical)
         kept = prepare.transform(rows).select("source_dataset", "employee_id", "strain_score", "split", "features")
         return prepare, write_scratch(kept)
@@ -772,8 +772,9 @@ def preprocess_vector_stats(spark, d):
     _, rows = _prepared(spark, d)
     names = models.feature_names(rows)
     cells = F.posexplode(vector_to_array("features")).alias("slot", "value")
-    stats = rows.where("split = 'train'").select(cells).groupBy("slot").agg(
-        F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"))
+    # train rows are centred by construction; the test rows show that the fitted values were used
+    stats = rows.select("split", cells).groupBy("split", "slot").agg(
+        (F.round(F.avg("value"), 4) + 0.0).alias("mean"), F.round(F.stddev_pop("value"), 4).alias("std"))
     return stats.withColumn("feature", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("slot") + 1))
 
 

@@ -259,6 +259,23 @@ def _permutation() -> str:
             + " UNION ALL ".join(f"SELECT {lit(c)} AS feature, round(({rmse(c)}) - ({rmse(None)}), 4) AS rmse_rise" for c in names))
 
 
+def _vectors() -> str:
+    """Fill, centre and scale from the train rows; shares of the categories; per split and slot."""
+    numeric = [c for c in MODEL_NUMERIC if c != "stress_level"]
+    parts = []
+    for i, c in enumerate(numeric):
+        fill = f"(SELECT median({c}) FROM lab WHERE split = 'train')"
+        parts.append(f"SELECT split, CAST({i} AS INTEGER) AS slot, round(avg((v - mu) / sd), 4) + 0.0 AS mean, round(stddev_pop((v - mu) / sd), 4) AS std, "
+                     f"'n_{c}' AS feature FROM (SELECT split, v, avg(v) FILTER (WHERE split = 'train') OVER () AS mu, "
+                     f"stddev_pop(v) FILTER (WHERE split = 'train') OVER () AS sd FROM (SELECT split, coalesce({c}, {fill}) AS v FROM lab)) GROUP BY split")
+    values = " UNION ".join(f"SELECT {k} AS k, {lit(c)} AS c, {c} AS v FROM lab WHERE split = 'train'" for k, c in enumerate(MODEL_CATEGORICAL))
+    holds = "CASE k " + " ".join(f"WHEN {k} THEN CAST({c} = v AS DOUBLE)" for k, c in enumerate(MODEL_CATEGORICAL)) + " END"
+    parts.append(f"SELECT split, CAST(slot AS INTEGER) AS slot, round(avg({holds}), 4) + 0.0 AS mean, round(stddev_pop({holds}), 4) AS std, "
+                 "'c_' || c || '_' || v AS feature FROM lab CROSS JOIN places GROUP BY split, slot, c, v")
+    return (f", lab AS (SELECT *, CASE WHEN {hash_key('employee_id')} < {int(0.2 * SPAN)} THEN 'test' ELSE 'train' END AS split FROM master WHERE strain_score IS NOT NULL), "
+            f"places AS (SELECT k, c, v, {len(numeric) - 1} + row_number() OVER (ORDER BY k, v) AS slot FROM ({values})) " + " UNION ALL ".join(parts))
+
+
 def _report_lines() -> str:
     p = lambda a, b: f"coalesce({a} / nullif({a} + {b}, 0), 0.0)"
     f = lambda t, a, b: f"coalesce(2 * {t} / nullif(2 * {t} + {a} + {b}, 0), 0.0)"
@@ -442,6 +459,7 @@ def oracle_sql() -> dict:
         "numeric_statistics": " UNION ALL ".join(
             f"SELECT {lit(c)} AS feature, round(any_value(m), 4) AS fill, round(avg(coalesce({c}, m)), 4) AS mean, round(stddev_pop(coalesce({c}, m)), 4) AS std "
             f"FROM canonical CROSS JOIN (SELECT median({c}) AS m FROM canonical)" for c in MODEL_NUMERIC),
+        "preprocess_vector_stats": _vectors(),
         # scenarios, what-if, report
         "scenario_scores": f"SELECT profile, round(s, 2) AS strain_score, round(s / 10.0 * 100, 1) AS elevated_risk_probability, {band('s')} AS risk_band, 4.5::DOUBLE AS threshold FROM "
             f"(SELECT profile, {clipped('s0')} AS s FROM (SELECT profile, ({strain()} - low) / (high - low) * 10.0 AS s0 FROM scenario_rows CROSS JOIN ends))",
