@@ -90,18 +90,21 @@ def analyse_roster(upload: DataFrame, defaults: dict, scorer: scoring.Scorer, th
                    cleaned: bool = False) -> dict:
     """Everything an organisation asks of a roster, as named DataFrames.
 
-    The roster is scored once and written; every report reads the scored table.
+    The roster is parsed, filled and scored once and written; every report reads that table.
     ``cleaned`` applies the category cleaning first; otherwise names stay as given.
     """
     df = headers.resolve_aliases(headers.require_fields(headers.normalize_headers(upload)))
     if cleaned:
         df = clean.clean_categories(df)
-    scored = materialize(bd.with_state(
-        scoring.score_roster(df, defaults, scorer, threshold),
-        state="state" if "state" in df.columns else None, city="city" if "city" in df.columns else None))
+    # the upload as given, its filled features and its scores, side by side: read once
+    boxed = df.withColumn("given", F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    whole = materialize(scoring.score_features(align(boxed, defaults, keep=["given"]), scorer, threshold))
+    scored = bd.with_state(
+        whole.select("given.*", "score", "probability", "band"),
+        state="state" if "state" in df.columns else None, city="city" if "city" in df.columns else None)
     # the drivers and the what-if look at filled features
-    filled = align(df, defaults)
-    drivers = policy.role_drivers(scoring.score_features(filled, scorer, threshold))
+    filled = whole.drop("given", "score", "probability", "band")
+    drivers = policy.role_drivers(whole.drop("given"))
     roles = bd.breakdown(scored, "job_role", threshold=threshold)
     out = {
         "coverage": headers.coverage(df),
