@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import nan_to_null
 from ..functions.text import recode
-from ..plans.bounds import small_side
+from ..plans.bounds import materialize, small_side
 from ..schema import CANONICAL, CANONICAL_TYPE, SOURCE_LABELS, SURVEY_TARGET, TARGET
 from .headers import neutral_headers
 
@@ -30,15 +30,17 @@ def _canonical(df: DataFrame, source: str, known: dict) -> DataFrame:
 def row_numbers(df: DataFrame, name: str = "row_no") -> DataFrame:
     """0-based consecutive row numbers of a file scan, without moving rows.
 
-    Rows are counted per scan task, and each task's offset is added to the local
-    position. Numbers follow the file when there is one file.
+    The scan is stored once with its local positions, so that counting and numbering
+    see the same split. Rows are counted per scan task, and each task's offset is added
+    to the local position. Numbers follow the file when there is one file.
     """
-    local = df.withColumn("_id", F.monotonically_increasing_id())
+    tasks = df.rdd.getNumPartitions()
+    local = materialize(df.withColumn("_id", F.monotonically_increasing_id()))
     task, position = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     counted = local.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counted.select("_task", F.expr("sum(_n) over (order by _task) - _n").alias("_from"))
     # one row per scan task
-    joined = local.withColumn("_task", task).join(small_side(offsets, df.rdd.getNumPartitions()), "_task")
+    joined = local.withColumn("_task", task).join(small_side(offsets, tasks), "_task")
     return joined.withColumn(name, F.col("_from") + position).drop("_id", "_task", "_from")
 
 
