@@ -80,17 +80,19 @@ def _forest(batches):
         yield records(rows[i:i + 50_000], PAIR)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, edges_per_task: int = 200_000) -> DataFrame:
     """``(id, component)`` for every node of the long pairs ``(a, b)``; component is the smallest node.
 
-    Edges are first reduced inside each partition, then by alternating large and small
-    stars: every node is linked to the smallest neighbour until all hang on one. Each
-    round is two joins on edges, written to the shared folder; only counts reach the driver.
-    Nodes without a partner are absent. An empty input gives an empty result.
+    Edges are first reduced to forests by tasks of about ``edges_per_task`` edges. Where
+    forests of several tasks meet, alternating large and small stars link every node to
+    its smallest neighbour until all hang on one. Each round is two joins on edges,
+    written to the shared folder; only counts reach the driver. Nodes without a partner
+    are absent. An empty input gives an empty result.
     """
-    now = stored(edges.select("a", "b").where("a <> b").mapInArrow(_forest, "a long, b long"))
-    state = None
-    while True:
+    edges = stored(edges.select("a", "b").where("a <> b"))
+    tasks = edges.count() // edges_per_task + 1
+    now = stored(edges.coalesce(tasks).mapInArrow(_forest, "a long, b long"))
+    while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -98,8 +100,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stored(moved.union(low.select("a", F.col("m").alias("b"))).distinct())
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(seen) == state:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
-                now.select("b", "b").distinct())
-        state = tuple(seen)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none itself."""
+    return (pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+            and pairs.groupBy("a").count().where("count > 1").isEmpty())
