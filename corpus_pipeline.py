@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strainwise.llm import exact_dedup, ngram_join, packing, pii, toxicity
 from strainwise.llm.common import arrow_limits, stored, table
+from strainwise.plans.bounds import outlive, scratch_scope
 
 # More dropped rows than this are removed by a shuffled join instead of a broadcast one.
 MOST_BROADCAST = 500_000
@@ -20,7 +21,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    dropped = stored(dropped)
+    """``docs`` without the rows whose numbers are in the stored ``dropped``."""
     side = F.broadcast(dropped) if dropped.count() <= MOST_BROADCAST else dropped
     return docs.join(side, ROW, "left_anti").drop(ROW)
 
@@ -34,21 +35,25 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of equal texts the row with the smallest id stays."""
     arrow_limits(spark)
     rows = _numbered(docs)
-    found = exact_dedup.exact_dedup(rows, key_col=ROW)
-    return _without(rows, found.where("not kept").select(F.col("key").alias(ROW)))
+    with scratch_scope(spark):  # the spill goes as soon as the decisions are stored
+        found = exact_dedup.exact_dedup(rows, key_col=ROW)
+        dropped = outlive(found.where("not kept").select(F.col("key").alias(ROW)))
+    return _without(rows, dropped)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the row with the smallest id stays (null ids last)."""
     arrow_limits(spark)
     rows = _numbered(docs)
-    found = stored(ngram_join.ngram_classes(rows, id_col=ROW).select(ROW, "component_id"))
-    # most documents are alone in their class: only the others are ranked
-    shared = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    crowded = found.join(shared, "component_id").join(rows.select(ROW, "doc_id"), ROW)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
-    first = crowded.groupBy("component_id").agg(F.min_by(ROW, order).alias("first"))
-    return _without(rows, crowded.join(first, "component_id").where(F.col(ROW) != F.col("first")).select(ROW))
+    with scratch_scope(spark):
+        found = stored(ngram_join.ngram_classes(rows, id_col=ROW).select(ROW, "component_id"))
+        # most documents are alone in their class: only the others are ranked
+        shared = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+        crowded = stored(found.join(shared, "component_id").join(rows.select(ROW, "doc_id"), ROW))
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+        first = crowded.groupBy("component_id").agg(F.min_by(ROW, order).alias("first"))
+        dropped = outlive(crowded.join(first, "component_id").where(F.col(ROW) != F.col("first")).select(ROW))
+    return _without(rows, dropped)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,7 +40,36 @@ def scratch_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="strainwise-")
-    return f"{root.rstrip('/')}/strainwise-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/strainwise-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch folders made inside are deleted at the end; :func:`outlive` stores what is to stay."""
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(own)
+        for path in own:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def outlive(df: DataFrame) -> DataFrame:
+    """Store ``df`` so that it stays when the innermost scratch scope ends."""
+    own = _SCOPES.pop()
+    try:
+        return materialize(df)
+    finally:
+        _SCOPES.append(own)
 
 
 def materialize(df: DataFrame) -> DataFrame:
