@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import components, only, records, slices, stored
 from .shingles import batch_sets
 
+MOST_BROADCAST = 500_000
 WINDOW = 2_000_000  # shingles that a task gathers before it hands them on
 COUNTS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 MEMBER = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("grp", pa.int64())])
@@ -235,15 +236,14 @@ def _verify(words: int, percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, words: int, percent: int,
-             most_broadcast: int = 500_000) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of vertices whose whole sets are similar enough; stored."""
     pairs = stored(pairs)
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct().join(
         vertices.select("v", "id"), "v")
     wanted = stored(wanted)
-    # fewer than most_broadcast pairs of numbers are sent out, more are joined by shuffle
-    side = F.broadcast(wanted) if wanted.count() <= most_broadcast else wanted
+    # at most MOST_BROADCAST pairs of numbers are sent out, more are joined by shuffle
+    side = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     texts = stored(docs.join(side, "id").select("v", "text").mapInArrow(_texts(words), "v long, text string")
                    .dropDuplicates(["v"]))
     a, b = texts.toDF("a", "ta"), texts.toDF("b", "tb")
@@ -251,7 +251,7 @@ def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, words: int,
         _verify(words, percent), "a long, b long"))
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, percent: int, extra=()) -> DataFrame:
     """Group pairs ``(g, h)`` that size and position allow, from one row per shared shingle.
 
     Behind the last shared prefix shingle at most the rest of the smaller set can be
@@ -259,7 +259,7 @@ def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
     """
     need = F.ceil(F.expr(f"{percent} * (gn + hn) / {100 + percent}"))
     reach = F.col("c") + F.least(F.col("gn") - F.col("gp") - 1, F.col("hn") - F.col("hp") - 1)
-    return pairs.groupBy("g", "h", "gn", "hn").agg(
+    return pairs.groupBy("g", "h", "gn", "hn", *extra).agg(
         F.count(F.lit(1)).alias("c"), F.max("gp").alias("gp"), F.max("hp").alias("hp")).where(reach >= need)
 
 
@@ -269,6 +269,46 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, extra) -> DataFrame:
     return left.join(right, "key").where(sizes & extra)
 
 
+def _crowds(docs, runs, groups, vertices, links, known, words: int, percent: int, crowd: int = 24,
+            rounds: int = 5, draws: int = 3):
+    """Grow the components where many groups share a shingle, by pivots from the largest ones.
+
+    In each round a shingle names ``draws`` pivots: groups of the largest component that
+    has it, drawn by a hash that all shingles share. Groups of other components are compared
+    with their likeliest pivots. Whatever this leaves is compared in full later, so
+    it saves comparisons and decides nothing.
+    """
+    crowded = runs.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= crowd).select("key")
+    big = stored(runs.join(crowded, "key").select("key", "grp", "n", "pos"))
+    if big.isEmpty():
+        return links, known
+    reps = stored(big.select("grp").distinct().join(groups.select("grp", "rep"), "grp"))
+    ids = stored(reps.join(vertices.select(F.col("v").alias("rep"), "id"), "rep").select("id").distinct())
+    near = stored(docs.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, "id"))
+    for round_ in range(rounds):
+        own = reps.join(known.toDF("rep", "component"), "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep"))
+        sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        held = stored(big.join(own.join(sizes, "component"), "grp"))
+        told = F.struct(F.col("grp").alias("h"), F.col("n").alias("hn"), F.col("pos").alias("hp"),
+                        F.col("component").alias("hc"), F.col("rep").alias("b"))
+        drawn = held.groupBy("key").agg(F.array(*[
+            F.max_by(told, F.struct("size", F.xxhash64("grp", F.lit(round_ * draws + k)))) for k in range(draws)]).alias("p"))
+        pivots = drawn.select("key", F.explode(F.array_distinct("p")).alias("p")).select("key", "p.*")
+        pairs = held.join(pivots, "key").where("component <> hc").select(
+            F.col("grp").alias("g"), F.col("n").alias("gn"), F.col("pos").alias("gp"), F.col("rep").alias("a"),
+            "h", "hn", "hp", "b")
+        likely = _bounded(pairs, percent, ("a", "b")).groupBy("g").agg(F.array(*[
+            F.max_by(F.struct("a", "b"), F.struct("c", F.xxhash64("h", F.lit(k)))) for k in range(2)]).alias("best"))
+        tried = likely.select(F.explode(F.array_distinct("best")).alias("x")).select("x.a", "x.b").distinct()
+        found = verified(near, tried, vertices, words, percent)
+        if found.isEmpty():
+            break
+        links = stored(links.union(found))
+        known = stored(components(links))
+    return links, known
+
+
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                   percent: int = 80) -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``.
@@ -280,10 +320,10 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     take part and get the component of their text (null if it has no other id). Repeated
     rows give repeated results; other columns are ignored; an empty table gives no rows.
 
-    Links are found in two rounds. First each vertex is compared with one pivot, which
-    settles large groups of near copies with one comparison a member. Then all pairs
-    that are not in one component yet and pass the filters are compared, so no
-    component is missed.
+    Links are found in two steps. First vertices are compared with a few pivots each,
+    which settles most of a large group of near copies with a few comparisons a member.
+    Then all pairs that are not in one component yet and pass the filters are compared,
+    so no component is missed.
     """
     docs = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -306,6 +346,7 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     across = best.join(rep.toDF("g", "a"), "g").join(rep.toDF("h", "b"), "h").select("a", "b")
     links = verified(docs, inside.union(across), vertices, words, percent)
     known = stored(components(links))
+    links, known = _crowds(docs, runs, groups, vertices, links, known, words, percent)
 
     # round 2: what is not in one component yet
     placed = stored(vertices.join(known.toDF("v", "component"), "v", "left").select(
