@@ -13,7 +13,6 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numbers import clip
-from ..plans.bounds import materialize
 from ..plans.quantiles import exact_medians
 from ..schema import MODEL_CATEGORICAL, MODEL_NUMERIC, SEED, SEGMENTS, TARGET
 from .evaluate import regression_metrics_by
@@ -221,8 +220,7 @@ def fit_risk(train: DataFrame, label: str, id_col: str = "employee_id", folds: i
              depth: int = 6, calibrate: bool = True, weighted: bool = True):
     """Class-weighted boosted classifier; with ``calibrate``, sigmoid-calibrated over folds.
 
-    ``train`` holds prepared ``features`` and a 0/1 ``label``. Folds hold equal shares of
-    both labels; the classifiers of the folds are fitted at the same time.
+    ``train`` holds prepared ``features`` and a 0/1 ``label``. Folds are by id hash.
     """
     n = train.agg(F.sum(label).alias("pos"), F.count(label).alias("n")).first()
     ratio = (n["n"] - n["pos"]) / max(n["pos"], 1) if weighted else 1.0
@@ -231,15 +229,14 @@ def fit_risk(train: DataFrame, label: str, id_col: str = "employee_id", folds: i
                          subsamplingRate=0.85, featureSubsetStrategy="0.9", seed=SEED)
     if not calibrate:
         return base.fit(rows)
-    folded = materialize(with_fold(rows, id_col, folds, stratify=label))
+    folded = with_fold(rows, id_col, folds)
 
     def member(i):
         margin = base.fit(folded.where(F.col("fold") != i))
         held_out = _with_margin(margin, folded.where(F.col("fold") == i))
         return margin, _sigmoid(held_out.select("_margin", label), label)
 
-    with ThreadPoolExecutor(folds) as pool:
-        return CalibratedRisk(list(pool.map(member, range(folds))))
+    return CalibratedRisk([member(i) for i in range(folds)])
 
 
 def model_scorer(prepare: PipelineModel, regressor, risk: CalibratedRisk) -> Scorer:
