@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _octets(numbers: list[str]) -> bool:
+    return all(len(n.lstrip("0")) <= 3 and int(n.lstrip("0") or 0) <= 255 for n in numbers)
+
+
 def base_spans(text: str) -> tuple[list, list]:
     """Spans ``(kind, start, end)`` by kind, then start; and the matches that failed their check."""
     spans, failed, last, at = [], [], 0, text.find("@")
@@ -47,7 +52,7 @@ def base_spans(text: str) -> tuple[list, list]:
     for kind, pattern in ((1, IP), (2, CARD), (3, PHONE)):
         for m in pattern.finditer(text):
             if kind == 1:
-                good = all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
+                good = _octets(m[0].split("."))
             elif kind == 2:
                 digits = _digits(m[0])
                 good = 16 <= len(digits) <= 19 and luhn(digits)
@@ -294,15 +299,35 @@ def train(docs: DataFrame, max_docs: int = 1500, max_chars: int = 4_000_000, hid
 BRACKET_AT = r"[(\[{]\s?at\s?[)\]}]"
 EVIDENCE = re.compile(rf"@|\bdot\b|{BRACKET_AT}")
 LEAST_DIGITS = (0, 4, 15, 8)
+NUMBERS = re.compile(r"[0-9]+")
 
 
 def _plausible(kind: int, text: str) -> bool:
-    """A found span must hold what its kind cannot do without."""
+    """A found span must hold what its kind cannot do without, and pass the check that its base pattern has to pass."""
     if kind == 0:
         return len(text) >= 8 and ("@" in text or re.search(BRACKET_AT, text) is not None or (
             re.search(r"\bat\b", text) is not None and re.search(r"\bdot\b", text) is not None))
-    digits = len(_digits(text))
-    return digits >= LEAST_DIGITS[kind] and digits * 3 >= len(text)
+    if kind == 1:
+        # four numbers, whatever stands for the dots
+        numbers = NUMBERS.findall(text)
+        marks = NUMBERS.split(text)[1:-1]
+        return len(numbers) == 4 and _octets(numbers) and all(len(mark) <= 8 for mark in marks)
+    digits = _digits(text)
+    if not (LEAST_DIGITS[kind] <= len(digits) <= (19 if kind == 2 else 15) and len(digits) * 3 >= len(text)):
+        return False
+    return kind != 2 or luhn(digits)
+
+
+def _whole(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
+    """The span without blanks at its ends, and with the rest of a number that it cuts."""
+    inner = text[a:b]
+    a, b = a + len(inner) - len(inner.lstrip()), b - len(inner) + len(inner.rstrip())
+    if kind and a < b:
+        while a > 0 and "0" <= text[a] <= "9" and "0" <= text[a - 1] <= "9":
+            a -= 1
+        while b < len(text) and "0" <= text[b - 1] <= "9" and "0" <= text[b] <= "9":
+            b += 1
+    return a, b
 
 
 def _promising(text: str, codes: np.ndarray, starts: list[int], width: int) -> list[bool]:
@@ -352,20 +377,35 @@ def tag_texts(tagger: Tagger, texts: list[str], width: int = 512, overlap: int =
     return tags
 
 
+def _ruled_out(a: int, b: int, failed: list) -> bool:
+    """Whether one of the failed matches (in order, apart) covers about the same characters as the span."""
+    at = bisect_right(failed, a, key=lambda m: m[1])
+    while at < len(failed) and failed[at][0] < b:
+        x, y = failed[at]
+        if 4 * (min(b, y) - max(a, x)) >= 3 * max(b - a, y - x):
+            return True
+        at += 1
+    return False
+
+
 def all_spans(text: str, tags: np.ndarray) -> tuple[list, list]:
-    """Base spans, and all spans: found ones join unless they touch a base match, passed or failed."""
+    """Base spans, and all spans: found ones join unless they touch a base span or failed as one of their kind."""
     base, failed = base_spans(text)
     if not tags.any():
         return base, base
-    blocked = sorted((a, b) for _, a, b in base + failed)
+    taken = np.zeros(len(text), bool)
+    for _, a, b in base:
+        taken[a:b] = True
+    wrong = [[(a, b) for k, a, b in failed if k == kind] for kind in range(len(KINDS))]
     edges = np.flatnonzero(np.diff(tags, prepend=0, append=0))
     found = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if tags[a] and not any(x < b and a < y for x, y in blocked):
-            inner = text[a:b]
-            a, b = a + len(inner) - len(inner.lstrip()), b - len(inner) + len(inner.rstrip())
-            if a < b and _plausible(int(tags[a]) - 1, text[a:b]):
-                found.append((int(tags[a]) - 1, a, b))
+        if tags[a]:
+            kind = int(tags[a]) - 1
+            a, b = _whole(text, kind, a, b)
+            if a < b and not taken[a:b].any() and _plausible(kind, text[a:b]) and not _ruled_out(a, b, wrong[kind]):
+                taken[a:b] = True
+                found.append((kind, a, b))
     return base, sorted(base + found)
 
 

@@ -110,6 +110,40 @@ def test_found_spans_join_the_base_ones_and_clean_text_has_none(trained):
     assert pii.all_spans(clean, pii.tag_texts(tagger, [clean])[0]) == ([], [])
 
 
+HELD = {0: ["anna92 (at) mail.com", "tess.44 at inn dot org"],
+        1: ["192 dot 168 dot 1 dot 10", "1 . 2 . 3 . 4", "1[.]2[.]3[.]4"],
+        2: ["4111.1111.1111.1111", "4111 / 1111 / 1111 / 1111", "4111_1111_1111_1111"], 3: ["tel 555/010/9999", "00555_010_9999"]}
+
+
+def by_hand(kind, inner, cut=0):
+    text = f"rain on {inner} stone"
+    tags = np.zeros(len(text), np.int8)
+    tags[8 + cut:8 + len(inner) - cut] = kind + 1
+    return pii.all_spans(text, tags)[1]
+
+
+@pytest.mark.parametrize("kind, inner", [(k, x) for k, xs in HELD.items() for x in xs])
+def test_a_found_span_stands_beside_shorter_failed_matches(kind, inner):
+    assert by_hand(kind, inner) == [(kind, 8, 8 + len(inner))]
+
+
+def test_a_found_span_that_fails_as_its_kind_is_dropped():
+    for kind, inner in ((2, "4111111111111112"), (2, "4111.1111.1111.1112"), (1, "999.1.1.1"), (1, "999 dot 1 dot 1 dot 1"),
+                        (1, "1 . 2 . 3"), (3, "tel 555/01"), (3, "555/010/9999/5550/1099"), (2, "1234.5678")):
+        assert by_hand(kind, inner) == [], inner
+    assert by_hand(2, "4111.1111.1111.1111", cut=1) == [(2, 8, 27)]  # a number is never masked in part
+    assert by_hand(3, "4111 1111-1111 1111") == [(2, 8, 27)]  # base spans come first
+
+
+def test_each_kind_is_added_in_held_out_texts(trained):
+    rng = np.random.default_rng(9)
+    plain = {0: "torin.sea57@stonert.com", 1: "31.12.45.7", 2: CARD, 3: "+1 (555) 713-4821"}
+    for kind, span in plain.items():
+        texts = [f"stone in the rain at sea {pii._respell(kind, span, rng)} tins on rent in stores" for _ in range(20)]
+        spans = [pii.all_spans(t, g)[1] for t, g in zip(texts, pii.tag_texts(trained[0], texts))]
+        assert sum(any(k == kind for k, _, _ in s) for s in spans) >= 10, pii.KINDS[kind]
+
+
 def test_skipped_windows_change_nothing(trained, monkeypatch):
     tagger, _, texts = trained
     long = [" ".join(texts[i:i + 9]).replace("@", " (at) ") + " stone" * 200 for i in range(0, 90, 9)]
