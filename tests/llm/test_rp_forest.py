@@ -35,6 +35,14 @@ def clustered(n, seed=0, size=16):
     return rows
 
 
+def grouped(n, size=64, noise=0.2, seed=4):
+    """Vectors of one label, a third of them round one centre; noise 0.2 makes cosines of about 0.96."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, size))
+    x[:n // 3] = x[0] + noise * rng.normal(size=(n // 3, size))
+    return np.float32(x)
+
+
 def told(df):
     return {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in df.collect()}
 
@@ -54,6 +62,17 @@ def test_forest_finds_links_and_counts_each_once(spark):
     assert sum(g[0] for g in got.values()) >= 0.9 * sum(w[0] for w in want.values())
 
 
+def test_a_dense_group_keeps_its_links(spark):
+    for noise in (0.2, 0.27):  # nearly all of the group's pairs link, and about half of them
+        x = grouped(4500, noise=noise)
+        got = told(rp.near_vectors(frame(spark, [(i, [float(v) for v in y], 1) for i, y in enumerate(x)]), leaf_rows=30))
+        x = x.astype(np.float64)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        want = (x @ x.T >= 0.93).sum(axis=1) - 1
+        assert all(got[i][0] <= want[i] for i in got)
+        assert sum(g[0] for g in got.values()) >= 0.97 * want.sum()
+
+
 def test_copies_are_one_vertex(spark):
     rows = [(i, [1.0, 0.5, 0.25], 1) for i in range(200)] + [(500, [1.0, 0.5, 0.26], 1), (501, [-1.0, 0.0, 0.0], 1)]
     assert told(rp.near_vectors(frame(spark, rows))) == brute(rows)
