@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     arrow_limits(spark)
     rows = _numbered(docs)
     with scratch_scope(spark):
-        found = stored(ngram_join.ngram_classes(rows, id_col=ROW).select(ROW, "component_id"))
+        found = stored(ngram_join.ngram_classes(rows, id_col=ROW, unique_ids=True).select(ROW, "component_id"))
         # most documents are alone in their class: only the others are ranked
         shared = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
         crowded = stored(found.join(shared, "component_id").join(rows.select(ROW, "doc_id"), ROW))

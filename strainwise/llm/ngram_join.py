@@ -21,7 +21,7 @@ from .shingles import batch_sets
 MOST_BROADCAST = 500_000
 WINDOW = 2_000_000  # shingles that a task gathers before it hands them on
 COUNTS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-MEMBER = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("grp", pa.int64())])
+MEMBER = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("grp", pa.int64())])
 POST = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary()),
                   ("places", pa.binary())])
 RUN = pa.schema([("key", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("pivot", pa.int64())])
@@ -126,9 +126,10 @@ def _members(often, bits: int, words: int, percent: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for id_, own in zip(part.column("id").to_pylist(), batch_sets(part, "text", words)):
+                for id_, doc, own in zip(part.column("id").to_pylist(), part.column("doc").to_pylist(),
+                                         batch_sets(part, "text", words)):
                     prefix = _ordered_prefix(own, keys, bits, percent)
-                    rows.append((id_, len(own), _digest64(own.tobytes()), _digest64(len(own).to_bytes(8, "little") + prefix.tobytes())))
+                    rows.append((id_, doc, len(own), _digest64(own.tobytes()), _digest64(len(own).to_bytes(8, "little") + prefix.tobytes())))
                 yield records(rows, MEMBER)
 
     return run
@@ -310,7 +311,7 @@ def _crowds(docs, runs, groups, vertices, links, known, words: int, percent: int
 
 
 def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                  percent: int = 80) -> DataFrame:
+                  percent: int = 80, unique_ids: bool = False) -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id``.
 
     Sets are the distinct shingles of ``words`` words (A-Z lowered, words cut at ASCII
@@ -319,18 +320,23 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``component_id`` is the smallest id reachable. Equal sets are one vertex. Null ids
     take part and get the component of their text (null if it has no other id). Repeated
     rows give repeated results; other columns are ignored; an empty table gives no rows.
+    Texts are fetched by a row number on a stored copy of the two columns; ``unique_ids``
+    states that the ids are unique and not null, and uses them instead.
 
     Links are found in two steps. First vertices are compared with a few pivots each,
     which settles most of a large group of near copies with a few comparisons a member.
     Then all pairs that are not in one component yet and pass the filters are compared,
     so no component is missed.
     """
-    docs = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
+    docs = only(docs, doc=id_col, text=text_col).withColumn("doc", F.col("doc").cast("long"))
+    docs = docs.withColumn("id", F.col("doc")) if unique_ids else stored(
+        docs.withColumn("id", F.monotonically_increasing_id()))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(31, max(4, math.ceil(math.log2(size / 5e6 + 1))))
     often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, bits, words))
-    members = stored(docs.mapInArrow(_members(often, bits, words, percent), "id long, n long, v long, grp long"))
-    vertices = stored(members.where("n > 0").groupBy("v", "grp", "n").agg(F.min("id").alias("id")))
+    members = stored(docs.mapInArrow(_members(often, bits, words, percent), "id long, doc long, n long, v long, grp long"))
+    vertices = stored(members.where("n > 0").groupBy("v", "grp", "n").agg(
+        F.min("id").alias("id"), F.min("doc").alias("doc")))
     posted = docs.mapInArrow(_postings(often, bits, words, percent), (
         "bucket long, keys binary, groups binary, sizes binary, places binary"))
     runs = stored(posted.groupBy("bucket").applyInArrow(_runs, "key long, grp long, n long, pos long, pivot long"))
@@ -366,12 +372,12 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = verified(docs, expanded.union(within), vertices, words, percent)
     final = components(links.union(later)) if not later.isEmpty() else known
 
-    named = vertices.select("v", "id").join(final.toDF("v", "component"), "v", "left").select(
-        "v", "id", F.coalesce("component", "v").alias("component"))
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = vertices.select("v", "doc").join(final.toDF("v", "component"), "v", "left").select(
+        "v", "doc", F.coalesce("component", "v").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = named.join(smallest, "component").select("v", "component_id")
     # a set held by very many documents is one row of the label side
     out = members.join(labels, "v", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
     return out

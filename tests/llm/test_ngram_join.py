@@ -66,6 +66,22 @@ def test_repeated_and_null_ids(docs):
     assert got == [(0, 1, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1), (1, 2, 1)]
 
 
+def test_a_near_copy_without_an_id_bridges_two_documents(docs):
+    one = [f"w{i}" for i in range(200)]
+    mid, two = [*one[:-20], *(f"x{i}" for i in range(20))], [*(f"y{i}" for i in range(20)), *one[20:-20], *(f"x{i}" for i in range(20))]
+    assert [len(a & b) / len(a | b) >= 0.8 for a, b in ((sets_of(one), sets_of(mid)), (sets_of(mid), sets_of(two)),
+                                                        (sets_of(one), sets_of(two)))] == [True, True, False]
+    # an id that is given to two texts must not fetch the other text
+    pairs = [(3, " ".join(one)), (None, " ".join(mid)), (7, " ".join(two)), (7, "q r s t u v"), (9, "z")]
+    out = nj.ngram_classes(docs(pairs)).collect()
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in out)
+    assert got == [(0, 196, 3), (3, 196, 3), (7, 2, 7), (7, 196, 3), (9, 1, 9)]
+
+
+def sets_of(ws):
+    return {tuple(ws[i:i + 5]) for i in range(len(ws) - 4)}
+
+
 def test_empty_table(docs):
     assert nj.ngram_classes(docs([])).collect() == []
 
