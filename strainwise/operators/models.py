@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numbers import clip
+from ..plans.bounds import materialize
 from ..plans.quantiles import exact_medians
 from ..schema import MODEL_CATEGORICAL, MODEL_NUMERIC, SEED, SEGMENTS, TARGET
 from .evaluate import regression_metrics_by
@@ -220,7 +221,8 @@ def fit_risk(train: DataFrame, label: str, id_col: str = "employee_id", folds: i
              depth: int = 6, calibrate: bool = True, weighted: bool = True):
     """Class-weighted boosted classifier; with ``calibrate``, sigmoid-calibrated over folds.
 
-    ``train`` holds prepared ``features`` and a 0/1 ``label``. Folds are by id hash.
+    ``train`` holds prepared ``features`` and a 0/1 ``label``. Every fold has
+    its share of positives: rows are stored once, and cut by id hash within each label.
     """
     n = train.agg(F.sum(label).alias("pos"), F.count(label).alias("n")).first()
     ratio = (n["n"] - n["pos"]) / max(n["pos"], 1) if weighted else 1.0
@@ -229,7 +231,7 @@ def fit_risk(train: DataFrame, label: str, id_col: str = "employee_id", folds: i
                          subsamplingRate=0.85, featureSubsetStrategy="0.9", seed=SEED)
     if not calibrate:
         return base.fit(rows)
-    folded = with_fold(rows, id_col, folds)
+    folded = with_fold(materialize(rows), id_col, folds, stratify=label)
 
     def member(i):
         margin = base.fit(folded.where(F.col("fold") != i))

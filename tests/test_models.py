@@ -145,3 +145,19 @@ def test_permutation_importance_finds_the_used_feature(spark):
     truth = scorer(df).withColumnRenamed("score", "y").drop("probability")
     top = attribution.permutation_importance(truth, scorer, names, "y", part_rows=100).first()
     assert top["feature"] == "stress_level" and top["rmse_rise"] > 1
+
+
+def test_risk_folds_share_rare_positives(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    from strainwise.operators import models as m
+
+    rows = [(i, Vectors.dense([float(i % 7), float(i % 25 == 0)]), int(i % 25 == 0)) for i in range(300)]
+    seen, fit = [], m._sigmoid
+
+    def counted(held_out, label):
+        seen.append(held_out.where(f"{label} = 1").count())
+        return fit(held_out, label)
+
+    monkeypatch.setattr(m, "_sigmoid", counted)
+    m.fit_risk(spark.createDataFrame(rows, ["employee_id", "features", "risk"]), "risk", rounds=1, depth=1)
+    assert seen == [4, 4, 4]
