@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, ngram_join, packing, pii, reshard, rp_forest, sentencepiece_viterbi, toxicity, warc
+from . import (chat, exact_dedup, fair_mix, ngram_join, packing, pii, reshard, rp_forest, sentencepiece_viterbi, toxicity,
+               warc)
 from .common import table
 
 
@@ -56,10 +57,14 @@ def op10_ngram_join(spark, d):
     return ngram_join.ngram_classes(table(spark, d, "documents"))
 
 
+def op13_fair_mix(spark, d):
+    return fair_mix.fair_mix(table(spark, d, "documents")).documents.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_warc, op5_toxicity, op6_reshard, op7_embedding_forest,
-        op8_best_fit, op9_pii, op10_ngram_join)}
+        op8_best_fit, op9_pii, op10_ngram_join, op13_fair_mix)}
 
 
 ORACLE = {
@@ -119,6 +124,26 @@ ORACLE = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
         FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id, n.n""",
+    "op13_fair_mix": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, md5(concat_ws(':', doc_id, text)) AS h,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+              FROM d GROUP BY source),
+        w AS (SELECT *, 2 * source_size AS most, [3, 1, 2][1 + rank % 3] AS weight FROM s),
+        f AS (SELECT *, CAST(most AS DOUBLE) / weight AS fills FROM w),
+        v AS (SELECT a.fills, (1.5 * (SELECT sum(source_size) FROM w)
+                     - coalesce((SELECT sum(b.most) FROM f b WHERE b.fills < a.fills), 0))::DOUBLE
+                     / (SELECT sum(b.weight) FROM f b WHERE b.fills >= a.fills) AS level FROM f a),
+        t AS (SELECT f.*, least(CAST(most AS DOUBLE), weight * (SELECT arg_min(level, fills) FROM v WHERE level <= fills)) AS target FROM f),
+        o AS (SELECT d.r, d.doc_id, d.size, t.rank, t.source_size, t.target,
+                     sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.h, d.r ROWS UNBOUNDED PRECEDING) - d.size AS before
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT *, unnest(range(0, size, 256)) AS start FROM (SELECT *, unnest([0, 1]) AS turn FROM o)),
+        q AS (SELECT r, rank, least(256, size - start) AS words, turn * source_size + before + least(size, start + 256) AS upto, target FROM p),
+        z AS (SELECT r, words, sum(words) OVER (ORDER BY CAST(upto AS DOUBLE) / target, rank, upto ROWS UNBOUNDED PRECEDING) AS total FROM q),
+        k AS (SELECT r, sum(words) AS taken FROM z WHERE total <= 1.5 * (SELECT sum(source_size) FROM w) GROUP BY r)
+        SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM o LEFT JOIN k USING (r)""",
 }
 
 
