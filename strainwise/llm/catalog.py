@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from . import (chat, exact_dedup, fair_mix, ngram_join, packing, pii, reshard, rp_forest, sentencepiece_viterbi, toxicity,
-               warc)
+               warc, whitening)
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_ngram_join(spark, d):
     return ngram_join.ngram_classes(table(spark, d, "documents"))
 
 
+def op11_whitening(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
 def op13_fair_mix(spark, d):
     return fair_mix.fair_mix(table(spark, d, "documents")).documents.withColumnRenamed("id", "doc_id")
 
@@ -64,7 +68,7 @@ def op13_fair_mix(spark, d):
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_warc, op5_toxicity, op6_reshard, op7_embedding_forest,
-        op8_best_fit, op9_pii, op10_ngram_join, op13_fair_mix)}
+        op8_best_fit, op9_pii, op10_ngram_join, op11_whitening, op13_fair_mix)}
 
 
 ORACLE = {
