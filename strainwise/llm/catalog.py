@@ -4,8 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import (chat, exact_dedup, fair_mix, ngram_join, packing, pii, reshard, rp_forest, sentencepiece_viterbi, toxicity,
-               warc, whitening)
+from . import (chat, exact_dedup, fair_mix, ngram_join, packing, pii, reshard, rp_forest, search, sentencepiece_viterbi,
+               toxicity, warc, whitening)
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op11_whitening(spark, d):
     return whitening.whiten(table(spark, d, "embeddings"))
 
 
+def op12_ranked_search(spark, d):
+    return search.ranked_search(search.build_index(table(spark, d, "documents")), table(spark, d, "benchmark"))
+
+
 def op13_fair_mix(spark, d):
     return fair_mix.fair_mix(table(spark, d, "documents")).documents.withColumnRenamed("id", "doc_id")
 
@@ -68,7 +72,7 @@ def op13_fair_mix(spark, d):
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_exact_dedup, op2_sentencepiece, op3_chat_format, op4_warc, op5_toxicity, op6_reshard, op7_embedding_forest,
-        op8_best_fit, op9_pii, op10_ngram_join, op11_whitening, op13_fair_mix)}
+        op8_best_fit, op9_pii, op10_ngram_join, op11_whitening, op12_ranked_search, op13_fair_mix)}
 
 
 ORACLE = {
@@ -128,6 +132,22 @@ ORACLE = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
         SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
         FROM w JOIN r ON r.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id, n.n""",
+    "op12_ranked_search": r"""
+        WITH t AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+        c AS (SELECT count(*) AS docs, CAST(sum(len(ws)) AS BIGINT) AS words FROM t WHERE len(ws) > 0),
+        m AS (SELECT doc_id, ws, 50 + (50 * len(ws) * docs) // words AS m FROM t, c WHERE len(ws) > 0),
+        p AS (SELECT doc_id, w, any_value(m) AS m, count(*) AS tf FROM (SELECT doc_id, m, unnest(ws) AS w FROM m) GROUP BY doc_id, w),
+        f AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+        g AS (SELECT w, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS weight FROM f, c),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+        s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+              FROM q JOIN p USING (w) JOIN g USING (w) GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+              FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
     "op13_fair_mix": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, source, md5(concat_ws(':', doc_id, text)) AS h,

@@ -27,15 +27,16 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text.
 
-    A-Z are lowered; words are runs of bytes other than the six ASCII blanks. A word's
-    hash is a difference of running sums, so no loop over words is needed.
+    A-Z are lowered; words are runs of bytes other than the ``blank`` ones, by default the
+    six ASCII blanks (a space must be one). A word's hash is a difference of running
+    sums, so no loop over words is needed.
     """
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     data = _LOWER[data]
-    inside = ~_BLANK[data]
+    inside = ~blank[data]
     edge = np.diff(inside, prepend=False)
     at = np.flatnonzero(edge)
     starts, ends = at[0::2], at[1::2]
