@@ -1,21 +1,22 @@
 """Model preparation, regressors, calibrated risk classifier and segmentation on MLlib."""
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.numbers import clip
 from ..plans.bounds import materialize
 from ..plans.quantiles import exact_medians
 from ..schema import MODEL_CATEGORICAL, MODEL_NUMERIC, SEED, SEGMENTS, TARGET
+from .boosting import BoostedTrees, Boosting
 from .evaluate import regression_metrics_by
 from .sampling import with_fold
 from .scoring import Scorer
@@ -118,21 +119,38 @@ def ridge(df: DataFrame, alpha: float = 5.0, label: str = TARGET) -> LinearRegre
 
 
 def regressors(df: DataFrame, label: str = TARGET, trees: int = 160, forest_depth: int = 16,
-               boost_rounds: int = 250, sampled_rounds: int = 500, boost_depth: int = 5,
-               sampled_depth: int = 7) -> dict:
-    """The four compared estimators; defaults are the full-size settings."""
+               boost_rounds: int = 250, boost_l2: float = 1.0, sampled_rounds: int = 500, sampled_depth: int = 7,
+               sampled_columns: float = 0.9, id_cols=()) -> dict:
+    """The four compared estimators; defaults are the full-size settings.
+
+    ``gradient_boosting`` grows trees of 31 leaves, best gain first; ``gradient_boosting_sampled``
+    is of second order, grows level by level and draws rows (by ``id_cols``) and columns per tree.
+    """
     return {
         "ridge": ridge(df, label=label),
         "random_forest": RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=forest_depth,
                                                minInstancesPerNode=3, seed=SEED),
-        "gradient_boosting": GBTRegressor(labelCol=label, maxIter=boost_rounds, stepSize=0.07,
-                                          maxDepth=boost_depth, seed=SEED),
-        "gradient_boosting_sampled": GBTRegressor(labelCol=label, maxIter=sampled_rounds, stepSize=0.05,
-                                                  maxDepth=sampled_depth, subsamplingRate=0.85,
-                                                  featureSubsetStrategy="0.9", seed=SEED),
+        "gradient_boosting": Boosting(rounds=boost_rounds, rate=0.07, leaves=31, l2=boost_l2, label=label),
+        "gradient_boosting_sampled": Boosting(rounds=sampled_rounds, rate=0.05, growth="level", depth=sampled_depth, l2=1.0,
+                                              min_rows=1, min_hessian=1.0, rows=0.85, columns=sampled_columns, label=label,
+                                              id_cols=tuple(id_cols)),
     }
 
 
+def predicted(model, df: DataFrame, output: str) -> DataFrame:
+    """Append a fitted regressor's prediction as ``output``."""
+    if isinstance(model, BoostedTrees):
+        return model.transform(df, output)
+    return model.copy({model.predictionCol: output}).transform(df)
+
+
+def save_regressor(model, path: str) -> None:
+    if isinstance(model, BoostedTrees):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
+
+
 def compare(train: DataFrame, test: DataFrame, estimators: dict, label: str = TARGET) -> tuple:
     """Fit each estimator on prepared rows; returns (metrics per model, fitted models).
 
@@ -147,7 +165,7 @@ def measure(test: DataFrame, fitted: dict, label: str = TARGET) -> DataFrame:
     """``model, mae, rmse, r2`` of fitted models, from one pass over the test rows."""
     scored = test.select("features", F.col(label).alias("y"))
     for name, model in fitted.items():
-        scored = model.copy({model.predictionCol: f"p_{name}"}).transform(scored)
+        scored = predicted(model, scored, f"p_{name}")
     long = scored.select("y", F.explode(F.array(*[
         F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p")) for n in fitted])).alias("m"))
     return regression_metrics_by(long.select("y", "m.*"), "model")
@@ -158,7 +176,12 @@ def best_model(comparison: DataFrame) -> DataFrame:
 
 
 def importances(model, names) -> list:
-    """(feature, importance) pairs, highest first; one entry per vector slot."""
+    """(feature, importance) pairs, highest first; one entry per vector slot.
+
+    Of a boosted model: shares of the mean gain of a feature's splits.
+    """
+    if isinstance(model, BoostedTrees):
+        return [(name, mean) for name, mean, _, _ in model.gains(names)]
     values = model.featureImportances.toArray()
     return sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda x: (-x[1], x[0]))
 
@@ -167,37 +190,30 @@ def importances(model, names) -> list:
 class CalibratedRisk:
     """Mean of sigmoid-calibrated classifiers, one per left-out fold."""
 
-    def __init__(self, members):
-        self.members = members  # (margin model, sigmoid model)
+    def __init__(self, model: BoostedTrees, sigmoids):
+        self.model, self.members = model, list(sigmoids)  # (slope, intercept) per model
 
     def transform(self, df: DataFrame, output: str = "probability") -> DataFrame:
         out, parts = df, []
-        for i, (margin, sigmoid) in enumerate(self.members):
-            kept = out.columns
+        for i, (slope, intercept) in enumerate(self.members):
             parts.append(f"_p{i}")
-            out = _with_margin(margin, out)
-            # The sigmoid is one coefficient and one intercept: plain column arithmetic.
-            z = F.lit(float(sigmoid.coefficients[0])) * F.col("_margin") + F.lit(float(sigmoid.intercept))
-            out = out.select(*kept, (1.0 / (1.0 + F.exp(-z))).alias(f"_p{i}"))
+            kept = out.columns
+            out = self.model.transform(out, "_margin", i)
+            out = out.select(*kept, (1.0 / (1.0 + F.exp(-(F.lit(slope) * F.col("_margin") + F.lit(intercept))))).alias(f"_p{i}"))
         mean = reduce(lambda a, b: a + b, [F.col(p) for p in parts]) / float(len(parts))
         return out.withColumn(output, mean).drop(*parts)
 
     def save(self, path: str) -> None:
-        for i, (margin, sigmoid) in enumerate(self.members):
-            margin.write().overwrite().save(f"{path}/margin_{i}")
-            sigmoid.write().overwrite().save(f"{path}/sigmoid_{i}")
+        spark = SparkSession.active()
+        self.model.save(spark, f"{path}/margin")
+        rows = [(i, slope, intercept) for i, (slope, intercept) in enumerate(self.members)]
+        spark.createDataFrame(rows, "model int, slope double, intercept double").coalesce(1).write.mode("overwrite").parquet(f"{path}/sigmoid")
 
     @classmethod
-    def load(cls, path: str, folds: int = 3) -> "CalibratedRisk":
-        from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
-
-        return cls([(GBTClassificationModel.load(f"{path}/margin_{i}"),
-                     LogisticRegressionModel.load(f"{path}/sigmoid_{i}")) for i in range(folds)])
-
-
-def _with_margin(model: Transformer, df: DataFrame) -> DataFrame:
-    out = model.transform(df)
-    return out.withColumn("_margin", vector_to_array(F.col(model.getRawPredictionCol()))[1])
+    def load(cls, path: str) -> "CalibratedRisk":
+        spark = SparkSession.active()
+        rows = sorted(spark.read.parquet(f"{path}/sigmoid").collect())  # one row per fold
+        return cls(BoostedTrees.load(spark, f"{path}/margin"), [(r["slope"], r["intercept"]) for r in rows])
 
 
 def _sigmoid(margins: DataFrame, label: str):
@@ -219,26 +235,23 @@ def _sigmoid(margins: DataFrame, label: str):
 
 def fit_risk(train: DataFrame, label: str, id_col: str = "employee_id", folds: int = 3, rounds: int = 350,
              depth: int = 6, calibrate: bool = True, weighted: bool = True):
-    """Class-weighted boosted classifier; with ``calibrate``, sigmoid-calibrated over folds.
+    """Class-weighted boosted classifier of second order; with ``calibrate``, sigmoid-calibrated over folds.
 
     ``train`` holds prepared ``features`` and a 0/1 ``label``. Every fold has
-    its share of positives: rows are stored once, and cut by id hash within each label.
+    its share of positives: rows are stored once, and cut by id hash within each label. The
+    models of all folds grow side by side, in the same passes over the rows.
     """
     n = train.agg(F.sum(label).alias("pos"), F.count(label).alias("n")).first()
     ratio = (n["n"] - n["pos"]) / max(n["pos"], 1) if weighted else 1.0
     rows = train.withColumn("_w", F.when(F.col(label) == 1, float(ratio)).otherwise(1.0))
-    base = GBTClassifier(labelCol=label, weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=0.05,
-                         subsamplingRate=0.85, featureSubsetStrategy="0.9", seed=SEED)
+    base = Boosting(loss="logistic", label=label, weight="_w", rounds=rounds, depth=depth, rate=0.05, growth="level", l2=1.0,
+                    min_rows=1, min_hessian=1.0, rows=0.85, columns=0.9, id_cols=(id_col,))
     if not calibrate:
-        return base.fit(rows)
+        return CalibratedRisk(base.fit(rows), [(1.0, 0.0)])
     folded = with_fold(materialize(rows), id_col, folds, stratify=label)
-
-    def member(i):
-        margin = base.fit(folded.where(F.col("fold") != i))
-        held_out = _with_margin(margin, folded.where(F.col("fold") == i))
-        return margin, _sigmoid(held_out.select("_margin", label), label)
-
-    return CalibratedRisk([member(i) for i in range(folds)])
+    model = replace(base, folds=folds).fit(folded)
+    fits = [_sigmoid(model.transform(folded.where(F.col("fold") == i), "_margin", i).select("_margin", label), label) for i in range(folds)]
+    return CalibratedRisk(model, [(float(f.coefficients[0]), float(f.intercept)) for f in fits])
 
 
 def model_scorer(prepare: PipelineModel, regressor, risk: CalibratedRisk) -> Scorer:
@@ -246,7 +259,7 @@ def model_scorer(prepare: PipelineModel, regressor, risk: CalibratedRisk) -> Sco
 
     def score(df: DataFrame) -> DataFrame:
         kept = df.columns
-        out = regressor.copy({regressor.predictionCol: "_raw_score"}).transform(prepare.transform(df))
+        out = predicted(regressor, prepare.transform(df), "_raw_score")
         out = risk.transform(out.select(*kept, "features", "_raw_score"))
         return out.withColumn("score", clip("_raw_score", 0.0, 10.0)).select(*kept, "score", "probability")
 

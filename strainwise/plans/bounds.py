@@ -59,8 +59,13 @@ def scratch_scope(spark: SparkSession):
     finally:
         _SCOPES.remove(own)
         for path in own:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            drop_scratch(spark, path)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that no later step reads."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def outlive(df: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def train(master: DataFrame, out: str | None = None, features=None, stratify: st
         table = master.sparkSession.createDataFrame(result.importance, "feature string, gain_importance double")
         sinks.export_csv(table.coalesce(1), f"{out}/feature_importance")
         sinks.save_model(prepare, f"{out}/prepare")
-        result.regressor.write().overwrite().save(f"{out}/score_model")
+        models.save_regressor(result.regressor, f"{out}/score_model")
         risk.save(f"{out}/risk_model")
     return result
 

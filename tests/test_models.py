@@ -69,7 +69,7 @@ def test_comparison_and_best(toy):
     _, df = toy
     rows = sampling.with_split(models.fit_preprocessor(df, ["a", "b"], ["t"]).transform(df))
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    small = models.regressors(train, trees=5, forest_depth=4, boost_rounds=5, sampled_rounds=5, sampled_depth=3)
+    small = models.regressors(train, trees=5, forest_depth=4, boost_rounds=15, sampled_rounds=15, sampled_depth=3)
     metrics, fitted = models.compare(train, test, small)
     got = {r["model"]: r for r in metrics.collect()}
     assert set(got) == set(fitted) == set(small) and all(r["r2"] > 0.3 for r in got.values())
