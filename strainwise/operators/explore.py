@@ -1,11 +1,17 @@
 """Descriptive statistics of the master table."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.bounds import materialize, one_row, small_side
 from ..plans.quantiles import exact_quantiles
+from ..plans.sketch import SIZE, quantile_sketches, sketch_quantiles
 from ..schema import CORRELATED, DEFAULT_THRESHOLD, TARGET
 
+# Pairs that one aggregate correlates.
+PAIRS = 15
+
 
 def describe(df: DataFrame, columns, digits: int = 4, **options) -> DataFrame:
     """Count, mean, std, min, quartiles and max per column, one row each."""
@@ -77,13 +83,18 @@ def boxplot(df: DataFrame, by: str, c: str = TARGET, digits: int = 4, **options)
 def correlation(df: DataFrame, columns=CORRELATED, digits: int = 4) -> DataFrame:
     """Pearson correlation of every pair (lower triangle), pairwise complete rows.
 
-    One aggregate over one scan; a row is read once, not once per metric.
+    Aggregates of at most 15 pairs, so that each stays within generated code; a row is
+    read once per block of pairs, not once per metric.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    found = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    return found.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"), F.round(f"c{k}", digits).alias("corr"))
-        for k, (a, b) in enumerate(pairs)])))
+    blocks = []
+    for i in range(0, len(pairs), PAIRS):
+        own = pairs[i:i + PAIRS]
+        found = df.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(own)])
+        blocks.append(found.select(F.inline(F.array(*[
+            F.struct(F.lit(a).alias("left_metric"), F.lit(b).alias("right_metric"), F.round(f"c{k}", digits).alias("corr"))
+            for k, (a, b) in enumerate(own)]))))
+    return reduce(DataFrame.unionByName, blocks)
 
 
 def label_counts(df: DataFrame, source: str = "source_dataset", target: str = TARGET) -> DataFrame:
@@ -101,6 +112,32 @@ def class_balance(df: DataFrame, threshold: float = DEFAULT_THRESHOLD, target: s
                          F.round(n / F.greatest(p, F.lit(1)), 4).alias("pos_weight"))
 
 
+def approximate_quantiles(df: DataFrame, columns, probs, size: int = SIZE) -> DataFrame:
+    """``metric, prob, value`` from one scan and sketches of at most ``size`` entries per task and column.
+
+    The rank of a value is off by a few times ``1 / size`` of the rows at most; columns with
+    no more than ``size`` distinct values are exact (the value at the rank, not interpolated).
+    For tables that grow, keep :func:`quantile_sketches` of each batch and merge them.
+    """
+    return sketch_quantiles(quantile_sketches(df, columns, size=size), probs)
+
+
+def rank_errors(df: DataFrame, found: DataFrame, columns) -> DataFrame:
+    """``metric, prob, value, error``: how far the ranks of found quantiles are off, as a share of the rows.
+
+    ``found`` has a few rows per column; one aggregate counts the rows below and up to each.
+    """
+    rows = found.collect()
+    counts = df.agg(*[F.struct(F.count(r["metric"]).alias("n"), F.count(F.when(F.col(r["metric"]) < r["value"], 1)).alias("low"),
+                               F.count(F.when(F.col(r["metric"]) <= r["value"], 1)).alias("high")).alias(f"q{i}") for i, r in enumerate(rows)])
+    lines = []
+    for i, r in enumerate(rows):
+        q, wanted = F.col(f"q{i}"), F.lit(r["prob"]) * F.col(f"q{i}")["n"]
+        off = F.greatest(F.lit(0.0), q["low"] - wanted, wanted - q["high"]) / q["n"]
+        lines.append(F.struct(F.lit(r["metric"]).alias("metric"), F.lit(r["prob"]).alias("prob"), F.lit(r["value"]).alias("value"), off.alias("error")))
+    return counts.select(F.inline(F.array(*lines)))
+
+
 def quantile_threshold(df: DataFrame, target: str = TARGET, quantile: float = 0.90, **options) -> DataFrame:
     """One row: the interpolated quantile of the target."""
     return exact_quantiles(df, [target], [quantile], **options).select(

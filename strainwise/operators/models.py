@@ -1,13 +1,10 @@
 """Model preparation, regressors, calibrated risk classifier and segmentation on MLlib."""
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -17,6 +14,7 @@ from ..plans.bounds import materialize
 from ..plans.quantiles import exact_medians
 from ..schema import MODEL_CATEGORICAL, MODEL_NUMERIC, SEED, SEGMENTS, TARGET
 from .boosting import BoostedTrees, Boosting
+from .clusters import kmeans, nearest
 from .evaluate import regression_metrics_by
 from .sampling import with_fold
 from .scoring import Scorer
@@ -279,31 +277,22 @@ def segment_name(workload: Column, wellness: Column, score: Column) -> Column:
 def segment(df: DataFrame, k: int = 4, restarts: int = 10, features=SEGMENT_FEATURES, seed: int = SEED) -> DataFrame:
     """Append ``cluster_id`` and ``employee_segment`` from k-means on standardised indices.
 
-    Two clusters may get the same name, so the id is kept. The best of ``restarts``
-    runs by within-cluster cost is used.
+    Two clusters may get the same name, so the id is kept; ids follow the centres' order. The
+    best of ``restarts`` runs by within-cluster cost is used; all restarts share their scans.
     """
     rows = numeric_statistics(df, features).collect()  # one row per feature
     prepare = fit_preprocessor(df, numeric=features, categorical=(), output="_cluster_features", stats=rows)
     scaled = [f"n_{c}" for c in features]
     ready = prepare.transform(df)
-    # kept once for all restarts; lost blocks are read again from the table
-    vectors = ready.select("_cluster_features").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def run(i):
-        return KMeans(k=k, seed=seed + i, featuresCol="_cluster_features", predictionCol="cluster_id").fit(vectors)
-
-    with ThreadPoolExecutor(restarts) as pool:
-        runs = list(pool.map(run, range(restarts)))
-    best = min(runs, key=lambda m: m.summary.trainingCost)
-    vectors.unpersist()
+    best, _ = kmeans(ready.select(*scaled), scaled, k, restarts, seed)
     stats = {r["feature"]: (r["mean"], r["std"] or 1.0) for r in rows}
     schema = T.StructType([T.StructField("cluster_id", T.IntegerType())]
                           + [T.StructField(c, T.DoubleType()) for c in features])
     centers = [(i, *[float(v) * stats[c][1] + stats[c][0] for c, v in zip(features, center)])
-               for i, center in enumerate(best.clusterCenters())]
+               for i, center in enumerate(best)]
     named = df.sparkSession.createDataFrame(centers, schema).select(
         "cluster_id", segment_name(*[F.col(c) for c in features]).alias("employee_segment"))
     # k rows
-    return best.transform(ready).drop("_cluster_features", *scaled).join(
+    return ready.withColumn("cluster_id", nearest(scaled, best)).drop("_cluster_features", *scaled).join(
         F.broadcast(named), "cluster_id", "left").select(*df.columns, "cluster_id", "employee_segment")
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import bands, indices
 from ..functions.numbers import clip
 from ..functions.text import as_number
-from ..operators import attribution, breakdown as bd, clean, evaluate as ev, explore, models, policy
-from ..operators import roster as ro, sampling, scoring, validate
+from ..operators import attribution, boosting, breakdown as bd, clean, clusters, evaluate as ev, explore, models, policy
+from ..operators import roster as ro, sampling, scoring, tree_shares, validate
 from ..operators.align import align, default_features, fill_scenarios, fit_defaults
 from ..plans.bounds import scratch_folder, write_scratch
-from ..schema import MODEL_NUMERIC, STRAIN_WEIGHTS, SURVEY_TARGET, TRACKED
+from ..schema import KMEANS_STARTS, MODEL_NUMERIC, STRAIN_WEIGHTS, SURVEY_TARGET, TRACKED
 from ..sources import headers, layouts
 from ..sources.readers import path_exists
 from ..streaming import roster_stream
@@ -818,6 +818,43 @@ def feature_importance(spark, d):
     return spark.createDataFrame(gains, "feature string, gain_importance double, total_gain double, splits long")
 
 
+@query("tree_attribution")
+def tree_attribution(spark, d):
+    _, rows = _prepared(spark, d)
+    return tree_shares.mean_shares(rows, _model(spark, d, "gradient_boosting_sampled"), models.feature_names(rows))
+
+
+@query("boost_first_split")
+def boost_first_split(spark, d):
+    # one split of one tree over all labelled rows, gaps in the features included
+    rows = validate.labeled(canonical(spark, d)).select(F.array(*MODEL_NUMERIC).alias("features"), "strain_score")
+    model = boosting.Boosting(rounds=1, rate=1.0, leaves=2, l2=1.0, label="strain_score").fit(rows)
+    nodes = spark.createDataFrame(model.nodes(), boosting.NODE)
+
+    def of(node, c):
+        return F.max(F.when(F.col("node") == node, F.col(c)))
+
+    return nodes.agg(  # three nodes
+        F.element_at(F.array(*[F.lit(c) for c in MODEL_NUMERIC]), of(0, "feature") + 1).alias("feature"),
+        F.round(of(0, "threshold"), 6).alias("threshold"), of(0, "missing_left").alias("missing_left"), F.round(of(0, "gain"), 3).alias("gain"),
+        *[of(i, "cover").cast("long").alias(f"{side}_rows") for i, side in ((1, "left"), (2, "right"))],
+        *[F.round(of(i, "value"), 4).alias(f"{side}_value") for i, side in ((1, "left"), (2, "right"))])
+
+
+@query("sketched_quantiles")
+def sketched_quantiles(spark, d):
+    columns, probs = [*TRACKED, "strain_score"], (0.25, 0.5, 0.75, 0.9)
+    found = explore.approximate_quantiles(master(spark, d), columns, probs)
+    return explore.rank_errors(master(spark, d), found, columns).select("metric", "prob", (F.col("error") <= 0.005).alias("within"))
+
+
+@query("kmeans_step")
+def kmeans_step(spark, d):
+    rows = master(spark, d).where("workload_index is not null and wellness_score is not null and strain_score is not null")
+    return clusters.kmeans_step(rows, models.SEGMENT_FEATURES, KMEANS_STARTS).select(
+        "restart", "cluster", "rows", *[F.round(c, 4).alias(c) for c in models.SEGMENT_FEATURES])
+
+
 @query("risk_probability")
 def risk_probability(spark, d):
     _, rows = _prepared(spark, d)

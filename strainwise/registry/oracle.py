@@ -1,7 +1,7 @@
 """DuckDB SQL per query key, written independently of the Spark operators."""
 
 from ..schema import (
-    ADVICE, BANDS, CANONICAL, CITY_STATES, CORRELATED, DRIVERS, FIVE_BANDS, HOURS_BANDS, MODEL_CATEGORICAL,
+    ADVICE, BANDS, CANONICAL, CITY_STATES, CORRELATED, DRIVERS, FIVE_BANDS, HOURS_BANDS, KMEANS_STARTS, MODEL_CATEGORICAL,
     MODEL_FEATURES, MODEL_NUMERIC, POLICIES, REQUIRED_UPLOAD, SOURCE_LABELS, STRAIN_WEIGHTS, STRINGS, TRACKED,
 )
 from .views import duckdb_views
@@ -298,6 +298,36 @@ def _round_list(columns, digits=4) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
+def _first_split() -> str:
+    """The best split of all labelled rows by trying every feature, cut and side of the missing rows."""
+    values = " UNION ALL ".join(f"SELECT {i} AS f, {lit(c)} AS feature, {c} AS v, y FROM rows" for i, c in enumerate(MODEL_NUMERIC))
+    gain = "sl * sl / (nl + 1) + (st - sl) * (st - sl) / (nt - nl + 1) - st * st / (nt + 1)"
+    return (
+        ", rows AS (SELECT *, strain_score - avg(strain_score) OVER () AS y FROM canonical WHERE strain_score IS NOT NULL), "
+        f"long AS ({values}), whole AS (SELECT f, count(*) AS nt, sum(y) AS st, count(*) FILTER (WHERE v IS NULL) AS nm, "
+        "coalesce(sum(y) FILTER (WHERE v IS NULL), 0) AS sm FROM long GROUP BY f), "
+        "per AS (SELECT f, feature, v, count(*) AS n, sum(y) AS s FROM long WHERE v IS NOT NULL GROUP BY f, feature, v), "
+        "cuts AS (SELECT f, feature, (v + lead(v) OVER w) / 2 AS threshold, sum(n) OVER w AS n, sum(s) OVER w AS s FROM per WINDOW w AS (PARTITION BY f ORDER BY v)), "
+        "sides AS (SELECT f, feature, threshold, FALSE AS missing_left, n AS nl, s AS sl FROM cuts WHERE threshold IS NOT NULL UNION ALL "
+        "SELECT f, feature, threshold, TRUE, n + nm, s + sm FROM cuts JOIN whole USING (f) WHERE threshold IS NOT NULL AND nm > 0), "
+        f"tried AS (SELECT *, {gain} AS gain FROM sides JOIN whole USING (f) WHERE nl >= 20 AND nt - nl >= 20) "
+        "SELECT feature, round(threshold, 6) AS threshold, missing_left, round(gain, 3) AS gain, CAST(nl AS BIGINT) AS left_rows, CAST(nt - nl AS BIGINT) AS right_rows, "
+        "round(sl / (nl + 1), 4) AS left_value, round((st - sl) / (nt - nl + 1), 4) AS right_value FROM tried "
+        "ORDER BY round(gain, 6) DESC, f, threshold, missing_left LIMIT 1")
+
+
+def _kmeans_step() -> str:
+    features = ("workload_index", "wellness_score", "strain_score")
+    whole = " AND ".join(f"{c} IS NOT NULL" for c in features)
+    parts = []
+    for r, centres in enumerate(KMEANS_STARTS):
+        d = [" + ".join(f"({c} - {num(v)}) * ({c} - {num(v)})" for c, v in zip(features, centre)) for centre in centres]
+        parts.append(f"SELECT CAST({r} AS INTEGER) AS restart, CAST(list_position(d, list_min(d)) - 1 AS INTEGER) AS cluster, {', '.join(features)} "
+                     f"FROM (SELECT *, [{', '.join(d)}] AS d FROM master WHERE {whole})")
+    return (f"SELECT restart, cluster, count(*) AS rows, {', '.join(f'round(avg({c}), 4) AS {c}' for c in features)} "
+            f"FROM ({' UNION ALL '.join(parts)}) GROUP BY restart, cluster")
+
+
 def oracle_sql() -> dict:
     base = _base()
     flags = ", ".join(f"CAST({c} IS NULL AS INTEGER) AS {c}_is_missing" for c in TRACKED)
@@ -453,6 +483,10 @@ def oracle_sql() -> dict:
             f"SELECT {lit(c)} AS feature, round(avg(abs({num(w / s)} * ({c} - m))), 4) AS mean_abs FROM master CROSS JOIN (SELECT avg({c}) AS m FROM master)"
             for c, w, s in STRAIN_WEIGHTS),
         "permutation_importance": _permutation(),
+        "boost_first_split": _first_split(),
+        "sketched_quantiles": f"SELECT metric, prob, TRUE AS within FROM (SELECT unnest([{', '.join(lit(c) for c in [*TRACKED, 'strain_score'])}]) AS metric) "
+            "CROSS JOIN (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE, 0.9::DOUBLE]) AS prob)",
+        "kmeans_step": _kmeans_step(),
         "segment_naming": "SELECT *, CASE WHEN workload_index > 55 AND strain_score > 5 THEN 'Overloaded (At Risk)' WHEN wellness_score > 65 AND strain_score < 4 THEN 'Healthy & Balanced' "
             "WHEN workload_index < 45 AND wellness_score < 50 THEN 'Disengaged' ELSE 'Moderate / Transitioning' END AS employee_segment FROM "
             "(SELECT job_role, work_mode, round(avg(workload_index), 3) AS workload_index, round(avg(wellness_score), 3) AS wellness_score, round(avg(strain_score), 3) AS strain_score FROM master GROUP BY 1, 2)",

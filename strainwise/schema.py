@@ -453,3 +453,9 @@ RAW_TYPES = {
          "Work_Life_Balance", "Sleeping_Habit", "Exercise_Habit"),
     ),
 }
+
+# starting centres of the step that is checked in SQL: workload, wellness, score
+KMEANS_STARTS = (
+    ((30.0, 40.0, 3.0), (50.0, 60.0, 5.0), (70.0, 50.0, 7.0), (40.0, 70.0, 2.0)),
+    ((20.0, 50.0, 6.0), (60.0, 50.0, 4.0), (45.0, 55.0, 5.0)),
+)
