@@ -24,7 +24,8 @@ def op3_chat_format(spark, d):
 
 def op4_warc(spark, d):
     back = warc.round_trip(spark, table(spark, d, "pages"))
-    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).cast("long")
+    # the record of a page without id names none
+    number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        number("refers_to").alias("refers_to"))
 

@@ -4,7 +4,8 @@ import heapq
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import scratch_folder
+from ..plans.bounds import small_side
+from .common import scratch_folder, stored
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], stay: list[int | None]) -> list[list[int]]:
@@ -83,12 +84,14 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float]
     relative capacity of each new shard. Shard i becomes shard i, so its bytes stay where
     capacity allows. A row weighs the UTF-8 bytes of its text plus 1 (null: 1).
 
-    Rows lie in blocks (hash of the id within an old shard, as many as the bytes need).
+    Rows lie in blocks (hash of id and text within an old shard, as many as the bytes need).
     A row's byte position is its block's offset plus the running sum inside the block;
     the flows of an old shard cut that line into transfers. So shards differ from their
-    capacity by less than the longest rows at the cuts. Result: the id and text columns,
-    ``size, old_shard, shard, slot`` with slots gapless from 0 in each shard. An empty
-    table gives an empty result; repeated rows keep a slot each; other columns are ignored.
+    capacity by less than the longest rows at the cuts. Positions, shards and slots are
+    planned on narrow rows first; the texts are then shuffled and written once. Result: the id
+    and text columns, ``size, old_shard, shard, slot`` with slots gapless from 0 in each shard. An
+    empty table gives an empty result; repeated rows keep a slot each, and rows equal in id
+    and text share a block; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), old_shard.cast("int").alias("old"))
     rows = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
@@ -112,31 +115,37 @@ def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float]
         cuts.append(line)
     blocks = [int(s // block_bytes) + 1 for s in supply]
     n_blocks = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("old") + 1)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks))
+    rows = rows.withColumns({"block": F.pmod(F.xxhash64("id", "text"), n_blocks), "mark": F.xxhash64("text")})
     in_order = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).select(
-        "old", "block", F.coalesce(F.sum("bytes").over(in_order), F.lit(0)).alias("offset"))
-    # the texts move once, by block; running sums are over one block
-    running = Window.partitionBy("old", "block").orderBy("id", "size", F.xxhash64("text"))
-    placed = rows.withColumn("upto", F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, -1)))
-    placed = placed.join(offsets, ["old", "block"]).withColumn(
-        "position", F.col("offset") + F.coalesce("upto", F.lit(0)))
-    # the middle of a row decides, so a cut is off by half a row at most
-    middle = F.col("position") + F.floor(F.col("size") / 2)
-    placed = placed.withColumn("shard", _target(middle, F.col("old"), cuts))
-    # a block may straddle a cut: number its rows per target shard
-    each = Window.partitionBy("old", "block", "shard").orderBy("position")
-    numbered = placed.withColumn("local", F.row_number().over(each).cast("long") - 1)
-    folder = folder or scratch_folder(docs.sparkSession)
-    numbered = numbered.select("id", "text", "size", "old", "block", "position", "local", "shard")
-    numbered.write.partitionBy("shard").parquet(folder)
-    written = docs.sparkSession.read.schema(numbered.schema).parquet(folder)
-    counts = written.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("n"))
+    offsets = stored(rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).select(
+        "old", "block", F.coalesce(F.sum("bytes").over(in_order), F.lit(0)).alias("offset")))
+    offsets = small_side(offsets, offsets.count())
+
+    def placed(df: DataFrame, facts: DataFrame) -> DataFrame:
+        # running sums are over one block; rows equal in the order have equal sizes
+        running = Window.partitionBy("old", "block").orderBy("id", "size", "mark")
+        upto = F.coalesce(F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        df = df.withColumn("upto", upto).join(facts, ["old", "block"]).withColumn("position", F.col("offset") + F.col("upto"))
+        # the middle of a row decides, so a cut is off by half a row at most
+        middle = F.col("position") + F.floor(F.col("size") / 2)
+        return df.withColumn("shard", _target(middle, F.col("old"), cuts))
+
+    # a block may straddle a cut: where its rows begin in each of its new shards
+    counts = placed(rows.drop("text"), offsets).groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "old", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return written.join(bases, ["shard", "old", "block"]).select(
+    bases = bases.groupBy("old", "block").agg(F.map_from_entries(F.collect_list(F.struct("shard", "base"))).alias("bases"))
+    plan = stored(bases.join(offsets, ["old", "block"]))
+    # the texts move once, by block; the plan has a row per block and meets them there
+    each = Window.partitionBy("old", "block", "shard").orderBy("position", "id", "mark")
+    whole = placed(rows, small_side(plan, plan.count()))
+    numbered = whole.withColumn("slot", F.col("bases")[F.col("shard")] + F.row_number().over(each) - 1)
+    folder = folder or scratch_folder(docs.sparkSession)
+    numbered = numbered.select("id", "text", "size", "old", "slot", "shard")
+    numbered.write.partitionBy("shard").parquet(folder)
+    return docs.sparkSession.read.schema(numbered.schema).parquet(folder).select(
         F.col("id").alias(id_col), F.col("text").alias(text_col), "size", F.col("old").alias("old_shard"),
-        F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("local")).alias("slot"))
+        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def transfers(resharded: DataFrame) -> DataFrame:

@@ -72,7 +72,16 @@ class Lexicon:
                         spared.append((start, end))
                 elif (closed or stem) and weight > found.get(start, (0, 0.0))[1]:
                     found[start] = (end, weight)
-        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and e <= b for a, b in spared)]
+        # one sweep: a hit is spared if a phrase that began no later ends no earlier
+        spared.sort()
+        out, next_, reach = [], 0, -1
+        for start, (end, weight) in sorted(found.items()):
+            while next_ < len(spared) and spared[next_][0] <= start:
+                reach = max(reach, spared[next_][1])
+                next_ += 1
+            if end > reach:
+                out.append((start, end, weight))
+        return out
 
 
 def _counts(label: int, wanted: frozenset | None):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import arrow_limits, only, records, scratch_folder, stored
 
 MAGIC = b"\x1f\x8b\x08"
+AHEAD = 1 << 20  # bytes of one read request
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("n_records", pa.int64())])
@@ -88,13 +89,18 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20)
 
 
 class _Source:
-    """Sequential reader with a position, over a file opened for random access."""
+    """Reads ahead in a file opened for random access, so that members in a row share requests."""
 
     def __init__(self, handle, size):
         self.handle, self.size = handle, size
+        self.start, self.held = 0, b""
 
     def at(self, offset: int, length: int) -> bytes:
-        return self.handle.read_at(min(length, max(0, self.size - offset)), offset)
+        length = min(length, max(0, self.size - offset))
+        if not self.start <= offset <= offset + length <= self.start + len(self.held):
+            ahead = min(max(length, AHEAD), max(0, self.size - offset))
+            self.start, self.held = offset, self.handle.read_at(ahead, offset)
+        return self.held[offset - self.start:offset - self.start + length]
 
 
 def _decode(source: _Source, offset: int):

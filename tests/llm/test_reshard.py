@@ -47,3 +47,17 @@ def test_balanced_shards_stay_where_they_are(docs):
 
 def test_empty_table(docs):
     assert rs.reshard(docs([]), F.lit(0), 2, [1.0, 1.0]).collect() == []
+
+
+def test_null_ids_and_long_texts_spread_over_blocks(docs):
+    pairs = [(None, f"text {i}") for i in range(200)] + [(1, "é" * 200_000), (1, "é" * 200_000), (2, None), (2, None)]
+    out = rs.reshard(docs(pairs), F.lit(0), 1, [1.0] * 3, block_bytes=400).collect()
+    assert len(out) == len(pairs)
+    for s in range(3):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
+def test_texts_are_shuffled_once(docs, tmp_path):
+    out = rs.reshard(docs([(i, "abcd" * i) for i in range(50)]), F.col("doc_id") % 4, 4, [1.0] * 3, folder=str(tmp_path / "new"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # the written rows carry their slots

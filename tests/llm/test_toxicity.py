@@ -1,3 +1,6 @@
+import random
+import time
+
 from llm_data import docs  # noqa: F401
 from strainwise.llm import toxicity as tx
 
@@ -57,3 +60,51 @@ def test_no_labels_and_no_rows(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in tx.toxicity(docs([(1, "idiot")]), labels).collect()] == [0]
     assert tx.toxicity(docs([]), labels).collect() == []
+
+
+def plain_hits(weights, exceptions, text):
+    """Every listed pattern tried at every word start; every phrase tried at every place."""
+    def starts(i):
+        return not (i and text[i - 1].isalpha())
+
+    def ends(i):
+        return i == len(text) or not text[i].isalpha()
+
+    spared = [(i, i + len(p)) for p in map(tx.fold, exceptions) for i in range(len(text))
+              if text.startswith(p, i) and starts(i) and ends(i + len(p))]
+    out = []
+    for i in range(len(text)):
+        best = None
+        for pattern, weight in weights.items():
+            key = pattern.rstrip("*")
+            if text.startswith(key, i) and starts(i) and (pattern.endswith("*") or ends(i + len(key))):
+                if best is None or (-weight, len(key)) < best:
+                    best = (-weight, len(key))
+        if best and not any(a <= i and i + best[1] <= b for a, b in spared):
+            out.append((i, i + best[1], -best[0]))
+    return out
+
+
+def test_hits_equal_trying_everything_on_random_texts():
+    rng = random.Random(5)
+    look = {v: [k for k, x in (tx.HOMOGLYPHS | tx.DIGITS).items() if x == v] for v in set(tx.HOMOGLYPHS.values())}
+    words = ["scum", "trash", "trashy", "tra", "can", "bin", "moron", "clown", "fish", "idiot", "proof", "a"]
+    for _ in range(300):
+        weights = {tx.fold(w): round(rng.uniform(0.5, 3), 3) for w in rng.sample(words, 4)} | {
+            tx.fold(rng.choice(words)) + "*": round(rng.uniform(0.5, 3), 3) for _ in range(3)}
+        exceptions = [" ".join(rng.sample(words, 2)) for _ in range(4)] + list(tx.EXCEPTIONS)
+        said = []
+        for _ in range(rng.randint(0, 40)):
+            word = "".join(rng.choice(look.get(c) or [c]) if rng.random() < 0.2 else c.upper() if rng.random() < 0.1 else c
+                           for c in rng.choice(words))
+            said.append(word + rng.choice([" ", " ", " ", ", ", "", ". ", "​ "]))
+        text = tx.fold("".join(said))
+        assert tx.Lexicon(weights, exceptions).hits(text) == plain_hits(weights, exceptions, text)
+
+
+def test_many_exceptions_in_one_text_stay_linear():
+    lexicon = tx.Lexicon({"trash": 2.0}, ("trash can",))
+    text = tx.fold("a trash can, " * 100_000 + "trash")
+    start = time.process_time()
+    assert len(lexicon.hits(text)) == 1
+    assert time.process_time() - start < 20  # the square of the phrases would take hours

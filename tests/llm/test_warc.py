@@ -69,3 +69,33 @@ def test_false_magic_is_no_record(tmp_path):
             got = [f["warc-record-id"] for a in range(0, len(data), split)
                    for _, f, _ in warc.read_range(source, a, min(a + split, len(data)))]
             assert got == [f"<urn:page:{i}>" for i in range(5)]
+
+
+def test_query_with_null_repeated_and_long_pages(spark, tmp_path):
+    from strainwise.llm import catalog
+
+    long = rng_text(9, 2_500_000)
+    rows = [(None, "u", "x"), (None, None, "lone"), (3, "u", "x"), (3, "u", "x"), (4, "u", None), (5, "u", long), (6, "v", long)]
+    pages(spark, rows).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
+                  for r in catalog.op4_warc(spark, str(tmp_path)).collect()), key=str)
+    n = len(long.encode())
+    assert got == sorted([
+        (None, 1, digest("x"), "revisit", 3), (None, 4, digest("lone"), "response", None), (3, 1, digest("x"), "response", None),
+        (3, 1, digest("x"), "response", None), (4, 0, digest(""), "response", None), (5, n, digest(long), "response", None),
+        (6, n, digest(long), "revisit", 5)], key=str)
+
+
+def test_requests_are_shared_by_members():
+    class Counted:
+        def __init__(self, data):
+            self.data, self.reads = data, 0
+
+        def read_at(self, n, offset):
+            self.reads += 1
+            return self.data[offset:offset + n]
+
+    data = b"".join(warc.member(f"urn:page:{i}", "response", "u", "D", None, b"p%d" % i * 20) for i in range(2000))
+    handle = Counted(data)
+    assert len(list(warc.read_range(warc._Source(handle, len(data)), 0, len(data)))) == 2000
+    assert handle.reads <= 3 + len(data) // (warc.AHEAD // 2)
