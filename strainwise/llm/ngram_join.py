@@ -15,18 +15,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.bounds import small_side
 from .common import components, only, records, slices, stored
 from .shingles import batch_sets
 
 MOST_BROADCAST = 500_000
-WINDOW = 2_000_000  # shingles that a task gathers before it hands them on
+WINDOW = 1_000_000  # shingles that a task gathers before it hands them on
 COUNTS = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-MEMBER = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("grp", pa.int64())])
+MEMBER = pa.schema([("id", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("grp", pa.int64()),
+                    ("bits", pa.binary())])
 POST = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary()),
                   ("places", pa.binary())])
 RUN = pa.schema([("key", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("pivot", pa.int64())])
 TEXT = pa.schema([("v", pa.int64()), ("text", pa.string())])
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+MET = "g long, h long, gn long, hn long, c long, gp long, hp long"
+BITS = 1024  # a set's bitmap: one bit per shingle, by hash
+CROWD = 1024  # groups of one shingle that a task compares with each other
+UNIT_ROWS = 100_000  # rows of one comparing task, several shingles
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -118,8 +124,14 @@ def _ordered_prefix(own: np.ndarray, often: np.ndarray, bits: int, percent: int)
     return own[:size]
 
 
+def _bitmap(own: np.ndarray) -> bytes:
+    marks = np.zeros(BITS, bool)
+    marks[(own & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
 def _members(often, bits: int, words: int, percent: int):
-    """Per document: size, digest of the set (vertex) and of size and prefix (group)."""
+    """Per document: size, digest of the set (vertex) and of size and prefix (group), bitmap of the set."""
 
     def run(batches):
         keys = often.value
@@ -129,7 +141,7 @@ def _members(often, bits: int, words: int, percent: int):
                 for id_, doc, own in zip(part.column("id").to_pylist(), part.column("doc").to_pylist(),
                                          batch_sets(part, "text", words)):
                     prefix = _ordered_prefix(own, keys, bits, percent)
-                    rows.append((id_, doc, len(own), _digest64(own.tobytes()), _digest64(len(own).to_bytes(8, "little") + prefix.tobytes())))
+                    rows.append((id_, doc, len(own), _digest64(own.tobytes()), _digest64(len(own).to_bytes(8, "little") + prefix.tobytes()), _bitmap(own)))
                 yield records(rows, MEMBER)
 
     return run
@@ -252,8 +264,8 @@ def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, words: int,
         _verify(words, percent), "a long, b long"))
 
 
-def _bounded(pairs: DataFrame, percent: int, extra=()) -> DataFrame:
-    """Group pairs ``(g, h)`` that size and position allow, from one row per shared shingle.
+def _bounded(pairs: DataFrame, percent: int, extra=(), shared=None) -> DataFrame:
+    """Group pairs ``(g, h)`` that size and position allow, from one row per shared shingle, or rows that count them.
 
     Behind the last shared prefix shingle at most the rest of the smaller set can be
     shared; before it, only what was counted.
@@ -261,13 +273,87 @@ def _bounded(pairs: DataFrame, percent: int, extra=()) -> DataFrame:
     need = F.ceil(F.expr(f"{percent} * (gn + hn) / {100 + percent}"))
     reach = F.col("c") + F.least(F.col("gn") - F.col("gp") - 1, F.col("hn") - F.col("hp") - 1)
     return pairs.groupBy("g", "h", "gn", "hn", *extra).agg(
-        F.count(F.lit(1)).alias("c"), F.max("gp").alias("gp"), F.max("hp").alias("hp")).where(reach >= need)
+        (F.count(F.lit(1)) if shared is None else shared).alias("c"), F.max("gp").alias("gp"), F.max("hp").alias("hp")).where(reach >= need)
+
+
+def _once(found: list) -> np.ndarray:
+    """One line per pair of groups: ids, sizes, shared shingles, last shared positions."""
+    g, h, gn, hn, c, gp, hp = np.concatenate(found, axis=1)
+    order = np.lexsort((h, g))
+    g, h, gn, hn, c, gp, hp = [x[order] for x in (g, h, gn, hn, c, gp, hp)]
+    first = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))[:len(g)])
+    if not len(first):
+        return np.zeros((7, 0), np.int64)
+    return np.stack([g[first], h[first], gn[first], hn[first], np.add.reduceat(c, first), np.maximum.reduceat(gp, first),
+                     np.maximum.reduceat(hp, first)])
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int, extra) -> DataFrame:
-    """Rows of two sides that share a shingle key and have sizes that can match."""
-    sizes = F.expr(f"100 * least(gn, hn) >= {percent} * greatest(gn, hn)")
-    return left.join(right, "key").where(sizes & extra)
+def _meet(percent: int):
+    """Pairs of groups that share a shingle, lie in different components and can be similar enough.
+
+    Every pair leaves the task once, with the number of shingles it shares there. The bits in which the bitmaps of two sets differ are elements in which the sets differ,
+    so the bitmaps bound the intersection from above; a group of several sets has none.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        grp, n, pos, lo, hi, key, one, two, own = [table.column(c).to_numpy() for c in (
+            "grp", "n", "pos", "lo", "hi", "key", "one", "two", "own")]
+        order = np.lexsort((grp, two, one, key))
+        grp, n, pos, lo, hi, key, one, two, own = [c[order] for c in (grp, n, pos, lo, hi, key, one, two, own)]
+        raw = [table.column("bits")[i].as_py() for i in order.tolist()]
+        single = np.array([b is not None for b in raw])
+        bits = np.frombuffer(b"".join(b or bytes(BITS // 8) for b in raw), np.uint64).reshape(len(raw), -1)
+        same = (key[1:] == key[:-1]) & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        ends = np.append(np.flatnonzero(~same) + 1, len(key))
+        end = np.repeat(ends, np.diff(ends, prepend=0))
+        at, found, size = np.arange(len(key)), [], 0
+        for step in range(1, len(key)):
+            at = at[at + step < end[at]]
+            if not len(at):
+                break
+            to = at + step
+            small, large = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
+            fits = (100 * small >= percent * large) & ((one[at] == two[at]) | (own[at] != own[to]))
+            fits &= (lo[at] != hi[at]) | (lo[to] != hi[to]) | (lo[at] != lo[to])
+            a, b = at[fits], to[fits]
+            for i in range(0, len(a), 50_000):
+                x, y = a[i:i + 50_000], b[i:i + 50_000]
+                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+                most = (n[x] + n[y] - np.where(single[x] & single[y], apart, 0)) // 2
+                near = 100 * most >= percent * (n[x] + n[y] - most)
+                x, y = x[near], y[near]
+                turned = grp[x] > grp[y]
+                x, y = np.where(turned, y, x), np.where(turned, x, y)
+                found.append(np.stack([grp[x], grp[y], n[x], n[y], np.ones(len(x), np.int64), pos[x], pos[y]]))
+                size += len(x)
+            if size > 1_000_000:
+                found = [_once(found)]
+                size = 0
+        out = _once(found) if found else np.zeros((7, 0), np.int64)
+        return pa.table(list(out), names=["g", "h", "gn", "hn", "c", "gp", "hp"])
+
+    return run
+
+
+def _met(held: DataFrame, percent: int) -> DataFrame:
+    """Rows ``(g, h, gn, hn, c, gp, hp)`` of the pairs that pass :func:`_meet`, from rows per shingle and group.
+
+    The shingles of a crowd share their smallest component (``home``) and go to one task as far
+    as its bound allows, so that a pair is mostly met once. The groups of a very common
+    shingle are cut into blocks, and every two blocks meet in one task.
+    """
+    sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("groups"))
+    common = sizes.where(F.col("groups") > CROWD).select("key", F.ceil(F.col("groups") / CROWD).cast("int").alias("cut"))
+    homes = held.groupBy("home").agg(F.count(F.lit(1)).alias("rows"))
+    wide = homes.where(F.col("rows") > UNIT_ROWS).select("home", F.ceil(F.col("rows") / UNIT_ROWS).alias("parts"))
+    rows = held.join(small_side(common, common.count()), "key", "left").join(small_side(wide, wide.count()), "home", "left")
+    rows = rows.withColumns({"cut": F.coalesce("cut", F.lit(1)), "part": F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1)))})
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("grp"), F.col("cut")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    rows = rows.withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+    units = int(held.count() // UNIT_ROWS + 1) * 4
+    rows = rows.withColumn("unit", F.pmod(F.xxhash64("home", "part", "one", "two"), F.lit(units)))
+    return rows.drop("cut", "other", "parts", "part", "home").groupBy("unit").applyInArrow(_meet(percent), MET)
 
 
 def _crowds(docs, runs, groups, vertices, links, known, words: int, percent: int, crowd: int = 24,
@@ -334,9 +420,9 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(31, max(4, math.ceil(math.log2(size / 5e6 + 1))))
     often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, bits, words))
-    members = stored(docs.mapInArrow(_members(often, bits, words, percent), "id long, doc long, n long, v long, grp long"))
+    members = stored(docs.mapInArrow(_members(often, bits, words, percent), "id long, doc long, n long, v long, grp long, bits binary"))
     vertices = stored(members.where("n > 0").groupBy("v", "grp", "n").agg(
-        F.min("id").alias("id"), F.min("doc").alias("doc")))
+        F.min("id").alias("id"), F.min("doc").alias("doc"), F.min("bits").alias("bits")))
     posted = docs.mapInArrow(_postings(often, bits, words, percent), (
         "bucket long, keys binary, groups binary, sizes binary, places binary"))
     runs = stored(posted.groupBy("bucket").applyInArrow(_runs, "key long, grp long, n long, pos long, pivot long"))
@@ -360,11 +446,11 @@ def ngram_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spread = placed.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     held = runs.join(spread, "grp")
     # shingles whose groups all lie in one component are settled: no pair is formed there
-    mixed = held.groupBy("key").agg(F.min("lo").alias("klo"), F.max("hi").alias("khi")).where("klo <> khi").select("key")
-    open_ = stored(held.join(mixed, "key").select("key", "grp", "n", "pos", "lo", "hi"))
-    left, right = open_.toDF("key", "g", "gn", "gp", "glo", "ghi"), open_.toDF("key", "h", "hn", "hp", "hlo", "hhi")
-    differ = F.expr("g < h and (glo <> ghi or hlo <> hhi or glo <> hlo)")
-    near = stored(_bounded(_pairs(left, right, percent, differ).select("g", "h", "gn", "hn", "gp", "hp"), percent).select("g", "h"))
+    mixed = held.groupBy("key").agg(F.min("lo").alias("home"), F.max("hi").alias("far")).where("home <> far").select("key", "home")
+    open_ = stored(held.join(mixed, "key").select("key", "grp", "n", "pos", "lo", "hi", "home"))
+    # the rest is met with bitmaps, so that few pairs leave the tasks
+    drawn = vertices.groupBy("grp").agg(F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits"))
+    near = stored(_bounded(_met(open_.join(drawn, "grp"), percent), percent, shared=F.sum("c")).select("g", "h"))
     one, two = placed.select("v", "grp", "component").toDF("a", "g", "ca"), placed.select("v", "grp", "component").toDF("b", "h", "cb")
     expanded = near.join(one, "g").join(two, "h").where("ca <> cb").select("a", "b")
     loose = spread.where("lo <> hi").select(F.col("grp").alias("g"))

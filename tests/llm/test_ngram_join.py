@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from llm_data import docs  # noqa: F401
 from strainwise.llm import ngram_join as nj, shingles
 
@@ -52,6 +55,43 @@ def test_components_equal_brute_force(docs, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute(pairs)
 
 
+def test_crowds_cut_into_many_blocks_and_units(docs, monkeypatch):
+    monkeypatch.setattr(nj, "CROWD", 3)
+    monkeypatch.setattr(nj, "UNIT_ROWS", 20)
+    monkeypatch.setattr(nj, "_crowds", lambda docs, runs, groups, vertices, links, known, *a: (links, known))
+    pairs = corpus(11, 150)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.ngram_classes(docs(pairs)).collect()}
+    assert got == brute(pairs)
+
+
+def test_met_pairs_miss_none_that_is_similar(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2 ** 63, 60).astype(np.uint64)
+    sets_ = []
+    for _ in range(120):
+        kept = base[rng.random(60) > rng.choice([0.03, 0.1, 0.3])]
+        sets_.append(np.unique(np.concatenate([kept, rng.integers(0, 2 ** 63, rng.integers(0, 9)).astype(np.uint64)])))
+    rows = [(k, i, len(x), p, i % 50, i % 50, 0, 0, 0, nj._bitmap(x) if i % 7 else None)
+            for i, x in enumerate(sets_) for p, k in enumerate(x[:20].astype(np.int64).tolist())]
+    names = ["key", "grp", "n", "pos", "lo", "hi", "one", "two", "own", "bits"]
+    out = nj._meet(80)(pa.table([list(c) for c in zip(*rows)], names=names)).to_pydict()
+    got = {(a, b): c for a, b, c in zip(out["g"], out["h"], out["c"])}
+    assert len(got) == len(out["g"]) and all(a < b for a, b in got)
+    wanted, possible = 0, 0
+    for a in range(120):
+        for b in range(a + 1, 120):
+            x, y = set(sets_[a].tolist()), set(sets_[b].tolist())
+            shared = len(set(sets_[a][:20].tolist()) & set(sets_[b][:20].tolist()))
+            if a % 50 == b % 50:
+                assert (a, b) not in got
+            elif shared:
+                possible += 1
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    wanted += 1
+                    assert got[a, b] == shared
+    assert wanted > 50 and len(got) < 0.9 * possible  # the bitmaps reject
+
+
 def test_frequent_shingles_change_the_order_not_the_result(docs, monkeypatch):
     pairs = corpus(3)
     plain = nj.frequent_shingles
