@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans.bounds import materialize, scratch_folder, write_scratch
 
 # Texts are handed to Python in record batches of about this many bytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 # Vectorised code works on slices of at most about this many bytes of text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 __all__ = ["BATCH_BYTES", "SLICE_BYTES", "arrow_limits", "table", "stored", "scratch_folder", "write_scratch",
            "slices", "records", "components", "only"]

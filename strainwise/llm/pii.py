@@ -68,8 +68,11 @@ PAD = 129
 
 
 def symbols(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.minimum(codes, 128).astype(np.uint8)
+    out = np.empty(len(text), np.uint8)
+    for i in range(0, len(text), 1 << 16):  # four bytes a character only for a piece at a time
+        codes = np.frombuffer(text[i:i + (1 << 16)].encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[i:i + len(codes)] = np.minimum(codes, 128)
+    return out
 
 
 class Tagger:
@@ -335,7 +338,7 @@ def _promising(text: str, codes: np.ndarray, starts: list[int], width: int) -> l
 
     Exact: a span found elsewhere would have no such sign and would be dropped.
     """
-    digits = np.concatenate([[0], np.cumsum((codes >= 48) & (codes <= 57))])
+    digits = np.append(np.int32(0), np.cumsum((codes >= 48) & (codes <= 57), dtype=np.int32))
     signs = np.array([m.start() for m in EVIDENCE.finditer(text)], np.int64)
     ends = np.minimum(np.array(starts) + width, len(codes))
     near = (digits[ends] - digits[starts] >= 1) | (np.searchsorted(signs, ends) > np.searchsorted(signs, starts))
@@ -347,7 +350,7 @@ def _promising(text: str, codes: np.ndarray, starts: list[int], width: int) -> l
     return wide.tolist()
 
 
-def tag_texts(tagger: Tagger, texts: list[str], width: int = 512, overlap: int = 64, batch: int = 1024) -> list[np.ndarray]:
+def tag_texts(tagger: Tagger, texts: list[str], width: int = 512, overlap: int = 64, batch: int = 512) -> list[np.ndarray]:
     """Tags of each text: overlapping windows are decoded, and each character takes the tag
     of the window in which it lies farther from an edge. All windows of a text are looked
     at; those where no span could be reported (see ``_promising``) keep "none"."""
