@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import bands, indices
 from ..functions.numbers import clip
 from ..functions.text import as_number
-from ..operators import attribution, boosting, breakdown as bd, clean, clusters, evaluate as ev, explore, models, policy
+from ..operators import attribution, boosting, breakdown as bd, clean, clustered, clusters, evaluate as ev, explore, models, policy
 from ..operators import roster as ro, sampling, scoring, tree_shares, validate
 from ..operators.align import align, default_features, fill_scenarios, fit_defaults
 from ..plans.bounds import scratch_folder, write_scratch
-from ..schema import KMEANS_STARTS, MODEL_NUMERIC, STRAIN_WEIGHTS, SURVEY_TARGET, TRACKED
+from ..schema import FIND_IDS, KMEANS_STARTS, MODEL_NUMERIC, STRAIN_WEIGHTS, SURVEY_TARGET, TRACKED
 from ..sources import headers, layouts
 from ..sources.readers import path_exists
 from ..streaming import roster_stream
@@ -402,6 +402,21 @@ def employee_lookup(spark, d):
     return _found(spark, d).select("id", "found_in", "employee_id", "job_role", "work_hours_per_week")
 
 
+@query("employee_find")
+def employee_find(spark, d):
+    """A few ids from the stored layout; both tables are laid out once."""
+    def lay_out():
+        number = F.substring("employee_id", 3, 20)
+        people = roster(spark, d).withColumn("emp_id", F.when(
+            number.cast("bigint") % 3 != 0, F.concat(F.lit("\u00a0alt"), number)))
+        path = scratch_folder(spark)
+        clustered.store_by_id({"roster": people, "master": master(spark, d)}, path)
+        return path
+
+    found = clustered.find_by_id(spark, _fitted(spark, d, "by_id", lay_out), FIND_IDS)
+    return found.select("id", "found_in", "employee_id", "job_role", "work_hours_per_week")
+
+
 # ------------------------------------------------------------------- aggregations
 @query("impute_group_median")
 def impute_group_median(spark, d):
@@ -582,6 +597,16 @@ def roster_page(spark, d):
     return ro.roster_page(ro.roster_table(scored(spark, d)), page=3, page_size=50, sort_col="experience")
 
 
+@query("roster_page_ranked")
+def roster_page_ranked(spark, d):
+    def lay_out():
+        path = scratch_folder(spark)
+        clustered.store_by_rank(ro.roster_table(scored(spark, d)), path, "experience")
+        return path
+
+    return clustered.page_by_rank(spark, _fitted(spark, d, "by_rank", lay_out), page=20, page_size=50)
+
+
 @query("roster_page_after")
 def roster_page_after(spark, d):
     table = ro.roster_table(scored(spark, d))

@@ -1,7 +1,7 @@
 """DuckDB SQL per query key, written independently of the Spark operators."""
 
 from ..schema import (
-    ADVICE, BANDS, CANONICAL, CITY_STATES, CORRELATED, DRIVERS, FIVE_BANDS, HOURS_BANDS, KMEANS_STARTS, MODEL_CATEGORICAL,
+    ADVICE, BANDS, CANONICAL, CITY_STATES, CORRELATED, DRIVERS, FIND_IDS, FIVE_BANDS, HOURS_BANDS, KMEANS_STARTS, MODEL_CATEGORICAL,
     MODEL_FEATURES, MODEL_NUMERIC, POLICIES, REQUIRED_UPLOAD, SOURCE_LABELS, STRAIN_WEIGHTS, STRINGS, TRACKED,
 )
 from .views import duckdb_views
@@ -403,6 +403,8 @@ def oracle_sql() -> dict:
         "city_state_lookup": "SELECT employee_id, city, state FROM located",
         "state_resolve": "SELECT employee_id, company_size AS own_state, state AS city_state FROM located WHERE gender IS NOT NULL AND company_size IS NOT NULL",
         "role_report": f"SELECT g.*, coalesce((SELECT string_agg(driver || ' ' || delta, '; ' ORDER BY place) FROM drivers d WHERE d.name = g.name), '') AS drivers FROM ({_breakdown('job_role')}) g",
+        "employee_find": f"SELECT i.id, found_in, employee_id, job_role, work_hours_per_week FROM (SELECT unnest([{', '.join(lit(i) for i in FIND_IDS)}]) AS id) i "
+            "LEFT JOIN (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY k ORDER BY place) = 1) f ON f.k = lower(trim(i.id))",
         "employee_lookup": "SELECT id, found_in, employee_id, job_role, work_hours_per_week FROM found",
         # aggregations
         "impute_group_median": f"SELECT source_dataset, employee_id, job_role, {_round_list(TRACKED)}, overtime_hours_is_missing FROM imputed",
@@ -459,6 +461,7 @@ def oracle_sql() -> dict:
         "breakdown_fine": _breakdown("concat_ws(' / ', job_role, work_mode, city, company_size)"),
         "roster_sort": "SELECT * FROM roster_rows ORDER BY overtime NULLS LAST, id",
         "roster_page": "SELECT * FROM roster_rows ORDER BY experience DESC NULLS LAST, id LIMIT 50 OFFSET 150",
+        "roster_page_ranked": "SELECT * FROM roster_rows ORDER BY experience DESC NULLS LAST, id LIMIT 50 OFFSET 1000",
         "roster_page_after": "SELECT * FROM roster_rows WHERE hours > 25 OR hours IS NULL OR (hours = 25 AND id > 'EM5') ORDER BY hours NULLS LAST, id LIMIT 40",
         "hash_sample": f"SELECT employee_id, stress_level, strain_score FROM staff ORDER BY {hash_key('employee_id')}, employee_id LIMIT 500",
         "train_test_split": f"SELECT employee_id, CASE WHEN h < {int(0.2 * SPAN)} THEN 'test' ELSE 'train' END AS split, CAST(h % 3 AS INTEGER) AS fold FROM (SELECT employee_id, {hash_key('employee_id')} AS h FROM staff)",

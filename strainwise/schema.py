@@ -459,3 +459,6 @@ KMEANS_STARTS = (
     ((30.0, 40.0, 3.0), (50.0, 60.0, 5.0), (70.0, 50.0, 7.0), (40.0, 70.0, 2.0)),
     ((20.0, 50.0, 6.0), (60.0, 50.0, 4.0), (45.0, 55.0, 5.0)),
 )
+
+# ids of the single lookups that are checked in SQL, as the customers table spells them
+FIND_IDS = ("Ex1", "ALT2", "Ex3", " em4", "Ex1 ", "ALT2 ", "Ex3 ", " em4 ", "ALT6 ", " em8 ", "ALT10 ", "Ex99999999 ")
