@@ -20,6 +20,8 @@ from .sampling import with_fold
 from .scoring import Scorer
 
 OTHER = "(other)"
+# Distinct values of a column that may each become an indicator.
+MOST_VALUES = 10_000
 SEGMENT_FEATURES = ("workload_index", "wellness_score", "strain_score")
 
 
@@ -37,19 +39,25 @@ def numeric_statistics(df: DataFrame, numeric=MODEL_NUMERIC) -> DataFrame:
                  F.col(c)["std"].alias("std")) for c in numeric])))
 
 
-def frequent_values(df: DataFrame, columns, limit: int | None) -> dict:
+def frequent_values(df: DataFrame, columns, limit: int | None, most: int = MOST_VALUES) -> dict:
     """Most frequent values per column, best first (smallest on ties), from one pass.
 
-    With a ``limit`` at most ``limit + 1`` values per column are fetched; without one
-    all of them, which an indicator column per value needs anyway.
+    With a ``limit`` at most ``limit + 1`` values per column are fetched. Without one all of
+    them are, which an indicator column per value needs anyway; a column with over ``most``
+    distinct values, such as free text, is refused before anything is fetched.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in columns]))
-    counts = df.select(pairs.alias("p")).where("p.v is not null").groupBy("p.k", "p.v").count()
-    order = Window.partitionBy("k").orderBy(F.desc("count"), "v")
-    ranked = counts.withColumn("place", F.row_number().over(order))
-    if limit is not None:
-        ranked = ranked.where(F.col("place") <= limit + 1)
-    rows = sorted(ranked.collect(), key=lambda r: r["place"])
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns]))
+    counts = materialize(df.select(pairs.alias("p")).where("p.v is not null").groupBy("p.k", "p.v").count())
+    if limit is None:
+        wide = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()}
+        if wide:
+            told = ", ".join(f"{c} ({n})" for c, n in sorted(wide.items()))
+            raise ValueError(f"more than {most} distinct values: {told}; leave the column out or set max_categories")
+    else:
+        # the best of every task go on, so a column's values never meet in one place
+        order = Window.partitionBy("k").orderBy(F.desc("count"), "v")
+        counts = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + 1)
+    rows = sorted(counts.collect(), key=lambda r: (-r["count"], r["v"]))
     return {c: [r["v"] for r in rows if r["k"] == c] for c in columns}
 
 

@@ -161,3 +161,12 @@ def test_risk_folds_share_rare_positives(spark, monkeypatch):
     monkeypatch.setattr(m, "_sigmoid", counted)
     m.fit_risk(spark.createDataFrame(rows, ["employee_id", "features", "risk"]), "risk", rounds=1, depth=1)
     assert seen == [4, 4, 4]
+
+
+def test_free_text_is_no_indicator(spark):
+    df = spark.range(300).selectExpr("cast(id as double) a", "concat('said ', id) t", "'x' k")
+    with pytest.raises(ValueError, match=r"more than 100 distinct values: t \(300\)"):
+        models.frequent_values(df, ["t", "k"], None, most=100)
+    assert len(models.frequent_values(df, ["t", "k"], None, most=300)["t"]) == 300
+    top = models.frequent_values(df, ["t", "k"], 4, most=100)  # with a limit any column will do
+    assert len(top["t"]) == 5 and top["k"] == ["x"]
