@@ -175,7 +175,10 @@ class Tagger:
         return loss, {k: v / batch for k, v in grads.items()}
 
     def fit(self, ids, mask, tags, steps: int, batch: int, rate: float = 0.02, seed: int = 7) -> list[float]:
-        """Adam over random batches of windows (time, number); returns the losses."""
+        """Adam over random batches of windows (time, number); returns the losses.
+
+        Characters that no window holds are read as "all other characters" from then on.
+        """
         rng, losses = np.random.default_rng(seed), []
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -191,6 +194,10 @@ class Tagger:
                 self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9 ** step))
                              / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
             losses.append(float(loss))
+        seen = np.isin(np.arange(PAD), ids[mask])
+        if seen[128]:
+            for side in "fb":
+                self.p[f"in_{side}"][:, :PAD][:, ~seen] = self.p[f"in_{side}"][:, [128]]
         return losses
 
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
@@ -236,22 +243,33 @@ class Tagger:
 
 
 # ------------------------------------------------------------------------ training
+# What stands between the numbers of respelled spans, by kind, and before a phone number.
+MARKS = {
+    1: (" . ", "[.]", "(.)", " dot ", "[dot]", "(dot)", "-", " - ", "/", " / ", "_", "|", ":", "*", "\\", " * ", "--", "=", "<.>",
+        "·", " · ", "«dot»", "«.»"),
+    2: (".", " . ", "/", " / ", "_", " _ ", "|", "--", "*", " * ", "=", "\\", "·", " · "),
+    3: ("/", " / ", "_", " _ ", ".", " . ", "-", "|", "--", "*", " * ", "=", "\\", "·", " · "),
+}
+CUES = ("00", "00", "tel ", "tel: ", "call ", "phone ", "ph. ")
+
+
 def _respell(kind: int, text: str, rng) -> str:
     """Another spelling of a base span, as people write it to get past patterns."""
     if kind == 0:
         name, _, host = text.partition("@")
         at, dot = ((" at ", " dot "), (" (at) ", "."), ("[at]", "[dot]"), (" @ ", "."), (" (at) ", " (dot) "))[rng.integers(5)]
         return name + at + host.replace(".", dot)
+    marks = MARKS[kind]
+    mark = marks[rng.integers(len(marks))]
     if kind == 1:
-        return text.replace(".", (" . ", "[.]", "(.)", " dot ")[rng.integers(4)])
-    mark = (".", " / ", "_", "/")[rng.integers(4)] if kind == 2 else ("/", " / ", "_")[rng.integers(3)]
+        return text.replace(".", mark)
     digits = _digits(text)
-    size = 4 if kind == 2 else 3
+    size = 4 if kind == 2 else int(rng.integers(2, 5))
     body = mark.join(digits[i:i + size] for i in range(0, len(digits), size))
-    return body if kind == 2 else ("00" if rng.integers(2) else "tel ") + body
+    return body if kind == 2 else CUES[rng.integers(len(CUES))] + body
 
 
-def training_windows(texts, width: int = 96, spelt: int = 2, seed: int = 7):
+def training_windows(texts, width: int = 96, spelt: int = 3, seed: int = 7):
     """Windows (ids, mask, tags) around the base spans of ``texts``, as they are and ``spelt`` times respelled.
 
     As many windows without any span are added; failed matches in them teach "none".

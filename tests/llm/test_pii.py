@@ -144,6 +144,17 @@ def test_each_kind_is_added_in_held_out_texts(trained):
         assert sum(any(k == kind for k, _, _ in s) for s in spans) >= 10, pii.KINDS[kind]
 
 
+def test_marks_never_trained_are_found(trained):
+    """Numbers apart by signs that no training window holds."""
+    signs = ("~", "^", ";")
+    assert not any(sign in mark for marks in pii.MARKS.values() for mark in marks for sign in signs)
+    plain = {1: "31.12.45.7", 2: "4111.1111.1111.1111", 3: "00555.713.4821"}
+    for kind, span in plain.items():
+        texts = [f"stone in the rain {w} {span.replace('.', sign)} tins on rent" for sign in signs for w in ("at sea", "nor oats", "one", "so")]
+        spans = [pii.all_spans(t, g)[1] for t, g in zip(texts, pii.tag_texts(trained[0], texts))]
+        assert sum(any(k == kind for k, _, _ in s) for s in spans) >= 9, pii.KINDS[kind]
+
+
 def test_skipped_windows_change_nothing(trained, monkeypatch):
     tagger, _, texts = trained
     long = [" ".join(texts[i:i + 9]).replace("@", " (at) ") + " stone" * 200 for i in range(0, 90, 9)]
