@@ -10,7 +10,7 @@ from ..schema import BANDS, CITY_STATES, DEFAULT_THRESHOLD, MODERATE_FROM
 UNKNOWN = "Unknown"
 
 
-def _measures(score: str, threshold: float) -> list:
+def group_measures(score: str, threshold: float) -> list:
     return [
         F.round(F.avg(score), 2).alias("mean_score"),
         share(F.col(score) >= threshold).alias("elevated_rate"),
@@ -31,7 +31,7 @@ def breakdown(scored: DataFrame, key, limit: int | None = None, score: str = "sc
     """
     name = key if isinstance(key, Column) else F.col(key)
     groups = scored.groupBy(F.coalesce(name.cast("string"), F.lit(UNKNOWN)).alias("name")).agg(
-        *_measures(score, threshold))
+        *group_measures(score, threshold))
     return groups if limit is None else top_groups(groups, limit)
 
 
@@ -49,7 +49,7 @@ def breakdown_all(scored: DataFrame, keys, limit: int | None = None, score: str
         F.struct(F.lit(k).alias("dimension"), F.coalesce(F.col(k).cast("string"), F.lit(UNKNOWN)).alias("name"))
         for k in keys]))
     groups = (scored.select(score, pairs.alias("p")).groupBy("p.dimension", "p.name")
-              .agg(*_measures(score, threshold)))
+              .agg(*group_measures(score, threshold)))
     rank = Window.partitionBy("dimension").orderBy(F.desc("mean_score"), F.desc("employees"), "name")
     placed = groups.withColumn("place", F.row_number().over(rank))
     return placed if limit is None else placed.where(F.col("place") <= limit)
@@ -92,14 +92,18 @@ def _band_counts(score: Column, threshold: float) -> list:
 
 def fleet_summary(scored: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """One row over a scored roster."""
+    return scored.agg(*fleet_measures(threshold))
+
+
+def fleet_measures(threshold: float = DEFAULT_THRESHOLD) -> list:
     s = F.col("score")
-    return scored.agg(
+    return [
         F.count(F.lit(1)).alias("employees"),
         F.round(F.avg(s), 2).alias("mean_strain_score"),
         share(s >= threshold).alias("elevated_review_rate"),
         F.round(F.avg("probability") * 100.0, 1).alias("mean_elevated_probability"),
         *_band_counts(s, threshold),
-    )
+    ]
 
 
 def org_summary(master: DataFrame, threshold: float = DEFAULT_THRESHOLD, score: str = "strain_score") -> DataFrame:

@@ -905,7 +905,7 @@ def segment_employees(spark, d):
 
 # ----------------------------------------------------------------------- streaming
 _STREAMED = ("employee_id", "work_hours_per_week", "overtime_hours", "meetings_per_day", "deadlines_missed",
-             "experience_years", "job_role", "work_mode", "stress_level", "sleep_hours")
+             "experience_years", "job_role", "work_mode", "stress_level", "sleep_hours", "city")
 
 
 def _stream(spark, d):
@@ -932,3 +932,21 @@ def stream_breakdown_role(spark, d):
     return roster_stream.latest_breakdown(spark, f"{place}/out")
 
 
+@query("stream_reports")
+def stream_reports(spark, d):
+    """Every group report of the one running query; the fleet's row is :func:`stream_fleet`."""
+    place = _running_reports(spark, d)
+    return (roster_stream.latest_breakdown(spark, place).where("report <> 'fleet'")
+            .select("report", "name", "grouped.*"))
+
+
+@query("stream_fleet")
+def stream_fleet(spark, d):
+    return roster_stream.latest_report(spark, _running_reports(spark, d), "fleet")
+
+
+def _running_reports(spark, d) -> str:
+    place = scratch_folder(spark)
+    located = bd.with_state(_stream(spark, d), city="city")
+    roster_stream.running_reports(located, f"{place}/out", f"{place}/state").awaitTermination()
+    return f"{place}/out"

@@ -511,11 +511,18 @@ def oracle_sql() -> dict:
     absent = [c for c in MODEL_FEATURES if c not in (
         "work_hours_per_week", "overtime_hours", "meetings_per_day", "deadlines_missed", "experience_years",
         "job_role", "work_mode", "stress_level", "sleep_hours")]
-    few = ("streamed AS (SELECT employee_id, job_role, " + clipped("s0") + " AS score FROM (SELECT *, (" + strain() + " - low) / (high - low) * 10.0 AS s0 FROM ("
-           "SELECT r.employee_id, r.job_role, " + ", ".join(
+    few = ("streamed AS (SELECT employee_id, job_role, work_mode, city, hours, " + clipped("s0") + " AS score FROM (SELECT *, (" + strain() + " - low) / (high - low) * 10.0 AS s0 FROM ("
+           "SELECT r.employee_id, r.job_role, r.work_mode, r.city, r.work_hours_per_week AS hours, " + ", ".join(
                f"d.{c}" if c in absent else f"coalesce(r.{c}, d.{c}) AS {c}" for c in MODEL_NUMERIC) + " FROM roster r CROSS JOIN defaults d) CROSS JOIN ends))")
     q["stream_score_roster"] = f", {few} SELECT employee_id, round(score, 4) AS score, {band('score')} AS band FROM streamed"
     q["stream_breakdown_role"] = f", {few} " + _breakdown("job_role", "streamed")
+    placed = f"(SELECT s.*, t.state FROM streamed s JOIN states t ON t.city_key = lower({strip('s.city')}))"
+    banded = f"(SELECT *, {_hours_case('coalesce(hours, 40)')} AS b FROM streamed) WHERE b IS NOT NULL"
+    reports = {"roles": ("job_role", "streamed"), "modes": ("work_mode", "streamed"), "cities": ("city", "streamed"),
+               "states": ("state", placed), "hours": ("b", banded)}
+    q["stream_reports"] = f", {few} " + " UNION ALL ".join(
+        f"SELECT {lit(r)} AS report, * FROM ({_breakdown(*of)})" for r, of in reports.items())
+    q["stream_fleet"] = f", {few} " + q["fleet_summary"].replace("FROM scored", "FROM (SELECT *, score / 10.0 AS probability FROM streamed)")
     return {k: _join(base, v) for k, v in q.items()}
 
 

@@ -1,13 +1,15 @@
 """Rosters that arrive file by file.
 
 Medians, modes and scorer bounds come from the static master table; the stream
-itself keeps no state except the few-key running breakdowns.
+itself keeps no state except one row per group of the running reports.
 """
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.breakdown import breakdown
+from ..functions.bands import hours_band
+from ..functions.text import as_number
+from ..operators.breakdown import UNKNOWN, breakdown, fleet_measures, group_measures
 from ..operators.scoring import Scorer, score_roster
 from ..schema import DEFAULT_THRESHOLD
 from ..sources.headers import require_fields
@@ -54,8 +56,48 @@ def running_breakdown(scored: DataFrame, key: str, path: str, checkpoint: str,
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+REPORT_KEYS = {"roles": "job_role", "modes": "work_mode", "cities": "city"}
+
+
+def running_reports(scored: DataFrame, path: str, checkpoint: str, threshold: float = DEFAULT_THRESHOLD,
+                    keys: dict | None = None, state: str = "state", hours: str = "work_hours_per_week") -> StreamingQuery:
+    """All running reports from one stateful query: each batch publishes them together or not at all.
+
+    Reports: one per entry of ``keys`` (report name to column, NULL counts as Unknown),
+    ``states`` (rows of no known state are left out), ``hours`` (per hours band) and
+    ``fleet``, one row. Reports on columns that the stream lacks are left out; for states
+    from cities apply ``with_state`` first. Each row enters once per report and is summed
+    up per task before the shuffle, so the single fleet group is no hot key. State is one
+    row per group. Results are read by :func:`latest_report`.
+    """
+    kinds = dict(scored.dtypes)
+    named = {r: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN)) for r, c in (keys or REPORT_KEYS).items() if c in kinds}
+    if state in kinds:
+        place = F.col(state).cast("string")
+        named["states"] = F.when(~place.isin("None", "nan"), place)
+    if hours in kinds:
+        named["hours"] = hours_band(as_number(hours) if kinds[hours] == "string" else F.col(hours))
+    named["fleet"] = F.lit("")
+    entries = F.array(*[F.struct(F.lit(r).alias("report"), name.alias("name")) for r, name in named.items()])
+    rows = scored.select("score", "probability", F.explode(entries).alias("p")).where("p.name is not null")
+    groups = rows.groupBy("p.report", "p.name").agg(
+        F.struct(*group_measures("score", threshold)).alias("grouped"), F.struct(*fleet_measures(threshold)).alias("fleet"))
+
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch:012d}")
+
+    return (groups.writeStream.outputMode("complete").foreachBatch(publish)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_report(spark: SparkSession, path: str, report: str) -> DataFrame:
+    """One report of the newest complete batch of :func:`running_reports`, with the columns of its batch form."""
+    rows = latest_breakdown(spark, path).where(F.col("report") == report)
+    return rows.select("fleet.*") if report == "fleet" else rows.select("name", "grouped.*")
+
+
 def latest_breakdown(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete result of :func:`running_breakdown`."""
+    """The newest complete result of :func:`running_breakdown`, or all of :func:`running_reports`."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     done = sorted(str(s.getPath().getParent()) for s in files.globStatus(

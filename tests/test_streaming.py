@@ -46,6 +46,32 @@ def test_running_breakdown_equals_the_batch(spark, sf, files):
     assert sorted(map(tuple, roster_stream.latest_breakdown(spark, f"{folder}/groups").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_running_reports_equal_their_batch_forms_after_a_restart(spark, sf, tmp_path):
+    roster = catalog.roster(spark, sf)
+    folder = str(tmp_path)
+    parts = roster.withColumn("city", F.when(F.col("work_hours_per_week") % 2 < 1, F.col("city"))).randomSplit([1.0, 1.0], 3)
+    for n, part in enumerate(parts):
+        sinks.export_csv(part.repartition(3), f"{folder}/in{n}")
+    reader = lambda: roster_stream.read_roster_stream(spark, f"{folder}/in*", roster.schema, files_per_trigger=2)
+    settings = catalog.defaults(spark, sf), catalog.scorer(spark, sf)
+    located = lambda: bd.with_state(roster_stream.score_stream(reader(), *settings), city="city")
+    (tmp_path / "in1").rename(tmp_path / "later")
+    roster_stream.running_reports(located(), f"{folder}/out", f"{folder}/state").awaitTermination()
+    first = roster_stream.latest_report(spark, f"{folder}/out", "fleet").first()["employees"]
+    (tmp_path / "later").rename(tmp_path / "in1")
+    roster_stream.running_reports(located(), f"{folder}/out", f"{folder}/state").awaitTermination()
+    batch = bd.with_state(scoring.score_roster(
+        spark.read.schema(roster.schema).option("header", True).csv([f"{folder}/in0", f"{folder}/in1"]), *settings), city="city")
+    want = {"roles": bd.breakdown(batch, "job_role"), "modes": bd.breakdown(batch, "work_mode"),
+            "cities": bd.breakdown(batch, "city"), "states": bd.breakdown_state(batch),
+            "hours": bd.breakdown_hours(batch), "fleet": bd.fleet_summary(batch)}
+    for report, rows in want.items():
+        got = roster_stream.latest_report(spark, f"{folder}/out", report)
+        assert got.columns == rows.columns, report
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect())), report
+    assert 0 < first < want["fleet"].first()["employees"]
+
+
 def test_required_fields_are_checked(spark, files):
     folder, roster = files
     with pytest.raises(ValueError, match="lacks these columns: overtime_hours"):
