@@ -10,7 +10,7 @@ from ..functions import bands, indices
 from ..functions.numbers import clip
 from ..functions.text import as_number
 from ..operators import attribution, boosting, breakdown as bd, clean, clustered, clusters, evaluate as ev, explore, models, policy
-from ..operators import roster as ro, sampling, scoring, tree_shares, validate
+from ..operators import roster as ro, sampling, scoring, text_index, tree_shares, validate
 from ..operators.align import align, default_features, fill_scenarios, fit_defaults
 from ..plans.bounds import scratch_folder, write_scratch
 from ..schema import FIND_IDS, KMEANS_STARTS, MODEL_NUMERIC, STRAIN_WEIGHTS, SURVEY_TARGET, TRACKED
@@ -302,6 +302,17 @@ def roster_filter_pattern(spark, d):
     return ro.filter_roster(table, search="em[0-9]*7$", city="^(mum|beng)", band="nonsense", regex=True)
 
 
+@query("roster_search")
+def roster_search(spark, d):
+    """Ids and cities by parts of them, from the stored index; the table is indexed once."""
+    def lay_out():
+        path = scratch_folder(spark)
+        text_index.index_roster(ro.roster_table(scored(spark, d)), path)
+        return path
+
+    return text_index.search_roster(spark, _fitted(spark, d, "by_letters", lay_out), search="EM1", city="uNe", band="Moderate")
+
+
 def _profiles(spark, d):
     """Scenario profiles: a few typed fields per supplier, the rest left to the defaults."""
     s = spark.read.parquet(f"{d}/supplier.parquet")

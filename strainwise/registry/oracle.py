@@ -387,6 +387,7 @@ def oracle_sql() -> dict:
         "elevated_label": "SELECT employee_id, CAST(strain_score >= 4.5 AS INTEGER) AS elevated, CAST(strain_score / 10.0 >= 0.5 AS INTEGER) AS predicted FROM staff",
         "roster_table": "SELECT * FROM roster_rows",
         "roster_filter": "SELECT * FROM roster_rows WHERE lower(id) LIKE '%m1%' AND band = 'Moderate' AND lower(city) LIKE '%une%' AND mode = 'remote'",
+        "roster_search": "SELECT * FROM roster_rows WHERE lower(id) LIKE '%em1%' AND band = 'Moderate' AND lower(city) LIKE '%une%'",
         "roster_filter_pattern": "SELECT * FROM roster_rows WHERE regexp_matches(id, 'em[0-9]*7$', 'i') AND regexp_matches(city, '^(mum|beng)', 'i')",
         "scenario_fill": f"SELECT profile, {', '.join(MODEL_FEATURES)} FROM scenario_rows",
         "employee_metadata": "SELECT * FROM (" + " UNION ALL ".join(

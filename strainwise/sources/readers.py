@@ -1,5 +1,6 @@
 """File sources: layout CSVs, rosters, metrics JSON."""
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -8,6 +9,9 @@ from ..functions.numbers import nan_to_null
 from ..schema import LAYOUT_FILES, RAW_TYPES
 from .layouts import from_employees, from_ordinal, from_survey, from_tech, unify
 
+# First lines of CSV files read at once.
+HEADER_READERS = 32
+
 LAYOUTS = {
     "tech": from_tech,
     "employees": from_employees,
@@ -22,11 +26,47 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def csv_headers(spark: SparkSession, path: str) -> dict:
-    """Column names -> files below ``path`` that begin with them, read from first lines only."""
+def _first_line(spark: SparkSession, target, charset: str = "UTF-8") -> str:
+    """First line of a file that is not blank, unpacked where its name says so."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stream = target.getFileSystem(conf).open(target)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(target)
+        plain = stream if codec is None else codec.createInputStream(stream)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, charset))
+        line = lines.readLine()
+        while line is not None and not line.strip("\ufeff \t"):
+            line = lines.readLine()
+        return "" if line is None else line.removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
+def csv_headers(spark: SparkSession, path: str, options: dict | None = None) -> dict:
+    """Column names -> files below ``path`` that begin with them.
+
+    First lines are read side by side through the path's file system, without a Spark job a
+    file; Spark's reader then names the columns once per distinct line. A header whose quoted
+    names hold line breaks is read from its file (``multiLine``).
+    """
+    options = {"escape": '"'} | (options or {})
+    target = spark._jvm.org.apache.hadoop.fs.Path
+    files = [target(spark._jvm.java.net.URI(f)) for f in sorted(spark.read.format("text").load(path).inputFiles())]
+    by_line: dict[str, list] = {}
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        for line, file in zip(pool.map(lambda f: _first_line(spark, f), files), files):
+            by_line.setdefault(line, []).append(file.toString())
     found: dict[tuple, list] = {}
-    for file in sorted(spark.read.format("text").load(path).inputFiles()):
-        found.setdefault(tuple(spark.read.csv(file, header=True).columns), []).append(file)
+    for line, same in by_line.items():
+        # an open quote at the end of the line: the header goes on
+        if line.count('"') % 2:
+            for file in same:
+                names = spark.read.options(**options).csv(file, header=True).columns
+                found.setdefault(tuple(names), []).append(file)
+        else:
+            head = spark.sparkContext.parallelize([line] if line else [], 1)
+            names = spark.read.options(**options).csv(head, header=True).columns if line else []
+            found.setdefault(tuple(names), []).extend(same)
     return found
 
 
@@ -42,7 +82,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     (files are then not split).
     """
     options = {"header": True, "multiLine": multi_line, "escape": '"', "enforceSchema": True, "mode": "PERMISSIVE"}
-    headers = csv_headers(spark, path)
+    headers = csv_headers(spark, path, {"multiLine": multi_line})
     if schema is not None:
         absent = sorted(set(schema.names) - {n for names in headers for n in names})
         if absent:
@@ -50,6 +90,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     wanted = {f.name: f for f in schema or ()}
     scans = []
     for names, files in headers.items():
+        if not names and len(headers) > 1:
+            continue  # empty files
         full = T.StructType([wanted.get(n, T.StructField(n, T.StringType())) for n in names])
         df = spark.read.options(**options).schema(full).csv(files)
         scans.append(df if schema is None else df.select(*[f"`{n}`" for n in schema.names if n in names]))

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -62,6 +63,43 @@ def test_files_of_a_folder_are_matched_by_name(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path), spark.createDataFrame([], "age double").schema)
 
 
+def test_headers_of_many_files_need_few_jobs(spark, tmp_path):
+    kinds = ["job_role,city", "city,job_role", '"job_role",work_mode,city']
+    for i in range(500):
+        values = {"job_role": f"r{i}", "city": f"c{i}", "work_mode": "home"}
+        names = kinds[i % 3].replace('"', "").split(",")
+        write(tmp_path / f"part {i:03}.csv", kinds[i % 3] + "\n" + ",".join(values[n] for n in names) + "\n")
+    spark.sparkContext.setJobGroup("headers", "headers of many files")
+    out = readers.read_csv(spark, str(tmp_path))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert jobs <= 10
+    assert out.count() == 500 and out.where("work_mode = 'home'").count() == 166
+    assert out.where("substr(job_role, 2) = substr(city, 2) and job_role like 'r%'").count() == 500
+
+
+def test_first_lines_of_odd_files(spark, tmp_path):
+    write(tmp_path / "a.csv", "\ufeffcity,job_role\nPune,ops\n")
+    write(tmp_path / "b.csv", "\n  \ncity,job_role\r\nOslo,dev\r\n")
+    write(tmp_path / "c.csv", "")
+    with gzip.open(tmp_path / "d.csv.gz", "wt") as packed:
+        packed.write('"job_role","city"\nqa,"Bern, CH"\n')
+    write(tmp_path / "e.csv", "city,city,\nLima,x,y\n")
+    found = readers.csv_headers(spark, str(tmp_path))
+    assert {names: len(files) for names, files in found.items()} == {
+        ("city", "job_role"): 2, (): 1, ("job_role", "city"): 1, ("city0", "city1", "_c2"): 1}
+    (tmp_path / "e.csv").unlink()
+    assert {tuple(r) for r in readers.read_csv(spark, str(tmp_path)).select("city", "job_role").collect()} == {
+        ("Pune", "ops"), ("Oslo", "dev"), ("Bern, CH", "qa")}
+
+
+def test_header_names_with_line_breaks(spark, tmp_path):
+    write(tmp_path / "a.csv", '"job\nrole",city\nops,Pune\n')
+    write(tmp_path / "b.csv", 'city,"job\nrole"\nOslo,dev\n')
+    out = readers.read_csv(spark, str(tmp_path), multi_line=True)
+    assert {(r["job\nrole"], r["city"]) for r in out.collect()} == {("ops", "Pune"), ("dev", "Oslo")}
+
+
 def test_line_breaks_inside_values(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'job_role,city\n"on\ncall",Pune\n')
     assert [tuple(r) for r in readers.read_csv(spark, path, multi_line=True).collect()] == [("on\ncall", "Pune")]
