@@ -28,4 +28,4 @@ def test_query_agrees_with_sql(spark, duck, name):
 def test_fitted_queries_are_the_only_ones_without_sql():
     assert set(queries()) - set(ORACLE) == {
         "reg_ridge", "reg_forest", "reg_gbt", "reg_gbt_subsample", "model_comparison",
-        "best_model", "feature_importance", "risk_probability", "score_roster_model", "segment_employees"}
+        "best_model", "feature_importance", "tree_attribution", "risk_probability", "score_roster_model", "segment_employees"}
