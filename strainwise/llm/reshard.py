@@ -1,8 +1,9 @@
 """Resharding by minimum-cost flow: move the fewest bytes from old shards to new capacities."""
 
 import heapq
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..plans.bounds import small_side
 from .common import scratch_folder, stored
@@ -76,76 +77,111 @@ def _target(position: Column, old: Column, cuts: list[list[tuple[int, int]]]) ->
     return chosen
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float], id_col: str = "doc_id",
-            text_col: str = "text", block_bytes: int = 8 << 20, folder: str | None = None) -> DataFrame:
-    """Plan transfers, rewrite the shards as Parquet below ``folder`` and return the rows read back.
-
-    ``old_shard`` numbers the present shards 0 to ``n_old - 1``; ``weights`` gives the
-    relative capacity of each new shard. Shard i becomes shard i, so its bytes stay where
-    capacity allows. A row weighs the UTF-8 bytes of its text plus 1 (null: 1).
-
-    Rows lie in blocks (hash of id and text within an old shard, as many as the bytes need).
-    A row's byte position is its block's offset plus the running sum inside the block;
-    the flows of an old shard cut that line into transfers. So shards differ from their
-    capacity by less than the longest rows at the cuts. Positions, shards and slots are
-    planned on narrow rows first; the texts are then shuffled and written once. Result: the id
-    and text columns, ``size, old_shard, shard, slot`` with slots gapless from 0 in each shard. An
-    empty table gives an empty result; repeated rows keep a slot each, and rows equal in id
-    and text share a block; other columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), old_shard.cast("int").alias("old"))
-    rows = rows.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)
-    shards = rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect()  # n_old rows
-    supply = [0] * n_old
-    for r in shards:
-        supply[r["old"]] = r["bytes"]
+def transfer_cuts(supply: list[int], weights: list[float]) -> list[list[tuple[int, int]]]:
+    """Per old shard its transfers as (end byte, new shard), what stays first."""
     total = sum(supply)
     # capacities in whole bytes that add up to the data
     ends = [round(total * sum(weights[:k + 1]) / sum(weights)) for k in range(len(weights))]
     capacity = [b - a for a, b in zip([0, *ends], ends)]
-    flow = min_cost_flow(supply, capacity, [i if i < len(weights) else None for i in range(n_old)])
+    flow = min_cost_flow(supply, capacity, [i if i < len(weights) else None for i in range(len(supply))])
     cuts = []
     for i, own in enumerate(flow):
-        # what stays comes first, so the front of a shard keeps its place
         line, place = [], 0
         for j in sorted(range(len(weights)), key=lambda j: (j != i, j)):
             if own[j]:
                 place += own[j]
                 line.append((place, j))
         cuts.append(line)
-    blocks = [int(s // block_bytes) + 1 for s in supply]
-    n_blocks = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("old") + 1)
-    rows = rows.withColumns({"block": F.pmod(F.xxhash64("id", "text"), n_blocks), "mark": F.xxhash64("text")})
-    in_order = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).select(
-        "old", "block", F.coalesce(F.sum("bytes").over(in_order), F.lit(0)).alias("offset")))
-    offsets = small_side(offsets, offsets.count())
-
-    def placed(df: DataFrame, facts: DataFrame) -> DataFrame:
-        # running sums are over one block; rows equal in the order have equal sizes
-        running = Window.partitionBy("old", "block").orderBy("id", "size", "mark")
-        upto = F.coalesce(F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        df = df.withColumn("upto", upto).join(facts, ["old", "block"]).withColumn("position", F.col("offset") + F.col("upto"))
-        # the middle of a row decides, so a cut is off by half a row at most
-        middle = F.col("position") + F.floor(F.col("size") / 2)
-        return df.withColumn("shard", _target(middle, F.col("old"), cuts))
-
-    # a block may straddle a cut: where its rows begin in each of its new shards
-    counts = placed(rows.drop("text"), offsets).groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("old", "block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "old", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    bases = bases.groupBy("old", "block").agg(F.map_from_entries(F.collect_list(F.struct("shard", "base"))).alias("bases"))
-    plan = stored(bases.join(offsets, ["old", "block"]))
-    # the texts move once, by block; the plan has a row per block and meets them there
-    each = Window.partitionBy("old", "block", "shard").orderBy("position", "id", "mark")
-    whole = placed(rows, small_side(plan, plan.count()))
-    numbered = whole.withColumn("slot", F.col("bases")[F.col("shard")] + F.row_number().over(each) - 1)
+    return cuts
+
+
+def _rows(spark: SparkSession, folder: str, kinds: T.StructType, where: Column | None = None) -> DataFrame:
+    """Rows of the block files with their file (``block``) and place in it (``at``).
+
+    ``where`` is about ``_metadata.file_path`` alone, so that other files are not opened.
+    """
+    rows = spark.read.schema(kinds).parquet(folder)
+    return (rows if where is None else rows.where(where)).select(
+        "*", F.col("_metadata.file_path").alias("block"), F.col("_metadata.row_index").alias("at"))
+
+
+def lay_out(docs: DataFrame, old_shard: Column, folder: str, id_col: str = "doc_id", text_col: str = "text",
+            block_rows: int = 0) -> T.StructType:
+    """Write a table as files of its present shards, ``folder/old=<shard>/``; returns the stored columns.
+
+    Each task writes its rows where they are, one file (block) per shard; nothing is shuffled.
+    ``block_rows`` ends a file after so many rows. Columns: ``id, text, size, old``.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                       (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"), old_shard.cast("int").alias("old"))
+    rows.write.partitionBy("old").option("maxRecordsPerFile", str(block_rows)).parquet(folder)
+    return rows.schema
+
+
+def reshard_files(spark: SparkSession, folder: str, kinds: T.StructType, n_old: int, weights: list[float],
+                  new_folder: str) -> DataFrame:
+    """Move blocks of laid out shards to new capacities; returns all rows from where they lie afterwards.
+
+    The blocks of an old shard, in the order of their names, form a line of bytes, which the
+    flows of that shard cut into transfers; what stays comes first. A block inside one transfer
+    goes whole; only a block with a cut in it is divided, at the row whose middle passes the cut. Blocks that
+    stay whole are not touched: their rows take slots by their place in the file. All others are
+    rewritten below ``new_folder`` with their slots. Plans are made on sizes alone; texts are never shuffled as
+    long as the moved blocks are few enough to be broadcast (counted), else those blocks' rows are joined.
+    """
+    file = F.col("_metadata.file_path")
+    blocks = stored(_rows(spark, folder, kinds).groupBy("old", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    supply = [0] * n_old
+    for r in blocks.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect():  # n_old rows
+        supply[r["old"]] = r["bytes"]
+    cuts = transfer_cuts(supply, weights)
+    line = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.withColumn("offset", F.coalesce(F.sum("bytes").over(line), F.lit(0)))
+    ends = stored(placed.withColumns({"shard": _target(F.col("offset"), F.col("old"), cuts),
+                                      "last": _target(F.col("offset") + F.col("bytes") - 1, F.col("old"), cuts)}))
+    whole = ends.where("shard = last").select("old", "block", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end"), "n", "shard")
+    # at most one block per cut
+    cut = [(r["block"], r["offset"]) for r in ends.where("shard <> last").select("block", "offset").collect()]
+    facts = F.broadcast(spark.createDataFrame(cut, "block string, offset long"))
+    inside = _rows(spark, folder, kinds, file.isin([b for b, _ in cut])).select("old", "block", "at", "size").join(facts, "block")
+    upto = F.coalesce(F.sum("size").over(Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = F.col("offset") + F.col("upto") + F.floor(F.col("size") / 2)
+    parts = inside.withColumn("upto", upto).withColumn("shard", _target(middle, F.col("old"), cuts)).groupBy("old", "block", "shard").agg(
+        F.min("at").alias("begin"), (F.max("at") + 1).alias("end"), F.count(F.lit(1)).alias("n"))
+    stays = F.col("whole") & (F.col("shard") == F.col("old"))
+    pieces = whole.withColumn("whole", F.lit(True)).unionByName(parts.withColumn("whole", F.lit(False))).withColumn("stays", stays)
+    before = Window.partitionBy("shard").orderBy(F.desc("stays"), "old", "block", "begin").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = stored(pieces.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))))
+    # the blocks that stay are the first of their shard, so one name per shard tells them apart
+    first = [r["block"] for r in pieces.where("not stays").groupBy("old").agg(F.min("block").alias("block")).collect()]
+    leaves = reduce(lambda x, y: x | y, [file.startswith(b.rsplit("/", 1)[0] + "/") & (file >= b) for b in first], F.lit(False))
+
+    def numbered(where: Column, of: DataFrame) -> DataFrame:
+        side = small_side(of.select("block", "begin", "end", "base", "shard"), of.count())
+        own = _rows(spark, folder, kinds, where).join(side, "block").where("at >= begin and at < end")
+        return own.select("id", "text", "size", "old", (F.col("base") + F.col("at") - F.col("begin")).alias("slot"), "shard")
+
+    moved = numbered(leaves, pieces.where("not stays"))
+    moved.write.partitionBy("shard").parquet(new_folder)
+    return spark.read.schema(moved.schema).parquet(new_folder).unionByName(numbered(~leaves, pieces.where("stays")))
+
+
+def reshard(docs: DataFrame, old_shard: Column, n_old: int, weights: list[float], id_col: str = "doc_id",
+            text_col: str = "text", block_rows: int = 0, folder: str | None = None) -> DataFrame:
+    """Lay a table out in its present shards, reshard the files and return the rows.
+
+    ``old_shard`` numbers the present shards 0 to ``n_old - 1`` (never null); ``weights`` gives the
+    relative capacity of each new shard. Shard i becomes shard i, so its bytes stay where
+    capacity allows. A row weighs the UTF-8 bytes of its text plus 1 (null: 1). Shards differ from their
+    capacity by less than the longest rows at the cuts. Result: the id and text columns, ``size,
+    old_shard, shard, slot`` with slots gapless from 0 in each shard. An empty table gives an empty
+    result; null ids and repeated rows keep a slot each; other columns are ignored.
+    """
     folder = folder or scratch_folder(docs.sparkSession)
-    numbered = numbered.select("id", "text", "size", "old", "slot", "shard")
-    numbered.write.partitionBy("shard").parquet(folder)
-    return docs.sparkSession.read.schema(numbered.schema).parquet(folder).select(
-        F.col("id").alias(id_col), F.col("text").alias(text_col), "size", F.col("old").alias("old_shard"),
-        F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    kinds = lay_out(docs, old_shard, f"{folder}/before", id_col, text_col, block_rows)
+    rows = reshard_files(docs.sparkSession, f"{folder}/before", kinds, n_old, weights, f"{folder}/moved")
+    return rows.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "size", F.col("old").alias("old_shard"),
+                       F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
 
 
 def transfers(resharded: DataFrame) -> DataFrame:
