@@ -78,6 +78,15 @@ def test_comparison_and_best(toy):
     assert pairs[0][0] == "n_a" and abs(sum(v for _, v in pairs) - 1) < 1e-9
 
 
+def test_forest_keeps_the_nodes_of_rows(toy):
+    _, df = toy
+    rows = models.fit_preprocessor(df, ["a", "b"], ["t"]).transform(df).cache()
+    forest = models.regressors(rows, trees=4, forest_depth=5)["random_forest"]
+    assert forest.getCacheNodeIds()
+    walked = forest.copy({forest.cacheNodeIds: False}).fit(rows)
+    assert forest.fit(rows).toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
 def test_calibrated_risk_and_saved_models(toy, tmp_path):
     _, df = toy
     prepare = models.fit_preprocessor(df, ["a", "b"], ["t"])
