@@ -1,28 +1,42 @@
 """Training-data checks and feature selection."""
 
+import math
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..plans.bounds import materialize, small_side
+from ..plans.bounds import MAX_BROADCAST_ROWS, materialize, small_side
 from ..schema import ENGINEERED, LEAKING, PIPELINE_EXCLUDED, REQUIRED_TRAINING, SENSITIVE, TARGET
 
+# Rows that a task compares, and parts that copies of one row are first dealt to.
+TASK_ROWS = 1_000_000
+SALTS = 16
+
 
 def count_duplicates(df: DataFrame) -> int:
     """Rows beyond the first of every set of exactly equal rows.
 
     Only row hashes are shuffled at first. Rows whose hash occurs twice are then
-    compared in full; when there are few such hashes, only those rows move.
+    compared in full; when there are few such hashes, only those rows move. Partitions
+    grow in number with the rows, so a task holds no more of a larger table. Copies from
+    different parts of the table meet in two steps: very many of one row never meet in one task.
     """
+    parts = max(1, math.ceil(df.count() / TASK_ROWS))
     doubles = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     # adding zero makes -0.0 and 0.0 hash alike, as they compare
-    parts = [F.col(f"`{c}`") + F.lit(0.0) if c in doubles else F.col(f"`{c}`") for c in df.columns]
-    hashed = df.withColumn("_row_hash", F.xxhash64(*parts))
-    repeated = materialize(hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_row_hash"))
+    values = [F.col(f"`{c}`") + F.lit(0.0) if c in doubles else F.col(f"`{c}`") for c in df.columns]
+    hashed = df.withColumn("_row_hash", F.xxhash64(*values)).withColumn("_salt", F.spark_partition_id() % SALTS)
+
+    def copies(rows, columns):
+        near = rows.repartition(parts, "_row_hash", "_salt").groupBy("_row_hash", "_salt", *columns).agg(F.count(F.lit(1)).alias("_copies"))
+        return near.repartition(parts, "_row_hash").groupBy("_row_hash", *columns).agg(F.sum("_copies").alias("_copies")).where("_copies > 1")
+
+    repeated = materialize(copies(hashed.select("_row_hash", "_salt"), []).select("_row_hash"))
     found = repeated.count()
     if found == 0:
         return 0
-    suspects = hashed.join(small_side(repeated, found), "_row_hash", "left_semi")
-    copies = suspects.groupBy(*[f"`{c}`" for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
-    return copies.agg(F.sum(F.col("_copies") - 1).alias("n")).first()["n"]
+    # a join with many hashes would move all rows, and sort them, before they move again
+    suspects = hashed.join(small_side(repeated, found), "_row_hash", "left_semi") if found <= MAX_BROADCAST_ROWS else hashed
+    return copies(suspects, [f"`{c}`" for c in df.columns]).agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n")).first()["n"]
 
 
 def violations(df: DataFrame, required=REQUIRED_TRAINING, target: str = TARGET) -> DataFrame:

@@ -100,3 +100,17 @@ def test_correlation_is_pairwise(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 4.0, 1.0), (3.0, 6.0, 0.0), (4.0, None, 5.0)], "a double, b double, c double")
     got = {(r["left_metric"], r["right_metric"]): r["corr"] for r in explore.correlation(df, ("a", "b", "c")).collect()}
     assert got[("a", "b")] == 1.0 and got[("b", "c")] == -1.0 and len(got) == 3
+
+
+def test_duplicates_of_a_larger_table_have_more_tasks(spark, monkeypatch):
+    rows = [(i, None if i % 3 == 0 else f"t{i % 50}", float("nan") if i % 5 == 0 else 0.5) for i in range(200)]
+    rows += rows[:60] + rows[:10] * 4 + [(7, "other", 0.0), (7, "other", -0.0)] + [(None, None, None)] * 30
+    df = spark.createDataFrame(rows, "a long, `b.c` string, x double").repartition(7)
+    assert validate.count_duplicates(df) == 60 + 40 + 1 + 29
+    parts, kept = [], validate.materialize
+    monkeypatch.setattr(validate, "materialize", lambda d: parts.append(d.rdd.getNumPartitions()) or kept(d))
+    monkeypatch.setattr(validate, "TASK_ROWS", 10)
+    for most in (validate.MAX_BROADCAST_ROWS, 5):  # with many repeated hashes all rows are compared
+        monkeypatch.setattr(validate, "MAX_BROADCAST_ROWS", most)
+        assert validate.count_duplicates(df) == 60 + 40 + 1 + 29
+    assert parts == [34, 34] and validate.count_duplicates(df.where("a < 0")) == 0
