@@ -4,6 +4,8 @@ Operators that need a score use the linear strain index, which has an exact SQL
 counterpart; queries on fitted models say so in their name.
 """
 
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import bands, indices
@@ -839,7 +841,8 @@ def reg_gbt_subsample(spark, d):
 def model_comparison(spark, d):
     _, rows = _prepared(spark, d)
     names = ("ridge", "random_forest", "gradient_boosting", "gradient_boosting_sampled")
-    return models.measure(rows.where("split = 'test'"), {n: _model(spark, d, n) for n in names})
+    fitted = models.side_by_side(spark, {n: partial(_model, spark, d, n) for n in names})
+    return models.measure(rows.where("split = 'test'"), fitted)
 
 
 @query("best_model")

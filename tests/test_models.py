@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strainwise.functions import bands
 from strainwise.operators import attribution, evaluate, models, sampling, scoring
+from strainwise.registry import catalog
 from strainwise.schema import STRAIN_WEIGHTS
 from strainwise.sources import sinks
 
@@ -78,6 +81,43 @@ def test_comparison_and_best(toy):
     assert pairs[0][0] == "n_a" and abs(sum(v for _, v in pairs) - 1) < 1e-9
 
 
+def test_models_are_fitted_side_by_side(toy, spark, monkeypatch):
+    _, df = toy
+    rows = sampling.with_split(models.fit_preprocessor(df, ["a", "b"], ["t"]).transform(df))
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+
+    class Waiting:
+        """Fits once all others are about to."""
+
+        def __init__(self, alpha, others):
+            self.alpha, self.others = alpha, others
+
+        def fit(self, train):
+            self.others.wait(60)
+            return models.ridge(train, self.alpha).fit(train)
+
+    meet = threading.Barrier(3)
+    metrics, fitted = models.compare(train, test, {f"r{a}": Waiting(float(a), meet) for a in (1, 5, 500)})
+    got = {r["model"]: r for r in metrics.collect()}
+    assert list(fitted) == ["r1", "r5", "r500"] and set(got) == set(fitted)
+    for name, alpha in (("r1", 1.0), ("r500", 500.0)):  # every model under its own name
+        alone = models.measure(test, {name: models.ridge(train, alpha).fit(train)}).first()
+        assert alone["rmse"] == pytest.approx(got[name]["rmse"])
+    meet = threading.Barrier(4)
+    monkeypatch.setattr(catalog, "_prepared", lambda spark, d: (None, rows))
+    monkeypatch.setattr(catalog, "_model", lambda spark, d, name: Waiting(float(len(name)), meet).fit(train))
+    names = {r["model"] for r in catalog.model_comparison(spark, "").collect()}
+    assert names == {"ridge", "random_forest", "gradient_boosting", "gradient_boosting_sampled"}
+    assert catalog.best_model(spark, "").count() == 1
+
+
+def test_a_failed_fit_is_told(toy):
+    _, df = toy
+    rows = models.fit_preprocessor(df, ["a", "b"], ["t"]).transform(df)
+    with pytest.raises(ValueError, match="bins"):
+        models.compare(rows, rows, {"ridge": models.ridge(rows), "boosted": models.Boosting(bins=1, label="strain_score")})
+
+
 def test_forest_keeps_the_nodes_of_rows(toy):
     _, df = toy
     rows = models.fit_preprocessor(df, ["a", "b"], ["t"]).transform(df).cache()
